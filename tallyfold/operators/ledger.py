@@ -50,7 +50,7 @@ def merged_range_fill(cells: DataFrame, merges: DataFrame, positions: DataFrame
 
 def column_number(letters: Column) -> Column:
     """`A` is 1, `Z` is 26, `AA` is 27."""
-    digits = F.split(F.upper(letters), "(?!^)")
+    digits = F.regexp_extract_all(F.upper(letters), F.lit("[A-Z]"), F.lit(0))
     return F.aggregate(digits, F.lit(0), lambda acc, c: acc * 26 + F.ascii(c) - 64)
 
 

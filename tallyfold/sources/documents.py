@@ -14,10 +14,7 @@ LEDGER_SCHEMA = f"map<string, array<{ENTRY_SCHEMA}>>"
 
 def scan_corpus(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     """Files below a folder: path, size, modification time, text. One file is one row."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_modification_time").alias("modified"),
@@ -27,7 +24,7 @@ def scan_corpus(spark: SparkSession, path, glob: str | None = None) -> DataFrame
 
 def scan_payment_folder(spark: SparkSession, path) -> DataFrame:
     """Files named `.xml` in any letter case: file, value."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.where(F.lower(F.col("_metadata.file_name")).endswith(".xml")).select(
         F.col("_metadata.file_path").alias("file"), "value"
     )
@@ -40,7 +37,7 @@ def scan_name_list(spark: SparkSession, path) -> DataFrame:
 
 def scan_json_nested(spark: SparkSession, path, schema: str = LEDGER_SCHEMA, one_per_file: bool = True) -> DataFrame:
     """Nested JSON documents with an explicit schema, one per file or one per line."""
-    text = spark.read.option("wholetext", one_per_file).text(path)
+    text = spark.read.text(path, wholetext=one_per_file)
     return text.select(
         F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("doc")
     )

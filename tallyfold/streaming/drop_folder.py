@@ -54,7 +54,12 @@ def stream_drop_folder(spark: SparkSession, folder: str, state: str, layout=TARG
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        load_batch(number_lines(batch), batch_id, f"{state}/store", f"{state}/errors", f"{state}/reports", layout)
+        # Numbering and classifying read the rows several times; parse the files once.
+        batch.persist()
+        try:
+            load_batch(number_lines(batch), batch_id, f"{state}/store", f"{state}/errors", f"{state}/reports", layout)
+        finally:
+            batch.unpersist()
 
     query = (
         located.writeStream.foreachBatch(each)
