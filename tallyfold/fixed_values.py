@@ -66,8 +66,13 @@ TARGET_LAYOUT = (
 )
 OPTIONAL_INDEX_COLUMN = "#"
 
-# --- Fixed values: accepted date layouts, tried in this order (one-digit fields allowed).
-TIMESTAMP_PATTERNS = ("d-M-yyyy H:m:s", "yyyy-M-d H:m:s", "d/M/yyyy H:m")
+# --- Fixed values: accepted date layouts (one-digit fields allowed) and the same fields in ISO order.
+# Day-month-year with seconds, year-month-day with seconds, day/month/year with minutes.
+TIMESTAMP_LAYOUTS = (
+    (r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4}) ([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})\z", "$3-$2-$1 $4:$5:$6"),
+    (r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2}) ([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})\z", "$1-$2-$3 $4:$5:$6"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) ([0-9]{1,2}):([0-9]{1,2})\z", "$3-$2-$1 $4:$5:0"),
+)
 
 # --- Fixed values: partner status codes that map to themselves; any other code is kept as it is.
 PARTNER_STATUS_CODES = {"CONFIRMED": "CONFIRMED", "CREATED": "CREATED", "Annulé": "Annulé"}

@@ -3,9 +3,10 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyfold.fixed_values import BLANKS, PARTNER_STATUS_CODES, TIMESTAMP_PATTERNS
+from tallyfold.fixed_values import BLANKS, PARTNER_STATUS_CODES, TIMESTAMP_LAYOUTS
 
-_PLAIN_DECIMAL = r"^[+-]?[0-9]+([.][0-9]+)?\z"
+# Blanks around a number are accepted here and dropped by the cast.
+_PLAIN_DECIMAL = r"^\s*[+-]?[0-9]+([.][0-9]+)?\s*\z"
 _DIGITS = r"^[0-9]+\z"
 _ACCOUNT = r"^[0-9]*[1-9][0-9]*\z"
 
@@ -17,18 +18,24 @@ def strip(text: Column) -> Column:
 
 def plain_number(text: Column, dtype: str = "decimal(18,2)") -> Column:
     """Number written with a dot; anything else is null. The comma is not a decimal sign here."""
-    bare = strip(text)
-    return F.when(bare.rlike(_PLAIN_DECIMAL), bare.try_cast(dtype))
+    return F.when(text.rlike(_PLAIN_DECIMAL), text.try_cast(dtype))
 
 
 def locale_number(text: Column, dtype: str = "decimal(18,2)") -> Column:
     """Number written with a comma or a dot; anything else is null."""
-    return plain_number(F.translate(text, ",", "."), dtype)
+    return plain_number(F.replace(text, F.lit(","), F.lit(".")), dtype)
 
 
-def multi_format_timestamp(text: Column, patterns=TIMESTAMP_PATTERNS) -> Column:
-    """First pattern that parses the whole text, as a timestamp without time zone; else null."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns]).cast("timestamp_ntz")
+def multi_format_timestamp(text: Column, layouts=TIMESTAMP_LAYOUTS) -> Column:
+    """Timestamp without time zone from the layout that fits the whole text; null for none, or for no real date.
+
+    The fields are put in ISO order and cast, which is much cheaper than formatters that fail on most rows
+    and does not depend on the session time zone.
+    """
+    iso = F.lit(None).cast("string")
+    for pattern, order in reversed(layouts):
+        iso = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, order)).otherwise(iso)
+    return iso.try_cast("timestamp_ntz")
 
 
 def map_code(code: Column, mapping=PARTNER_STATUS_CODES) -> Column:

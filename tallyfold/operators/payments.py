@@ -29,6 +29,15 @@ def _amount(text: Column) -> Column:
     return F.when(text.rlike(_AMOUNT_TEXT), text.try_cast(AMOUNT))
 
 
+def _once(df: DataFrame, keep, **columns: Column) -> DataFrame:
+    """Computed columns behind a generator, so that later filters and projections reuse the values.
+
+    A plain projection would be merged into every place that uses its columns, and the parse repeated there.
+    """
+    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(fields)))
+
+
 def parse_messages(files: DataFrame, namespace: str = PAYMENT_NAMESPACE) -> DataFrame:
     """`(file, value)` to one row per file: well_formed, complete, ctrl_sum, ctrl_missing, payments.
 
@@ -38,13 +47,14 @@ def parse_messages(files: DataFrame, namespace: str = PAYMENT_NAMESPACE) -> Data
     """
     text = F.col("value")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true"}
-    parsed = files.select("file", "value", F.from_xml(text, MESSAGE_SCHEMA, options).alias("m"))
     one_document = text.rlike(_TAIL) & (F.regexp_count(text, F.lit(_CLOSING_ROOT)) == 1)
-    well_formed = F.coalesce(F.col("m").isNotNull() & F.col("m._broken").isNull() & one_document, F.lit(False))
-    usable = well_formed & _root_namespace(text, namespace)
-    head = parsed.select(
-        "file", well_formed.alias("well_formed"), F.when(usable, F.col("m.CstmrCdtTrfInitn")).alias("body")
+    parsed = _once(
+        files, ["file"], m=F.from_xml(text, MESSAGE_SCHEMA, options),
+        one_document=one_document, right_version=_root_namespace(text, namespace),
     )
+    well_formed = F.coalesce(F.col("m").isNotNull() & F.col("m._broken").isNull() & F.col("one_document"), F.lit(False))
+    body = F.when(well_formed & F.col("right_version"), F.col("m.CstmrCdtTrfInitn"))
+    head = parsed.select("file", well_formed.alias("well_formed"), body.alias("body"))
     blocks = F.coalesce(F.col("body.PmtInf"), F.array())
     block_sums = F.transform(blocks, lambda b: b["CtrlSum"])
     found = F.coalesce(F.col("body.GrpHdr.CtrlSum"), F.get(F.filter(block_sums, lambda s: s.isNotNull()), F.lit(0)))
@@ -55,7 +65,7 @@ def parse_messages(files: DataFrame, namespace: str = PAYMENT_NAMESPACE) -> Data
             _amount(F.nullif(p["Amt"]["InstdAmt"]["_VALUE"], F.lit(""))).alias("amount"),
         ),
     )
-    flat = head.select("file", "well_formed", F.nullif(found, F.lit("")).alias("ctrl_text"), nested.alias("payments"))
+    flat = _once(head, ["file", "well_formed"], ctrl_text=F.nullif(found, F.lit("")), payments=nested)
     ctrl = _amount(F.col("ctrl_text"))
     ctrl_bad = F.col("ctrl_text").isNotNull() & ctrl.isNull()
     gap = F.exists("payments", lambda p: p["amount"].isNull() | p["reference"].isNull())

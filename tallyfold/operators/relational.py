@@ -28,12 +28,15 @@ def filter_not_in_subquery(df: DataFrame, column: str, listed: DataFrame, listed
     return known.unionByName(unknown)
 
 
-def sort_case_priority(df: DataFrame, table: str, kind: str, ranking, name: str = "priority") -> DataFrame:
-    """Order by table, then by the rank of a kind; kinds that are not ranked come last."""
+def sort_case_priority(df: DataFrame, table: str, kind: str, ranking, then=(), name: str = "priority") -> DataFrame:
+    """Order by table, then by the rank of a kind; kinds that are not ranked come last.
+
+    Name a unique column in `then` for large tables: it lets the range partitioning cut a frequent (table, rank).
+    """
     rank = F.lit(len(ranking) + 1)
     for i, value in reversed(list(enumerate(ranking, 1))):
         rank = F.when(F.col(kind) == value, i).otherwise(rank)
-    return df.withColumn(name, rank.cast("long")).orderBy(table, name)
+    return df.withColumn(name, rank.cast("long")).orderBy(table, name, *then)
 
 
 def inner_edge_join(left: DataFrame, right: DataFrame, on: str, child: str, parent: str) -> DataFrame:

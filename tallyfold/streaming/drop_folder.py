@@ -8,6 +8,17 @@ from tallyfold.operators.ingest import ACCEPTED, KEY, classify_import, import_er
 from tallyfold.sources.tables import number_lines
 
 
+# A batch with at most this many rows probes the store through a broadcast of its keys (some ten MB).
+PROBE_ROWS = 200_000
+
+
+def _probed(stored: DataFrame, typed: DataFrame) -> DataFrame:
+    """Stored keys that the batch can meet, found without moving the store when the batch is small."""
+    if typed.count() > PROBE_ROWS:
+        return stored
+    return stored.join(F.broadcast(typed.select(*KEY).distinct()), list(KEY), "left_semi")
+
+
 def _stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
     """Keys stored by earlier batches. Reading only `batch < id` makes a repeated batch harmless."""
     fields = ", ".join(f"{k} string" for k in KEY)
@@ -25,7 +36,8 @@ def load_batch(rows: DataFrame, batch_id: int, store: str, errors: str, reports:
     """
     spark = rows.sparkSession
     typed = project_target_layout(rows, layout, keep=("file", "line"))
-    judged = classify_import(typed, _stored_before(spark, store, batch_id)).persist()
+    stored = _probed(_stored_before(spark, store, batch_id), typed)
+    judged = classify_import(typed, stored).persist()
     try:
         accepted = judged.where(F.col("status") == ACCEPTED).drop("status")
         accepted.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
