@@ -39,6 +39,9 @@ def apply_plan_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by `spark.checkpoint.dir`.
 
@@ -49,9 +52,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fresh = tempfile.mkdtemp(prefix="tallyfold-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="tallyfold-")
+    return _local_folders[app]
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
