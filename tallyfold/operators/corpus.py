@@ -116,6 +116,11 @@ def union_distinct(strings: DataFrame, *more: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def sort_code_point(strings: DataFrame, column: str = "string") -> DataFrame:
+    """Distinct strings in code-point order, which is Spark's byte order of UTF-8."""
+    return strings.select(column).distinct().orderBy(column)
+
+
 def last_wins_dictionary(strings: DataFrame) -> DataFrame:
     """`(key, text)`: of the strings that share a key, the last one in code-point order."""
     return strings.select(slug_key(F.col("string")).alias("key"), F.col("string")).groupBy("key").agg(

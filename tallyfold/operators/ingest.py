@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import OPTIONAL_INDEX_COLUMN, TARGET_LAYOUT
 from tallyfold.functions.parsing import is_present, locale_number, map_code, multi_format_timestamp
+from tallyfold.operators.joins import lookup_join
 from tallyfold.operators.numbering import first_per_key
 from tallyfold.sources.tables import with_columns_present
 
@@ -49,12 +50,12 @@ def stored_keys(stored: DataFrame, keys=KEY) -> DataFrame:
 
 def insert_if_absent(incoming: DataFrame, stored: DataFrame, keys=KEY) -> DataFrame:
     """Incoming rows whose key is not stored. A null key equals nothing, so it counts as absent."""
-    return incoming.join(stored_keys(stored, keys), list(keys), "left_anti")
+    return lookup_join(incoming, stored_keys(stored, keys), keys, "left_anti")
 
 
 def already_stored(incoming: DataFrame, stored: DataFrame, keys=KEY) -> DataFrame:
     """Incoming rows whose key is stored."""
-    return incoming.join(stored_keys(stored, keys), list(keys), "left_semi")
+    return lookup_join(incoming, stored_keys(stored, keys), keys, "left_semi")
 
 
 def first_wins_dedup(rows: DataFrame, keys=KEY, order=ORDER) -> DataFrame:
@@ -66,8 +67,8 @@ def classify_import(incoming: DataFrame, stored: DataFrame, keys=KEY, order=ORDE
     """Add `status`: accepted, duplicate (stored, or not the first of its key) or missing_key.
 
     Per key, one row says where the key first occurs and whether it is stored. It is built by
-    aggregates that combine before the exchange, and joined back to the rows as the unique side,
-    so a key with a third of all rows can be split by the skew join. A dry run stores nothing,
+    aggregates that combine before the exchange, and joined back to the rows as a lookup, whose hot
+    keys the skew join splits. A dry run stores nothing,
     hence repeats inside the batch pass.
     """
     keys, order = list(keys), list(order)
@@ -80,7 +81,7 @@ def classify_import(incoming: DataFrame, stored: DataFrame, keys=KEY, order=ORDE
     if not dry_run:
         fresh = fresh & (F.struct(*order) == F.col("_first"))
     judged = (
-        keyed.join(state, keys)
+        lookup_join(keyed, state, keys)
         .withColumn("status", F.when(fresh, ACCEPTED).otherwise(DUPLICATE))
         .drop("_first", "_stored")
     )

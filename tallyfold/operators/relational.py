@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.joins import lookup_join
 from tallyfold.operators.numbering import ordered_list_by_key
 
 
@@ -22,8 +23,8 @@ def filter_not_in_subquery(df: DataFrame, column: str, listed: DataFrame, listed
     facts = names.agg(F.count_if(F.col("_v").isNull()).alias("nulls"), F.count("*").alias("n"))
     no_nulls = facts.select(F.col("nulls") == 0).scalar()
     is_empty = facts.select(F.col("n") == 0).scalar()
-    values = names.where("_v is not null").distinct()
-    known = df.where(F.col(column).isNotNull()).join(values, F.col(column) == F.col("_v"), "left_anti").where(no_nulls)
+    values = names.where("_v is not null").distinct().withColumnRenamed("_v", column)
+    known = lookup_join(df.where(F.col(column).isNotNull()), values, [column], "left_anti").where(no_nulls)
     unknown = df.where(F.col(column).isNull()).where(is_empty)
     return known.unionByName(unknown)
 

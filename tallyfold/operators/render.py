@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import INSERT_BATCH_ROWS
 from tallyfold.functions.literals import escape_quotes, row_literal
+from tallyfold.operators.joins import lookup_join
 from tallyfold.operators.numbering import batch_number
 from tallyfold.session import constant_rows
 
@@ -38,7 +39,7 @@ def decimal_array_literal(payments: DataFrame, head: str = "BigDecimal[] valeurs
     `payments` is `(file, ord, amount text)`. The last amount of a file is known from a grouped maximum.
     """
     last = payments.groupBy("file").agg(F.max("ord").alias("_last"))
-    items = payments.join(last, "file").select(
+    items = lookup_join(payments, last, ["file"]).select(
         "file", F.col("ord").cast("int").alias("ord"),
         F.concat(F.format_string(item, "amount"), F.when(F.col("ord") < F.col("_last"), ",").otherwise("")).alias("line"),
     )

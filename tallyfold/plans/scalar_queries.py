@@ -175,6 +175,11 @@ def union_distinct(spark, sf):
     return corpus.union_distinct(corpus.extract_quoted_strings(docs, None), corpus.extract_quoted_strings(pages, None))
 
 
+@query("sort_code_point", f"with {_STRINGS} select distinct string from strings order by string")
+def sort_code_point(spark, sf):
+    return corpus.sort_code_point(corpus.extract_quoted_strings(_sources(spark, sf), None))
+
+
 _DICTIONARY = _STRINGS + """, dict as (select trim(translate(lower(string), ' -/''"', '___'), '_') as key, max(string) as text from strings group by 1)"""
 
 

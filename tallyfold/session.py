@@ -6,13 +6,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Run-time settings every plan relies on: UTC texts, and AQE free to split a skewed join side even
-# when the split costs one more exchange above it.
+# Run-time settings every plan relies on: UTC texts; AQE free to split a skewed join side even when the
+# split costs one more exchange above it; and no generated method too long for the JIT compiler, which
+# the 57-column projections would otherwise reach.
 PLAN_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

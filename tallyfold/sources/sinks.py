@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.joins import lookup_join
+
 
 # Blanks at the ends of a field are data.
 _CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -51,7 +53,7 @@ def json_document_lines(entries: DataFrame, key: str, body: str) -> DataFrame:
     comma = F.when(F.col(key) < F.col("_last"), ",").otherwise("")
     quoted_key = F.to_json(F.struct(F.col(key).alias("k")))
     quoted_key = F.substr(quoted_key, F.lit(6), F.length(quoted_key) - 6)
-    rows = entries.join(last, "section").select(
+    rows = lookup_join(entries, last, ["section"]).select(
         "section", F.lit(1).alias("part"), F.col(key).alias("key"),
         F.concat(F.lit("  "), quoted_key, F.lit(": "), F.col(body), comma).alias("line"),
     )

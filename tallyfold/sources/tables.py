@@ -13,13 +13,19 @@ def scan_csv_text(spark: SparkSession, path, wanted=None, sep: str = ",", multi_
     """Header CSV with every column as text; `wanted` columns that the files lack come out null.
 
     `path` is a path or a list of paths whose files share one header: a file with another header
-    fails instead of shifting columns. Quoted line breaks need `multi_line`, which reads each file in
-    one task; switch it off for large files without them so that they are split.
+    fails instead of shifting columns. Quoted line breaks need `multi_line`, which streams each file
+    through one task; where `has_quoted_breaks` says there are none, switch it off and large files are split.
     """
     df = spark.read.options(**_CSV, sep=sep, multiLine=multi_line, inferSchema=False, **options).csv(path)
     return with_columns_present(df, wanted) if wanted else df
 
 
+def has_quoted_breaks(spark: SparkSession, path) -> bool:
+    """Whether some line of the files has an odd number of quotes, so that a quoted field goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def with_columns_present(df: DataFrame, wanted) -> DataFrame:
     """Exactly the wanted columns, by name; absent ones are null text."""
     have = set(df.columns)

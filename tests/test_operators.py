@@ -80,6 +80,36 @@ def test_hot_key_dedup_and_report(spark):
     assert got == {"accepted": 40_000, "duplicate": 20_000}
 
 
+@pytest.mark.parametrize("how", ["insert", "classify", "not_in"])
+def test_hot_key_is_split_by_the_skew_join(spark, how):
+    lowered = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50000", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in lowered}
+    for k, v in lowered.items():
+        spark.conf.set(k, v)
+    try:
+        data = hot(spark, 400_000).withColumn("pad", F.sha2(F.col("line").cast("string"), 256)).repartition(16)
+        other = spark.range(300_000, 700_000).select(F.lit("S").alias("service"), F.col("id").cast("string").alias("reference"))
+        if how == "insert":
+            out = ingest.insert_if_absent(data, other)
+        elif how == "classify":
+            out = ingest.classify_import(data, other)
+        else:
+            out = relational.filter_not_in_subquery(data, "reference", other, "reference")
+        n = out.count() if how != "classify" else out.where("status = 'accepted'").count()
+        df = out.agg(F.bit_xor(F.xxhash64("pad")))
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+        fresh = 400_000 - sum(1 for i in range(300_000, 400_000) if i % 3)
+        assert n == (fresh if how != "classify" else fresh - 133_334 + 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_hot_key_row_numbers(spark):
     data = hot(spark).select("reference", "line")
     numbered = numbering.row_number_by_position(data, ["reference"], "line", width=1000)
@@ -403,6 +433,13 @@ def test_routes_cover_all_rows(spark):
 
 # --- files
 
+def test_quoted_breaks_are_found(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x\n"a ""b"" c"\n')
+    assert not tables.has_quoted_breaks(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text('x\n"a\nb"\n')
+    assert tables.has_quoted_breaks(spark, str(tmp_path))
+
+
 def test_csv_header_mismatch_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("y,x\n3,4\n")
