@@ -18,7 +18,7 @@ def unify_newlines(text: Column) -> Column:
 def line_count(text: Column) -> Column:
     """Newlines, plus one when the text ends in an unfinished line; 0 for an empty text."""
     body = unify_newlines(text)
-    newlines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    newlines = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit("")))
     unfinished = F.when((body == "") | F.endswith(body, F.lit("\n")), 0).otherwise(1)
     return (newlines + unfinished).cast("long")
 

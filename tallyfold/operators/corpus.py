@@ -10,25 +10,18 @@ from tallyfold.functions.naming import file_extension, mb_text, path_parts, raw_
 from tallyfold.functions.texts import line_count, quoted_strings, token_count, unify_newlines
 
 
-def _directories(path: Column) -> Column:
-    parts = path_parts(path)
-    return F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+def _any_of(words) -> str:
+    return "(" + "|".join(rf"\Q{w}\E" for w in words) + ")"
 
 
 def outside_ignored_dirs(path: Column, words=IGNORED_DIR_WORDS) -> Column:
-    """No directory name contains one of the words."""
-    def hit(part):
-        found = F.lit(False)
-        for w in words:
-            found = found | F.contains(part, F.lit(w))
-        return found
-
-    return ~F.exists(_directories(path), hit)
+    """No directory name contains one of the words: no word is followed by a slash further on."""
+    return ~path.rlike(rf"{_any_of(words)}[^/]*/")
 
 
 def outside_excluded_dirs(path: Column, names=TREE_EXCLUDED) -> Column:
     """No directory below the root has exactly one of the names."""
-    return ~F.arrays_overlap(_directories(path), F.array(*map(F.lit, names)))
+    return ~path.rlike(rf"(^|/){_any_of(names)}/")
 
 
 def has_extension(path: Column, extensions, ignore_case: bool = True) -> Column:

@@ -23,29 +23,32 @@ def anchor_values(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return merges.join(corner, ["sheet", "min_row", "min_col"], "left")
 
 
-def merged_range_fill(cells: DataFrame, merges: DataFrame, positions: DataFrame | None = None) -> DataFrame:
-    """Value of every position, where a position in a merged range takes the first cell's value.
+def _fill_from_ranges(wanted: DataFrame, merges: DataFrame, cells: DataFrame, col: Column, value: str) -> DataFrame:
+    """Replace `value` of the wanted rows (sheet, row, …) whose place (row, col) lies in a merged range.
 
     The range join is an equi-join on (sheet, band of rows) with the exact test on top; a range is
-    repeated once per band it touches. `positions` defaults to the filled cells.
+    repeated once per band it touches.
     """
-    banded = anchor_values(cells, merges).select(
-        "sheet", "min_row", "max_row", "min_col", "max_col", "anchor",
-        F.explode(F.sequence(F.floor(F.col("min_row") / BAND), F.floor(F.col("max_row") / BAND))).alias("band"),
-    ).alias("r")
-    if positions is None:
-        wanted = cells
-    else:
-        wanted = positions.join(cells, ["sheet", "row", "col"], "left")
-    wanted = wanted.withColumn("band", F.floor(F.col("row") / BAND)).alias("c")
+    ranges = anchor_values(cells, merges).select(
+        F.col("sheet").alias("_sheet"), "min_row", "max_row", "min_col", "max_col", "anchor",
+        F.explode(F.sequence(F.floor(F.col("min_row") / BAND), F.floor(F.col("max_row") / BAND))).alias("_range_band"),
+    )
+    banded = wanted.withColumn("_band", F.floor(F.col("row") / BAND)).withColumn("_col", col)
     inside = (
-        (F.col("c.sheet") == F.col("r.sheet"))
-        & (F.col("c.band") == F.col("r.band"))
-        & F.col("c.row").between(F.col("r.min_row"), F.col("r.max_row"))
-        & F.col("c.col").between(F.col("r.min_col"), F.col("r.max_col"))
+        (F.col("sheet") == F.col("_sheet")) & (F.col("_band") == F.col("_range_band"))
+        & F.col("row").between(F.col("min_row"), F.col("max_row")) & F.col("_col").between(F.col("min_col"), F.col("max_col"))
     )
-    value = F.when(F.col("r.sheet").isNotNull(), F.col("r.anchor")).otherwise(F.col("c.value"))
-    return wanted.join(banded, inside, "left").select("c.sheet", "c.row", "c.col", value.alias("value"))
+    filled = F.when(F.col("_sheet").isNotNull(), F.col("anchor")).otherwise(F.col(value))
+    return banded.join(ranges, inside, "left").withColumn(value, filled).select(*wanted.columns)
+
+
+def merged_range_fill(cells: DataFrame, merges: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """Value of every position, where a position in a merged range takes the first cell's value.
+
+    `positions` defaults to the filled cells.
+    """
+    wanted = cells if positions is None else positions.join(cells, ["sheet", "row", "col"], "left")
+    return _fill_from_ranges(wanted.select("sheet", "row", "col", "value"), merges, cells, F.col("col"), "value")
 
 
 def column_number(letters: Column) -> Column:
@@ -103,36 +106,32 @@ def lookahead_label(cells: DataFrame, merges: DataFrame, word: str, label_col: i
 def build_entries(cells: DataFrame, merges: DataFrame, word: str, columns=SHEET_COLUMNS) -> DataFrame:
     """One entry per row with a numeric debit or credit account: sheet, ligne, comptes, libelle.
 
-    `comptes` holds the debit and the credit account, each if it is not empty.
+    `comptes` holds the debit and the credit account, each if it is not empty. Amounts that are
+    references are looked up first; then one grouping turns the cells of a row into columns.
     """
-    def at(name):
-        return F.max(F.when(F.col("col") == columns[name], F.col("value"))).alias(name)
-
-    accounts = (
-        cells.where(F.col("col").isin(columns["debit"], columns["credit"]))
-        .groupBy("sheet", "row").agg(at("debit"), at("credit"))
-        .where(is_numeric_account(F.col("debit")) | is_numeric_account(F.col("credit")))
+    is_amount = F.col("col").isin(columns["debit_amount"], columns["credit_amount"])
+    points = is_amount & F.coalesce(F.col("value").rlike(_REFERENCE), F.lit(False))
+    resolved = cell_reference_lookup(cells, cells.where(points))
+    used = cells.where(F.col("col").isin(*columns.values()) & ~points).unionByName(resolved)
+    by_row = used.groupBy("sheet", "row").agg(
+        *[F.max(F.when(F.col("col") == number, F.col("value"))).alias(name) for name, number in columns.items()]
+    )
+    chosen = by_row.where(is_numeric_account(F.col("debit")) | is_numeric_account(F.col("credit")))
+    ahead = lookahead_label(cells, merges, word, columns["label"]).withColumnRenamed("label", "libelle")
+    titled = _fill_from_ranges(
+        chosen.join(ahead, ["sheet", "row"], "left"), merges, cells, F.lit(columns["label"]), "label"
     )
-    money = cells.where(F.col("col").isin(columns["debit_amount"], columns["credit_amount"]))
-    amounts = cell_reference_lookup(cells, money).groupBy("sheet", "row").agg(at("debit_amount"), at("credit_amount"))
-    places = accounts.select("sheet", "row", F.lit(columns["label"]).alias("col"))
-    titles = merged_range_fill(cells, merges, places).select("sheet", "row", F.col("value").alias("title"))
-    ahead = lookahead_label(cells, merges, word, columns["label"])
 
-    def account(number, side, amount):
+    def account(number, amount):
         record = F.struct(
-            F.col(number).alias("numero"), F.lit(side).alias("sens"), F.col("title").alias("intitule"),
+            F.col(number).alias("numero"), F.lit(number).alias("sens"), F.col("label").alias("intitule"),
             F.col(amount).alias("montant"), F.lit("").alias("formule"),
         )
         return F.when(F.coalesce(number, F.lit("")) != "", record)
 
-    both = F.array(account("debit", "debit", "debit_amount"), account("credit", "credit", "credit_amount"))
-    joined = accounts.join(titles, ["sheet", "row"], "left").join(amounts, ["sheet", "row"], "left").join(
-        ahead, ["sheet", "row"], "left"
-    )
-    return joined.select(
-        "sheet", F.col("row").alias("ligne"), F.filter(both, lambda a: a.isNotNull()).alias("comptes"),
-        F.col("label").alias("libelle"),
+    both = F.array(account("debit", "debit_amount"), account("credit", "credit_amount"))
+    return titled.select(
+        "sheet", F.col("row").alias("ligne"), F.filter(both, lambda a: a.isNotNull()).alias("comptes"), "libelle"
     )
 
 

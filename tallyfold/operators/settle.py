@@ -146,7 +146,7 @@ def country_contains_totals(tx: DataFrame, countries, group: str, cancelled: str
     names = list(countries)
     send, pay = contains_word(F.col("service"), SEND), contains_word(F.col("service"), PAY)
     company = F.lower("compagnie")
-    matches = F.filter(F.array(*map(F.lit, names)), lambda c: F.contains(company, F.lower(c)))
+    matches = F.array_compact(F.array(*[F.when(F.contains(company, F.lit(n.lower())), n) for n in names]))
     sums = (
         tx.where((F.col("groupe") == group) & (send | pay))
         .select(F.explode(matches).alias("country"), "montant", "montant_a_percevoir", "statut",
