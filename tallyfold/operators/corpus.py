@@ -165,7 +165,7 @@ def path_tree(files: DataFrame, root: str, excluded=TREE_EXCLUDED) -> DataFrame:
     listed = keyed.select(
         "sort_key", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("+--"), name).alias("line")
     )
-    top = files.sparkSession.range(1).select(
+    top = files.sparkSession.range(0, 1, 1, 1).select(
         F.array().cast("array<string>").alias("sort_key"), F.lit(0).alias("depth"), F.lit(f"+--{root}").alias("line")
     )
     return listed.unionByName(top)

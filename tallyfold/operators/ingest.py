@@ -18,21 +18,24 @@ def drop_optional_column(df: DataFrame, name: str = OPTIONAL_INDEX_COLUMN) -> Da
     return df.drop(name)
 
 
-def _typed(kind: str, value: Column) -> Column:
+def _typed(kind: str, value: Column, number_type: str) -> Column:
     if kind == "number":
-        return locale_number(value)
+        return locale_number(value, number_type)
     if kind == "timestamp":
         return multi_format_timestamp(value)
     text = F.nullif(value, F.lit(""))
     return map_code(text) if kind == "code" else text
 
 
-def project_target_layout(raw: DataFrame, layout=TARGET_LAYOUT, keep=()) -> DataFrame:
-    """Raw headers to stored names, order and types in one projection; absent headers are null."""
+def project_target_layout(raw: DataFrame, layout=TARGET_LAYOUT, keep=(), number_type: str = "decimal(18,2)") -> DataFrame:
+    """Raw headers to stored names, order and types in one projection; absent headers are null.
+
+    Numbers are money with two decimals; name a wider `number_type` for files with finer rates.
+    """
     sources = [source for source, _, _ in layout]
     present = with_columns_present(drop_optional_column(raw), [*sources, *keep])
     return present.select(
-        *[_typed(kind, F.col(f"`{source}`")).alias(target) for source, target, kind in layout], *keep
+        *[_typed(kind, F.col(f"`{source}`"), number_type).alias(target) for source, target, kind in layout], *keep
     )
 
 

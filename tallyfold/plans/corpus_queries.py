@@ -100,7 +100,7 @@ def path_tree(spark, sf):
 
 @query(
     "bundle_lines",
-    duck("files", """select path, i - 1 as ord, lines[i] as line from (select path, lines, unnest(range(1, len(lines) + 1)) as i from
+    duck("files", """select path, cast(i - 1 as int) as ord, lines[i] as line from (select path, lines, unnest(range(1, len(lines) + 1)) as i from
  (select path, list_append(list_prepend('// ' || path, string_split(regexp_replace(text, '\\n$', ''), chr(10))), '') as lines from files))"""),
 )
 def bundle_lines(spark, sf):

@@ -49,7 +49,7 @@ _AHEAD = _FILLED + f""", spots as (select sheet, unnest(range(min_row, max_row +
  ahead as (select sheet, row, arg_min(label, spot) as label from seen where row > 0 group by 1, 2)"""
 
 
-@query("lookahead_label", duck(["cells", "merges"], "select sheet, row, label from ahead", _AHEAD))
+@query("lookahead_label", duck(["cells", "merges"], "select sheet, cast(row as int) as row, label from ahead", _AHEAD))
 def lookahead_label(spark, sf):
     return ledger.lookahead_label(*grid(spark, sf), WORD)
 

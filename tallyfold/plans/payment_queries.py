@@ -55,7 +55,7 @@ def scan_payment_xml(spark, sf):
 
 @query(
     "flatten_message",
-    duck("payments", f"""select concat('f', cast(k as varchar), '.xml') as file, row_number() over (partition by k order by o_orderkey) - 1 as ord,
+    duck("payments", f"""select concat('f', cast(k as varchar), '.xml') as file, cast(row_number() over (partition by k order by o_orderkey) - 1 as int) as ord,
  reference, cast(amount as double) as amount from payments where {_GOOD}"""),
 )
 def flatten_message(spark, sf):
@@ -136,7 +136,7 @@ def duplicate_reference_lines(spark, sf):
 
 @query(
     "decimal_array_literal",
-    duck("payments", """select file, ord, case when ord = -1 then 'BigDecimal[] valeurs = {' when ord = n then '};'
+    duck("payments", """select file, cast(ord as int) as ord, case when ord = -1 then 'BigDecimal[] valeurs = {' when ord = n then '};'
  else concat('    new BigDecimal("', amount, '")', case when ord < n - 1 then ',' else '' end) end as line from
  (select file, ord, amount, n from good union all select distinct file, -1, null, n from good union all select distinct file, n, null, n from good)""",
          f"""good as (select concat('f', cast(k as varchar), '.xml') as file, row_number() over (partition by k order by o_orderkey) - 1 as ord,

@@ -119,7 +119,7 @@ def filter_like_prefix(spark, sf):
 
 @query(
     "sort_case_priority",
-    "select c_nationkey, c_custkey, case c_mktsegment when 'BUILDING' then 1 when 'MACHINERY' then 2 when 'HOUSEHOLD' then 3 else 4 end as priority from customer order by 1, 3, 2",
+    "select c_nationkey, c_custkey, cast(case c_mktsegment when 'BUILDING' then 1 when 'MACHINERY' then 2 when 'HOUSEHOLD' then 3 else 4 end as bigint) as priority from customer order by 1, 3, 2",
 )
 def sort_case_priority(spark, sf):
     ranked = relational.sort_case_priority(table(spark, sf, "customer"), "c_nationkey", "c_mktsegment", ["BUILDING", "MACHINERY", "HOUSEHOLD"], then=["c_custkey"])

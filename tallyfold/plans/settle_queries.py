@@ -50,7 +50,7 @@ _VALID, _BAD = f"{_NET} and statut is distinct from 'CANCELLED'", f"{_NET} and s
 
 @query(
     "recap_union",
-    duck("tx", "select 1 as pos, 'Receiving group - total' as operation, c0 as montant from r "
+    duck("tx", "select cast(1 as bigint) as pos, 'Receiving group - total' as operation, c0 as montant from r "
          "union all select 2, 'Group - sends', c1 from r union all select 3, 'Group - payments', c2 from r "
          "union all select 4, 'Corridor - valid', c3 from r union all select 5, 'Corridor - cancelled', c4 from r",
          q.TYPED + f""", first as (select * from (select *, row_number() over (partition by service, reference order by file, line) as n

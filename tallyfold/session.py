@@ -79,4 +79,4 @@ def constant_rows(spark: SparkSession, schema: str, rows) -> DataFrame:
     structs = [
         F.struct(*[F.lit(v).cast(dtype).alias(name) for v, (name, dtype) in zip(row, fields)]) for row in rows
     ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
