@@ -8,6 +8,7 @@ from tallyfold.fixed_values import (
 )
 from tallyfold.functions.naming import file_extension, mb_text, path_parts, raw_extension, slug_key
 from tallyfold.functions.texts import line_count, quoted_strings, token_count, unify_newlines
+from tallyfold.operators.joins import lookup_join
 
 
 def _any_of(words) -> str:
@@ -181,36 +182,40 @@ def bundle_lines(files: DataFrame, with_content: bool = True, marker: str = "//
     return files.select("path", F.posexplode(lines).alias("ord", "line"))
 
 
-def collision_suffix(incoming: DataFrame, present: DataFrame) -> DataFrame:
+def collision_suffix(incoming: DataFrame, present: DataFrame, whole_names: bool = False) -> DataFrame:
     """Free target name of every incoming `(category, name)`.
 
     A name that is free at the target is kept. A taken one becomes `stem (i).ext` with the smallest
-    i >= 1 that is used neither at the target nor by an incoming file that keeps its name. The
-    candidates for i are 1 and every used number plus 1; the unused ones survive an anti-join.
+    i >= 1 that is used neither at the target nor by an incoming name that is kept; with
+    `whole_names` (directories) it becomes `name (i)`. The candidates for i are 1 and every used number
+    plus 1; the unused ones survive an anti-join, so no list of used numbers is gathered.
     """
-    keys = ["category", "name"]
-    taken = incoming.join(present.select(*keys).distinct(), keys, "left_semi")
-    kept = incoming.join(present.select(*keys).distinct(), keys, "left_anti")
-    occupied = present.select(*keys).union(kept.select(*keys)).distinct()
-    numbered = r"(?s)^(.*) [(]([1-9][0-9]{0,8})[)]([.][^.]*)?\z"
-    used = occupied.where(F.col("name").rlike(numbered)).select(
-        "category", F.regexp_extract("name", numbered, 1).alias("stem"),
-        F.regexp_extract("name", numbered, 3).alias("ext"),
-        F.regexp_extract("name", numbered, 2).cast("long").alias("i"),
+    keys, stems = ["category", "name"], ["category", "stem", "ext"]
+    there = present.select(*keys).distinct()
+    marked = lookup_join(incoming, there.withColumn("_taken", F.lit(True)), keys, "left")
+    kept = marked.where("_taken is null").drop("_taken")
+    taken = marked.where("_taken").drop("_taken")
+
+    name = F.col("name")
+    suffix = r"([.][^.]*)?"
+    numbered = r"(?s)^(.*) [(]([1-9][0-9]{0,8})[)]" + ("()" if whole_names else suffix) + r"\z"
+    used = there.union(kept.select(*keys)).where(name.rlike(numbered)).select(
+        "category", F.regexp_extract(name, numbered, 1).alias("stem"), F.regexp_extract(name, numbered, 3).alias("ext"),
+        F.regexp_extract(name, numbered, 2).cast("long").alias("i"),
     ).distinct()
     parts = r"(?s)^(.*[^.].*?)([.][^.]*)\z"
-    has_ext = F.col("name").rlike(parts)
+    has_ext = F.lit(False) if whole_names else name.rlike(parts)
     split = taken.select(
-        *taken.columns, F.when(has_ext, F.regexp_extract("name", parts, 1)).otherwise(F.col("name")).alias("stem"),
-        F.when(has_ext, F.regexp_extract("name", parts, 2)).otherwise("").alias("ext"),
+        *taken.columns, F.when(has_ext, F.regexp_extract(name, parts, 1)).otherwise(name).alias("stem"),
+        F.when(has_ext, F.regexp_extract(name, parts, 2)).otherwise("").alias("ext"),
     )
-    stems = ["category", "stem", "ext"]
     wanted = split.select(*stems).distinct()
-    candidates = wanted.withColumn("i", F.lit(1).cast("long")).unionByName(
-        used.join(wanted, stems, "left_semi").withColumn("i", F.col("i") + 1)
-    )
+    after_used = lookup_join(used, wanted, stems, "left_semi").withColumn("i", F.col("i") + 1)
+    candidates = wanted.withColumn("i", F.lit(1).cast("long")).unionByName(after_used)
     free = candidates.join(used, [*stems, "i"], "left_anti").groupBy(*stems).agg(F.min("i").alias("i"))
     renamed = split.join(free, stems).withColumn(
         "target_name", F.concat("stem", F.lit(" ("), F.col("i").cast("string"), F.lit(")"), "ext")
     )
-    return renamed.select(*incoming.columns, "target_name").unionByName(kept.withColumn("target_name", F.col("name")))
+    return renamed.select(*incoming.columns, "target_name").unionByName(
+        kept.select(*incoming.columns, F.col("name").alias("target_name"))
+    )

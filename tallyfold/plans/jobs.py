@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import TARGET_LAYOUT
+from tallyfold.functions.naming import base_name, file_category
 from tallyfold.functions.parsing import is_numeric_id, locale_number, plain_number
 from tallyfold.functions.phones import normalise_phones, phone_pick_valid
 from tallyfold.operators import contacts, corpus, ingest, ledger, payments, render, settle
@@ -141,6 +142,12 @@ def corpus_report(files: DataFrame, root: str) -> dict[str, DataFrame]:
     }
 
 
+def tidy_plan(incoming: DataFrame, present: DataFrame) -> DataFrame:
+    """Where the files of a folder would go: category folder and free name. `present` is `(category, name)`."""
+    named = file_category(incoming).withColumn("name", base_name(F.col("path")))
+    return corpus.collision_suffix(named.select("path", "category", "name"), present)
+
+
 def translation_entries(files: DataFrame) -> DataFrame:
     """Quoted strings of a source tree as `(lang, key, text)`."""
     strings = corpus.union_distinct(corpus.extract_quoted_strings(files))

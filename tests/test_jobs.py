@@ -91,6 +91,13 @@ def test_corpus_folder(spark, tmp_path):
     assert entries == {("fr", "bon_jour"): "Bon-jour", ("en", "bon_jour"): ""}
 
 
+def test_tidy_plan(spark):
+    incoming = spark.createDataFrame([("/in/a.pdf",), ("/in/b.pdf",)], "path string")
+    present = spark.createDataFrame([("Documents/PDF", "a.pdf")], "category string, name string")
+    got = sorted((r.path, r.category, r.target_name) for r in jobs.tidy_plan(incoming, present).collect())
+    assert got == [("/in/a.pdf", "Documents/PDF", "a (1).pdf"), ("/in/b.pdf", "Documents/PDF", "b.pdf")]
+
+
 def test_fee_table(spark, tmp_path):
     (tmp_path / "f.csv").write_text('année,mois,total_frais\n2024,mars,"1,5"\n2024,mars,2\n2023,avril,4\n,mars,9\n')
     out = jobs.fee_table(tables.scan_csv_text(spark, str(tmp_path / "f.csv")), [2023, 2024]).collect()

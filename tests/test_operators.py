@@ -348,6 +348,13 @@ def test_collision_suffix_fills_gaps(spark):
     assert got == {"a.txt": "a (2).txt", "b.txt": "b.txt", "c": "c (1)", "d.txt": "d (2).txt", "d (1).txt": "d (1).txt", ".x": ".x (1)"}
 
 
+def test_directories_keep_their_whole_name(spark):
+    incoming = spark.createDataFrame([("", "v1.2"), ("", "new")], "category string, name string")
+    present = spark.createDataFrame([("", "v1.2"), ("", "v1.2 (1)"), ("", "v1 (2).2")], "category string, name string")
+    got = {r.name: r.target_name for r in corpus.collision_suffix(incoming, present, whole_names=True).collect()}
+    assert got == {"v1.2": "v1.2 (2)", "new": "new"}
+
+
 def test_last_string_wins_and_json_lines(spark, tmp_path):
     strings = spark.createDataFrame([("Été x",), ("été-x",), ("b",), ("b",)], "string string")
     entries = corpus.translation_entries(corpus.last_wins_dictionary(corpus.union_distinct(strings)))
@@ -449,6 +456,12 @@ def test_csv_header_mismatch_fails(spark, tmp_path):
     assert rows(both.select("x", "y")) == [("1", "2"), ("4", "3")]
 
 
+def test_csv_subset_of_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,Dev. Src\n1,2,3\n")
+    got = tables.scan_csv_text(spark, str(tmp_path), wanted=["Dev. Src", "y", "none"])
+    assert rows(got) == [("3", "2", None)]
+
+
 def test_csv_lines_across_splits(spark, tmp_path):
     (tmp_path / "big.csv").write_text("v\n" + "".join(f"row {i}\n" for i in range(60_000)))
     (tmp_path / "small.csv").write_text("v\nrow 0\nrow 1\n")
