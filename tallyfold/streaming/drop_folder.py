@@ -1,5 +1,6 @@
 """Incremental load of a drop folder: every file is read once, the checkpoint remembers which."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,13 @@ def _probed(stored: DataFrame, typed: DataFrame) -> DataFrame:
 def _stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
     """Keys stored by earlier batches. Reading only `batch < id` makes a repeated batch harmless."""
     fields = ", ".join(f"{k} string" for k in KEY)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        known = spark.read.schema(f"{fields}, batch long").parquet(store)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], fields)
-    return spark.read.schema(f"{fields}, batch long").parquet(store).where(F.col("batch") < batch_id).select(*KEY)
+    return known.where(F.col("batch") < batch_id).select(*KEY)
 
 
 def load_batch(rows: DataFrame, batch_id: int, store: str, errors: str, reports: str, layout=TARGET_LAYOUT) -> None:
