@@ -1,5 +1,6 @@
 """Whole jobs: folder in, tables out. Each is one lazy plan per result; the writers are in `sources.sinks`."""
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,9 +127,10 @@ def ledger_documents(cells: DataFrame, merges: DataFrame, word: str, amount: str
 
 def relative_files(spark: SparkSession, folder: str) -> DataFrame:
     """A folder's files with their path below it."""
-    root = rf"^(file:/+)?/?{folder.strip('/')}"
-    found = documents.scan_corpus(spark, folder)
-    return found.withColumn("path", F.regexp_replace("path", root, ""))
+    scheme = r"^([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)?"
+    root = "/" + re.sub(scheme, "", folder).strip("/")
+    below = F.regexp_replace("path", rf"{scheme}\Q{root}\E/+", "/")
+    return documents.scan_corpus(spark, folder).withColumn("path", below)
 
 
 def corpus_report(files: DataFrame, root: str) -> dict[str, DataFrame]:

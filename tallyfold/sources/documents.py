@@ -1,6 +1,6 @@
 """Text corpora, name lists, nested JSON and payment messages as DataFrames."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.parsing import strip
@@ -12,10 +12,15 @@ ENTRY_SCHEMA = (
 LEDGER_SCHEMA = f"map<string, array<{ENTRY_SCHEMA}>>"
 
 
+def located_at() -> Column:
+    """Path of the scanned file; Spark reports it as an escaped URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def scan_corpus(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     """Files below a folder: path, size, modification time, text. One file is one row."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(
-        F.col("_metadata.file_path").alias("path"),
+        located_at().alias("path"),
         F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_modification_time").alias("modified"),
         F.col("value").alias("text"),
@@ -26,7 +31,7 @@ def scan_payment_folder(spark: SparkSession, path) -> DataFrame:
     """Files named `.xml` in any letter case: file, value."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.where(F.lower(F.col("_metadata.file_name")).endswith(".xml")).select(
-        F.col("_metadata.file_path").alias("file"), "value"
+        located_at().alias("file"), "value"
     )
 
 

@@ -91,6 +91,17 @@ def test_corpus_folder(spark, tmp_path):
     assert entries == {("fr", "bon_jour"): "Bon-jour", ("en", "bon_jour"): ""}
 
 
+def test_paths_with_odd_characters(spark, tmp_path):
+    root = tmp_path / "a+b (c)"
+    (root / "d é%").mkdir(parents=True)
+    (root / "d é%" / "x y+z.txt").write_text("t")
+    inner = root / str(root).strip("/")
+    inner.mkdir(parents=True)
+    (inner / "r.txt").write_text("t")
+    got = sorted(r.path for r in jobs.relative_files(spark, str(root)).collect())
+    assert got == sorted(["/d é%/x y+z.txt", f"{root}/r.txt"])
+
+
 def test_tidy_plan(spark):
     incoming = spark.createDataFrame([("/in/a.pdf",), ("/in/b.pdf",)], "path string")
     present = spark.createDataFrame([("Documents/PDF", "a.pdf")], "category string, name string")
