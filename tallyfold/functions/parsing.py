@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from tallyfold.fixed_values import BLANKS, PARTNER_STATUS_CODES, TIMESTAMP_LAYOUTS
 
 # Blanks around a number are accepted here and dropped by the cast.
-_PLAIN_DECIMAL = r"^\s*[+-]?[0-9]+([.][0-9]+)?\s*\z"
+_PLAIN_DECIMAL = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,3})?\s*\z"
+# Wide enough for amounts and rates as they are written: eighteen digits before the point, ten after it.
+NUMBER_TYPE = "decimal(28,10)"
 _DIGITS = r"^[0-9]+\z"
 _ACCOUNT = r"^[0-9]*[1-9][0-9]*\z"
 
@@ -16,12 +18,12 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
-def plain_number(text: Column, dtype: str = "decimal(18,2)") -> Column:
-    """Number written with a dot; anything else is null. The comma is not a decimal sign here."""
+def plain_number(text: Column, dtype: str = NUMBER_TYPE) -> Column:
+    """Number written with a dot, with or without exponent (`.5`, `5.`, `1e3`); anything else is null. The comma is not a decimal sign here."""
     return F.when(text.rlike(_PLAIN_DECIMAL), text.try_cast(dtype))
 
 
-def locale_number(text: Column, dtype: str = "decimal(18,2)") -> Column:
+def locale_number(text: Column, dtype: str = NUMBER_TYPE) -> Column:
     """Number written with a comma or a dot; anything else is null."""
     return plain_number(F.replace(text, F.lit(","), F.lit(".")), dtype)
 

@@ -27,8 +27,7 @@ def outside_excluded_dirs(path: Column, names=TREE_EXCLUDED) -> Column:
 
 def has_extension(path: Column, extensions, ignore_case: bool = True) -> Column:
     name = F.lower(path) if ignore_case else path
-    alternatives = "|".join(e.lstrip(".") for e in extensions)
-    return name.rlike(rf"[.]({alternatives})\z")
+    return name.rlike(rf"[.]{_any_of(e.lstrip('.') for e in extensions)}\z")
 
 
 def filter_corpus_files(files: DataFrame, extensions=CODE_EXTENSIONS, words=IGNORED_DIR_WORDS,
@@ -38,6 +37,13 @@ def filter_corpus_files(files: DataFrame, extensions=CODE_EXTENSIONS, words=IGNO
     return files.where(has_extension(path, extensions) & (F.col("size") <= max_bytes) & outside_ignored_dirs(path, words))
 
 
+def skipped_files(files: DataFrame, extensions=CODE_EXTENSIONS, words=IGNORED_DIR_WORDS, max_bytes: int = MAX_COUNTED_BYTES) -> DataFrame:
+    """Code files that are left out of the counts for their size: path, size."""
+    path = F.col("path")
+    large = has_extension(path, extensions) & (F.col("size") > max_bytes) & outside_ignored_dirs(path, words)
+    return files.where(large).select("path", "size")
+
+
 def filter_excluded_dirs_exact(files: DataFrame, names=TREE_EXCLUDED) -> DataFrame:
     return files.where(outside_excluded_dirs(F.col("path"), names))
 
@@ -52,13 +58,14 @@ def lines_by_extension(files: DataFrame, **filters) -> DataFrame:
 
 def corpus_totals(files: DataFrame, extensions=CODE_EXTENSIONS, words=IGNORED_DIR_WORDS,
                   max_bytes: int = MAX_COUNTED_BYTES) -> DataFrame:
-    """All files seen, counted files and their lines, in one pass."""
+    """All files seen, counted files and their lines, and code files skipped for their size, in one pass."""
     path = F.col("path")
-    counted = has_extension(path, extensions) & (F.col("size") <= max_bytes)
+    code = has_extension(path, extensions)
+    counted = code & (F.col("size") <= max_bytes)
     lines = F.when(counted, line_count(F.col("text")))
     return files.where(outside_ignored_dirs(path, words)).agg(
         F.count("*").alias("all_files"), F.count_if(counted).alias("code_files"),
-        F.coalesce(F.sum(lines), F.lit(0)).alias("lines"),
+        F.coalesce(F.sum(lines), F.lit(0)).alias("lines"), F.count_if(code & ~counted).alias("skipped_files"),
     )
 
 
@@ -67,11 +74,12 @@ def sort_lines_desc(stats: DataFrame) -> DataFrame:
 
 
 def size_by_top_entry(files: DataFrame) -> DataFrame:
-    """Each entry directly below the root with its whole size: name, is_dir, size, size_mb."""
+    """Each entry directly below the root with its whole size: name, is_dir, size, size_mb; `modified` (latest) where files have it."""
     parts = path_parts(F.col("path"))
-    entries = files.select(parts[0].alias("name"), (F.size(parts) > 1).alias("is_dir"), "size")
+    dated = [c for c in ("modified",) if c in files.columns]
+    entries = files.select(parts[0].alias("name"), (F.size(parts) > 1).alias("is_dir"), "size", *dated)
     return entries.groupBy("name").agg(
-        F.bool_or("is_dir").alias("is_dir"), F.sum("size").alias("size")
+        F.bool_or("is_dir").alias("is_dir"), F.sum("size").alias("size"), *[F.max(c).alias(c) for c in dated]
     ).withColumn("size_mb", mb_text(F.col("size")))
 
 
@@ -131,14 +139,12 @@ def translation_entries(dictionary: DataFrame, source_lang: str = "fr", target_l
     return dictionary.select("key", F.explode(langs).alias("e")).select("e.lang", "key", "e.text")
 
 
-def translation_map(entries: DataFrame, keys_per_map: int = 10_000) -> DataFrame:
-    """Nested form `{lang: {key: text}}`: shard, doc.
+def translation_map(entries: DataFrame, shards: int = 1) -> DataFrame:
+    """Nested form `{lang: {key: text}}`: shard, doc. One document, or as many as the caller names, by key hash.
 
-    The number of shards is the number of keys over `keys_per_map`, so a small dictionary is one document and
-    a large one is spread by key hash over documents of bounded size.
+    A dictionary that does not fit a row is written as ordered lines (`sinks.json_document_lines`) instead.
     """
-    shards = entries.agg(F.greatest(F.ceil(F.count_distinct("key") / keys_per_map), F.lit(1))).scalar()
-    share = F.pmod(F.xxhash64("key"), shards).alias("shard")
+    share = F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")).alias("shard")
     per_lang = entries.select(share, "lang", "key", "text").groupBy("shard", "lang").agg(
         F.array_sort(F.collect_list(F.struct("key", "text"))).alias("texts")
     )

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import OPTIONAL_INDEX_COLUMN, TARGET_LAYOUT
-from tallyfold.functions.parsing import is_present, locale_number, map_code, multi_format_timestamp
+from tallyfold.functions.parsing import NUMBER_TYPE, is_present, locale_number, map_code, multi_format_timestamp
 from tallyfold.operators.joins import lookup_join
 from tallyfold.operators.numbering import first_per_key
 from tallyfold.sources.tables import with_columns_present
@@ -27,7 +27,7 @@ def _typed(kind: str, value: Column, number_type: str) -> Column:
     return map_code(text) if kind == "code" else text
 
 
-def project_target_layout(raw: DataFrame, layout=TARGET_LAYOUT, keep=(), number_type: str = "decimal(18,2)") -> DataFrame:
+def project_target_layout(raw: DataFrame, layout=TARGET_LAYOUT, keep=(), number_type: str = NUMBER_TYPE) -> DataFrame:
     """Raw headers to stored names, order and types in one projection; absent headers are null.
 
     Numbers are money with two decimals; name a wider `number_type` for files with finer rates.

@@ -14,14 +14,16 @@ MESSAGE_SCHEMA = (
 # The text must end in exactly one closing root tag, followed by blanks and comments only.
 _TAIL = r"(?s)</([A-Za-z_][A-Za-z0-9_.-]*:)?Document>\s*(<!--.*?-->\s*)*\z"
 _CLOSING_ROOT = r"</([A-Za-z_][A-Za-z0-9_.-]*:)?Document>"
-_AMOUNT_TEXT = r"^[+-]?[0-9]+([.][0-9]+)?\z"
+_AMOUNT_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)\z"
+# What may stand before the root element: declarations, comments, a document type, blanks.
+_PROLOG = r"(?s)\A\x{FEFF}?(?:<[?].*?[?]>|<!--.*?-->|<!DOCTYPE[^>]*>|\s++)*+"
 
 
 def _root_namespace(text: Column, namespace: str) -> Column:
-    """Whether the root tag is in the namespace, through its own prefix or the default one."""
+    """Whether the first element is the root in the namespace, through its own prefix or the default one."""
     exact = namespace.replace(".", "[.]")
-    plain = text.rlike(rf"(?s)<Document(\s[^>]*)?\sxmlns=[\"']{exact}[\"']")
-    prefixed = text.rlike(rf"(?s)<([A-Za-z_][A-Za-z0-9_.-]*):Document(\s[^>]*)?\sxmlns:\1=[\"']{exact}[\"']")
+    plain = text.rlike(rf"{_PROLOG}<Document(\s[^>]*)?\sxmlns\s*=\s*[\"']{exact}[\"']")
+    prefixed = text.rlike(rf"{_PROLOG}<([A-Za-z_][A-Za-z0-9_.-]*):Document(\s[^>]*)?\sxmlns:\1\s*=\s*[\"']{exact}[\"']")
     return plain | prefixed
 
 

@@ -7,7 +7,7 @@ from tallyfold.fixed_values import MONTH_NAMES
 from tallyfold.session import constant_rows
 
 SEND, PAY = "ENVOI", "PAIEMENT"
-MONEY = "decimal(38,2)"
+MONEY = "decimal(38,10)"
 
 
 def contains_word(text: Column, word: str, ignore_case: bool = False) -> Column:
@@ -168,9 +168,9 @@ def month_position(name: Column, months=MONTH_NAMES) -> Column:
 
 
 def fees_by_month(fees: DataFrame) -> DataFrame:
-    """Sum per year and month name; rows without year or month are dropped."""
+    """Sum per year and month name, 0 where all fees are null; rows without year or month are dropped."""
     return fees.where("yr is not null and month_name is not null").groupBy("yr", "month_name").agg(
-        F.sum("fee").cast(MONEY).alias("total_fees")
+        F.coalesce(F.sum("fee"), F.lit(0)).cast(MONEY).alias("total_fees")
     )
 
 
@@ -181,9 +181,8 @@ def sort_calendar_month(monthly: DataFrame, months=MONTH_NAMES) -> DataFrame:
 
 
 def fees_year_pivot(monthly: DataFrame, years, months=MONTH_NAMES) -> DataFrame:
-    """Months as rows in calendar order, the given years as columns; a missing cell is null."""
+    """Months as rows in calendar order, the given years as columns and the rest as `other_years`; a missing cell is null."""
     known = monthly.withColumn("month_no", month_position(F.col("month_name"), months)).where("month_no is not null")
-    wide = known.groupBy("month_no", "month_name").pivot("yr", list(years)).agg(F.sum("total_fees"))
-    return wide.select(
-        "month_no", "month_name", *[F.col(f"`{y}`").alias(f"y{y}") for y in years]
-    ).orderBy("month_no")
+    cells = [F.sum(F.when(F.col("yr") == y, F.col("total_fees"))).alias(f"y{y}") for y in years]
+    other = F.sum(F.when(~F.col("yr").isin(list(years)), F.col("total_fees"))).alias("other_years")
+    return known.groupBy("month_no", "month_name").agg(*cells, other).orderBy("month_no")

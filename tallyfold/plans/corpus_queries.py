@@ -42,12 +42,18 @@ def sort_lines_desc(spark, sf):
 @query(
     "corpus_totals",
     duck("files", f"""select count(*) as all_files, count(*) filter (where {_CODE}) as code_files,
- cast(coalesce(sum({_LINES}) filter (where {_CODE}), 0) as bigint) as lines from files where not ({_IGNORED})"""),
+ cast(coalesce(sum({_LINES}) filter (where {_CODE}), 0) as bigint) as lines, 0::bigint as skipped_files from files where not ({_IGNORED})"""),
 )
 def corpus_totals(spark, sf):
     return corpus.corpus_totals(frame(spark, sf, "files"))
 
 
+# A small limit, so that the fixture has files on both sides of it.
+@query("skipped_files", duck("files", f"select path, cast(size as bigint) as size from files where {_EXT} in ({', '.join(repr(e) for e in CODE_EXTENSIONS)}) and size > 2000 and not ({_IGNORED})"))
+def skipped_files(spark, sf):
+    return corpus.skipped_files(frame(spark, sf, "files"), max_bytes=2000).select("path", F.col("size").cast("long").alias("size"))
+
+
 _TOP = """top as (select string_split(path, '/')[2] as name, bool_or(len(string_split(path, '/')) > 2) as is_dir,
  cast(sum(size) as bigint) as size from files group by 1)"""
 

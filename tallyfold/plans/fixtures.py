@@ -86,10 +86,11 @@ from {_JOINED}""",
     "raw_tx": f"""select o_orderkey as src_row, {_FILE} as file, 'x' as {{q}}#{{q}},
  {_raw_columns()}
 from {_JOINED}""",
-    "numbers": f"""select o_orderkey as src_row, case o_orderkey % 12
+    "numbers": f"""select o_orderkey as src_row, case o_orderkey % 17
  when 0 then replace({_PRICE}, '.', ',') when 1 then {_PRICE} when 2 then concat('  ', {_PRICE}, ' ')
  when 3 then concat({_PRICE}, 'e3') when 4 then 'nan' when 5 then '1_000' when 6 then concat('1,', {_PRICE})
- when 7 then 'abc' when 8 then '' when 10 then concat('-', {_PRICE}) when 11 then concat('+', cast(o_custkey as string)) end as txt
+ when 7 then 'abc' when 8 then '' when 10 then concat('-', {_PRICE}) when 11 then concat('+', cast(o_custkey as string))
+ when 12 then '.5' when 13 then '5.' when 14 then '1e3' when 15 then concat({_PRICE}, '9') when 16 then '99999999999999999.5' end as txt
 from {{orders}}""",
     "dates": """select o_orderkey as src_row, case o_orderkey % 10 when 0 then {dmy} when 1 then {ymd} when 2 then {slash}
  when 3 then {dmy1} when 4 then {slash1} when 5 then 'bad' when 6 then '31-02-2025 00:00:00' when 7 then ''
@@ -113,7 +114,7 @@ from {customer}""",
  case when o_orderkey % 29 = 0 then 'inconnu' when o_orderkey % 37 <> 0 then case month(o_orderdate)
   when 1 then 'janvier' when 2 then 'février' when 3 then 'mars' when 4 then 'avril' when 5 then 'mai' when 6 then 'juin'
   when 7 then 'juillet' when 8 then 'août' when 9 then 'septembre' when 10 then 'octobre' when 11 then 'novembre' else 'décembre' end end as month_name,
- cast(o_totalprice as decimal(18,2)) as fee
+ case when o_orderkey % 29 <> 0 then cast(o_totalprice as decimal(18,2)) end as fee
 from {orders}""",
     "sheet_rows": f"""select concat('S', cast(o_custkey % 10 as string)) as sheet, cast(o_orderkey + 1 as int) as row_no,
  case when o_orderkey % 3 = 0 then cast(600000 + o_custkey as string) when o_orderkey % 7 = 0 then 'total' end as debit,

@@ -12,6 +12,7 @@ GROUP, RECEIVER, CORRIDOR, CANCELLED = "GROUP A", "GROUP B", "CORRIDOR", "CANCEL
 LABELS = ("Receiving group - total", "Group - sends", "Group - payments", "Corridor - valid", "Corridor - cancelled")
 COUNTRIES = ("NATION_1", "nation_15", "NATION_7", "NATION_22", "ATLANTIS")
 YEARS = tuple(range(1995, 2002))
+PIVOTED = YEARS[:-2]  # the last two are summed as other years
 
 
 def typed(spark, sf, number=locale_number):
@@ -131,7 +132,7 @@ def country_contains_totals(spark, sf):
     return doubles(out, "sends", "payments")
 
 
-_MONTHLY = "monthly as (select yr, month_name, sum(fee) as total_fees from fees where yr is not null and month_name is not null group by 1, 2)"
+_MONTHLY = "monthly as (select yr, month_name, coalesce(sum(fee), 0) as total_fees from fees where yr is not null and month_name is not null group by 1, 2)"
 
 
 @query("fees_by_month", duck("fees", "select yr, month_name, cast(total_fees as double) as total_fees from monthly", _MONTHLY))
@@ -150,9 +151,9 @@ def sort_calendar_month(spark, sf):
 @query(
     "fees_year_pivot",
     duck("fees", f"select {q.MONTH_CASE} as month_no, month_name, "
-         + ", ".join(f"cast(sum(total_fees) filter (where yr = {y}) as double) as y{y}" for y in YEARS)
+         + ", ".join(f"cast(sum(total_fees) filter (where yr = {y}) as double) as y{y}" for y in PIVOTED) + ", cast(sum(total_fees) filter (where yr not in (" + ", ".join(map(str, PIVOTED)) + ")) as double) as other_years"
          + f" from monthly where {q.MONTH_CASE} is not null group by 1, 2", _MONTHLY),
 )
 def fees_year_pivot(spark, sf):
-    wide = settle.fees_year_pivot(settle.fees_by_month(frame(spark, sf, "fees")), YEARS)
-    return doubles(wide, *[f"y{y}" for y in YEARS]).withColumn("month_no", F.col("month_no").cast("int"))
+    wide = settle.fees_year_pivot(settle.fees_by_month(frame(spark, sf, "fees")), PIVOTED)
+    return doubles(wide, *[f"y{y}" for y in PIVOTED], "other_years").withColumn("month_no", F.col("month_no").cast("int"))

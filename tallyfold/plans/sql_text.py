@@ -2,12 +2,12 @@
 
 from tallyfold.fixed_values import MONTH_NAMES
 
-NUMBER = "'^[+-]?[0-9]+([.][0-9]+)?$'"
+NUMBER = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
 
 
 def plain(column: str) -> str:
     return (
-        f"case when regexp_matches(trim({column}), {NUMBER}) then cast(trim({column}) as decimal(18,2)) end"
+        f"case when regexp_matches(trim({column}), {NUMBER}) then try_cast(trim({column}) as decimal(28,10)) end"
     )
 
 

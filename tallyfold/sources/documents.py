@@ -27,6 +27,13 @@ def scan_corpus(spark: SparkSession, path, glob: str | None = None) -> DataFrame
     )
 
 
+def scan_inventory(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
+    """Files below a folder without their contents: path, size, modification time. No file is opened."""
+    return spark.read.format("binaryFile").options(recursiveFileLookup=True, **({"pathGlobFilter": glob} if glob else {})).load(path).select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")
+    )
+
+
 def scan_payment_folder(spark: SparkSession, path) -> DataFrame:
     """Files named `.xml` in any letter case: file, value."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)

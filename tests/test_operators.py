@@ -156,6 +156,7 @@ def test_row_matches_several_countries(spark):
 def test_months_sort_by_the_calendar(spark):
     monthly = spark.createDataFrame([(2024, "août", 1.0), (2024, "avril", 2.0), (2024, "??", 3.0), (2023, "décembre", 4.0)], "yr int, month_name string, total_fees double")
     assert [r.month_name for r in settle.sort_calendar_month(monthly).collect()] == ["décembre", "avril", "août", "??"]
+    assert [(r.month_name, r.y2024, r.other_years) for r in settle.fees_year_pivot(monthly, [2024]).collect()] == [("avril", 2.0, None), ("août", 1.0, None), ("décembre", None, 4.0)]
     wide = settle.fees_year_pivot(monthly, [2023, 2024]).collect()
     assert [(r.month_name, r.y2023, r.y2024) for r in wide] == [("avril", None, 2.0), ("août", None, 1.0), ("décembre", 4.0, None)]
 
@@ -361,7 +362,7 @@ def test_last_string_wins_and_json_lines(spark, tmp_path):
     assert rows(entries) == [("en", "b", ""), ("en", "été_x", ""), ("fr", "b", "b"), ("fr", "été_x", "été-x")]
     doc = corpus.translation_map(entries).collect()
     assert len(doc) == 1 and doc[0].doc == {"fr": {"b": "b", "été_x": "été-x"}, "en": {"b": "", "été_x": ""}}
-    assert sum(len(r.doc["fr"]) for r in corpus.translation_map(entries, keys_per_map=1).collect()) == 2
+    assert sum(len(r.doc["fr"]) for r in corpus.translation_map(entries, shards=2).collect()) == 2
     body = entries.where("lang = 'fr'").select(F.col("lang").alias("section"), "key", F.concat(F.lit('"'), "text", F.lit('"')).alias("body"))
     lines = sinks.json_document_lines(body, "key", "body")
     import json

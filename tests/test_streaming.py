@@ -44,8 +44,7 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(folders[1]).count() == 0
 
 
-def test_large_batches_skip_the_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(drop_folder, "PROBE_ROWS", 1)
+def test_later_files_meet_the_store(spark, tmp_path):
     drop = tmp_path / "drop"
     drop.mkdir()
     (drop / "a.csv").write_text(HEAD + "S,1,1\nS,2,2\n")
