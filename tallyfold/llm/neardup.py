@@ -50,9 +50,10 @@ def shingle_runs(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.nda
     first = np.append(True, doc[1:] != doc[:-1])
     total, full = np.zeros(len(h), np.uint64), np.zeros(len(h), bool)
     for j in range(words):
+        some = max(0, len(h) - j)
         there = np.zeros(len(h), bool)
-        there[:len(h) - j] = doc[j:] == doc[:len(h) - j]
-        total[:len(h) - j] += np.where(there[:len(h) - j], h[j:] * _PLACES[j % 64], np.uint64(0))
+        there[:some] = doc[j:j + some] == doc[:some]
+        total[:some] += np.where(there[:some], h[j:j + some] * _PLACES[j % 64], np.uint64(0))
         full = there
     short = first & (count[doc] < words)
     total = np.where(short, total + count[doc].astype(np.uint64) * _PLACES[63], total)

@@ -25,7 +25,7 @@ def by_id(df, *columns):
 
 def test_secrets(spark):
     out = {r.doc_id: r for r in scan_secrets(documents(spark)).where("doc_id is not null or n_assign > 0").collect()}
-    assert out[None].n_assign == 1 and out[None].spans.startswith("assign:26:")
+    assert out[None].n_assign == 1 and out[None].spans.startswith("assign:27:")
     assert out[2].spans == "" and out[2].base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert scan_secrets(documents(spark)).count() == len(SHORT)
     assert scan_secrets(documents(spark, [])).count() == 0
@@ -34,8 +34,8 @@ def test_secrets(spark):
 def test_near_duplicates(spark):
     out = by_id(near_duplicates(documents(spark), words=2), "n_shingles", "component_id", "kept")
     assert (2, 0, 2, True) in out and (4, 0, 4, True) in out and (None, 0, None, True) in out and (7, 1, 7, True) in out
-    assert [r for r in out if r[0] == 1] == [(1, 18, 1, True)] * 2
-    assert [r for r in out if r[0] == 10] == [(10, 18, 1, False)]
+    assert [r for r in out if r[0] == 1] == [(1, 19, 1, True)] * 2
+    assert [r for r in out if r[0] == 10] == [(10, 19, 1, False)]
     assert len(out) == len(SHORT)
     assert near_duplicates(documents(spark, [])).count() == 0
 
@@ -43,7 +43,7 @@ def test_near_duplicates(spark):
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "sat on the mat"), (2, None), (3, ""), (None, "looked at"), (4, "sat on the mat"), (5, "nowhere to be found")], "item_id long, text string").withColumn("key", F.lit("own"))
     out = by_id(contamination(documents(spark), items), "n_words", "n_hit", "n_items", "contaminated")
-    assert [r for r in out if r[0] in (1, 10)] == [(1, 19, 4, 2, True)] * 2 + [(10, 19, 4, 2, True)] and len(out) == len(SHORT)
+    assert [r for r in out if r[0] in (1, 10)] == [(1, 20, 4, 2, True)] * 2 + [(10, 20, 4, 2, True)] and len(out) == len(SHORT)
     assert (2, 0, 0, 0, False) in out and (3, 0, 0, 0, False) in out
     assert contamination(documents(spark), items.limit(0)).where("contaminated or n_hit > 0").count() == 0
     assert contamination(documents(spark, []), items).count() == 0
