@@ -29,7 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that had text and loses all of it goes. n_chars follows the text."""
-    rows, back = _aside(docs, ("n_lines", "n_dropped"))
+    rows, back = _aside(docs, ("n_lines", "n_dropped", "_drops", "_id", "_mark", "_m", "_d", "_lines"))
     found = dedup_lines(rows).where(~((F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
     if "n_chars" in rows.columns:
         kind = rows.schema["n_chars"].dataType
@@ -45,17 +45,20 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(docs)
     keepers = groups.where("kept and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("_keeper")).distinct()
     words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    rows = docs.withColumn("_words", words)
+    plain, back = _aside(docs, ("_words", "_first", "_keeper"))
+    rows = plain.withColumn("_words", words)
     held = rows.where("_words").join(keepers, F.col("doc_id") == F.col("_keeper"), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     held = held.withColumn("_first", first).where("_first = 1")
-    return held.select(docs.columns).unionByName(rows.where("not _words").select(docs.columns))
+    return held.select(plain.columns).unionByName(rows.where("not _words").select(plain.columns)).withColumnsRenamed(back)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by an item of the benchmark."""
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_mark(F.col("text")) == F.col("_mark")), "left_anti")
+    rows, back = _aside(docs, ("_id", "_mark"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_mark(F.col("text")).eqNullSafe(F.col("_mark")))
+    return rows.join(found, same, "left_anti").withColumnsRenamed(back)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
