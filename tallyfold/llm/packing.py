@@ -60,27 +60,58 @@ def curve_places(documents: list[np.ndarray]) -> np.ndarray:
 
 
 class WordCodec:
-    """Token ids of texts, from the ids of their blank-separated pieces, which are kept while they recur.
+    """Token ids of texts, from the ids of their blank-separated pieces; up to `kept` pieces are remembered.
 
-    The tokenizer drops blanks and never joins across one, so the ids of a text are those of its pieces in order.
+    The tokenizer drops blanks and never joins across one, so the ids of a text are those of its pieces in order. It
+    also ignores case, so texts whose capitals are beyond doubt (Latin-1) are remembered in small letters.
     """
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.codec, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        self.codec, self.kept, self.known = Tokenizer.from_file(path), kept, {"": b""}
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        if "<|" not in text:  # special tokens are told apart by case
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
+    def _coded(self, pieces: list[str]):
+        """Ids of each piece, all coded as one text and cut where the pieces begin."""
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at:at + 4096]
+            found = self.codec.encode(" ".join(part), add_special_tokens=False)
+            ids, starts = np.array(found.ids, "<u4").tobytes(), np.array([a for a, _ in found.offsets], np.int64)
+            cuts = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in part])).tolist()
+            for w, a, b in zip(part, [0, *cuts], cuts):
+                yield w, ids[4 * a:4 * b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._pieces(t) for t in texts]
         known = self.known
-        if len(known) > self.kept:
-            known = self.known = {}
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, self.codec.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        new = sorted(set().union(*split) - known.keys())
+        if len(known) + len(new) > self.kept:
+            fresh = dict(self._coded(new))
+            look = lambda w: known[w] if w in known else fresh[w]
+        else:
+            known.update(self._coded(new))
+            look = known.__getitem__
+        return [np.frombuffer(b"".join(map(look, words)), "<u4") for words in split]
+
+
+_codecs: dict[str, WordCodec] = {}
+
+
+def _codec(path: str) -> WordCodec:
+    """One codec a worker process, so that what it has seen serves its later tasks."""
+    if path not in _codecs:
+        _codecs[path] = WordCodec(path)
+    return _codecs[path]
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -89,7 +120,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        codec = WordCodec(tokenizer)
+        codec = _codec(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0

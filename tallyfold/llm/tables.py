@@ -5,7 +5,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyfold.session import apply_plan_settings, new_table_path
 
 
+#: Rows and bytes that go to a Python worker at a time, so that long texts do not fill its memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return apply_plan_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
