@@ -5,7 +5,7 @@ those of its prefix count: two signatures that agree in `matches` coordinates sh
 of them, so the rarest suffice, and pairs that nobody else has are skipped. Candidates are counted over the whole
 signature and confirmed on the full shingle sets.
 
-A bucket is not expanded into all its pairs. First every node meets the bucket's most central node only; confirmed
+A bucket is not expanded into all its pairs. First every node meets one central node of its buckets only; confirmed
 links are joined into components. What is left are nodes whose bucket still holds several components: these meet the
 rest of the bucket, in chunks of signatures, and where that leads into a component, all sets of that component.
 """
@@ -25,6 +25,8 @@ SIGNATURE = 64
 CHUNK_ROWS, CHUNK_BYTES = 512, 2 << 20
 #: Components of up to so many nodes are compared pair by pair, larger ones in chunks; both compare the same pairs.
 FEW = 8
+#: Rows of a table of nodes or pairs up to which it is sent to all executors (some 10 MB); beyond, both sides are shuffled.
+SENT_ROWS = 300_000
 _WORD = ~bytes_in((9, 13), (32, 32))
 
 
@@ -103,8 +105,12 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key_a long, key_b long, sig binary")
 
 
-def _shingles(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, n, set): full shingle sets of nodes (node, rep, key_a, key_b), computed again from their texts."""
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
+def _shingles(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """(node, n, set): full shingle sets of nodes (node, rep, key_a), computed again from their texts; `repeated`: ids may recur."""
     def run(batches):
         for batch in batches:
             data, ends = text_bytes(batch.column(3))
@@ -120,8 +126,8 @@ def _shingles(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                     [node.take(pa.array(same)), pa.array(np.diff(at)[same].astype(np.int64)), pa.array([value[at[i]:at[i + 1]].tobytes() for i in same], pa.binary())], ["node", "n", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    found = nodes.select("node", "rep", "key_a").join(texts, "rep").select("node", "key_a", "rep", "text").mapInArrow(run, "node long, n long, set binary")
-    return found.dropDuplicates(["node"])  # rows that repeat an id and its text
+    found = texts.join(_sent(nodes.select("node", "rep", "key_a")), "rep").select("node", "key_a", "rep", "text").mapInArrow(run, "node long, n long, set binary")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
 def _enough(inter, n1, n2, percent: int):
@@ -129,9 +135,10 @@ def _enough(inter, n1, n2, percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    joined = lookup_join(lookup_join(pairs.select("a", "b"), left, ["a"]), right, ["b"])
+    """Pairs (a, b) whose full sets are similar enough. The set of a goes to b, so b should be the one that recurs."""
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).join(_sent(pairs.select("a", "b")), "a")
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).join(_sent(pairs.select("b").distinct()), "b", "left_semi")
+    joined = lookup_join(left, right, ["b"])
 
     def run(batches):
         for batch in batches:
@@ -181,11 +188,12 @@ def _postings(nodes: DataFrame, matches: int) -> DataFrame:
 
 
 def _star_pairs(postings: DataFrame) -> DataFrame:
-    """Every node with the most central node of each of its buckets."""
+    """(a, b): every node a with the node b that is the most central one of most of its buckets."""
     heads = postings.groupBy("token").agg(F.max(F.struct("central", F.negative("node").alias("back"))).alias("top")).select(
         "token", F.negative("top.back").alias("head"))
     pairs = lookup_join(postings.select("token", "node"), heads, ["token"]).where("node <> head")
-    return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    often = pairs.groupBy("node", "head").agg(F.count("*").alias("c"))
+    return often.groupBy("node").agg(F.max(F.struct("c", F.negative("head").alias("back"))).alias("top")).select(F.col("node").alias("a"), F.negative("top.back").alias("b"))
 
 
 def _rest_pairs(postings: DataFrame, nodes: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -252,9 +260,9 @@ def _links_into(asked: DataFrame, members: DataFrame, sets: DataFrame, percent:
     near = _confirmed(few, sets, percent)
     large = sizes.where(F.col("c") > FEW)
     item = F.struct("node", "set")
-    base = members.select("node", "comp").join(large, "comp").join(sets.select("node", "set"), "node").groupBy(
+    base = sets.select("node", "set").join(_sent(members.select("node", "comp").join(large, "comp")), "node").groupBy(
         "comp", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).agg(F.collect_list(item).alias("base"))
-    asks = sized.where(F.col("c") > FEW).select(F.col("a").alias("node"), "comp", "chunks").join(sets, "node")
+    asks = sets.join(_sent(sized.where(F.col("c") > FEW).select(F.col("a").alias("node"), "comp", "chunks")), "node")
     parts = asks.groupBy("comp").agg(F.ceil(F.sum(F.col("n") * 8) / CHUNK_BYTES).alias("parts"))
     asks = asks.join(parts, "comp").groupBy("comp", "chunks", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(F.collect_list(item).alias("asks"))
     asks = asks.select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "asks")
@@ -296,7 +304,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     postings = stored(_postings(nodes, matches), "neardup-postings")
     known = postings.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
     known = stored(nodes.join(known, "node"), "neardup-known")
-    sets = stored(_shingles(docs, known, words), "neardup-shingles")
+    repeated = not found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").isEmpty()
+    sets = stored(_shingles(docs, known, words, repeated), "neardup-shingles")
     near = lambda pairs: lookup_join(lookup_join(pairs, known.select(F.col("node").alias("a"), F.col("n").alias("n_a")), ["a"]), known.select(
         F.col("node").alias("b"), F.col("n").alias("n_b")), ["b"]).where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     links = stored(_confirmed(_agreeing(near(_star_pairs(postings)), known, matches), sets, percent), "neardup-links")
