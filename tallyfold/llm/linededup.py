@@ -81,6 +81,18 @@ def segment_keys(line: Column, threshold: int, *before: Column) -> list[tuple[bo
     return out
 
 
+def may_be_within(x: Column, y: Column, threshold: int, pieces: int) -> Column:
+    """False only if no `threshold` edits turn x into y: each edit touches one of the pieces that x is cut into, and shifts
+    the rest by one place at most, so all but `threshold` of them must stand in y near their place. A few substring
+    searches, which spare most pairs the distance."""
+    size, found = F.char_length(x), []
+    for i in range(pieces):
+        at, length = _segment(size, i, pieces)
+        low = F.greatest(F.lit(1), at + 1 - threshold)
+        found.append(F.when(F.contains(F.substring(y, low, at + 1 + length + threshold - low), F.substring(x, at + 1, length)), 1).otherwise(0))
+    return reduce(lambda a, b: a + b, found) >= pieces - threshold
+
+
 def _ids(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
@@ -102,6 +114,7 @@ def _victims(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(at) of the later line x of every pair (x, y) that is within the threshold."""
     named = lambda tag: texts.select(F.col("at").alias(tag), F.col("line").alias(f"{tag}_line"))
     joined = lookup_join(lookup_join(pairs, named("x"), ["x"]), named("y"), ["y"])
+    joined = joined.where(may_be_within(F.col("x_line"), F.col("y_line"), threshold, 4 * (threshold + 1)))
     return joined.where(within_edits(F.col("x_line"), F.col("y_line"), threshold)).select(F.col("x").alias("at")).distinct()
 
 

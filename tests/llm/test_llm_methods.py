@@ -16,7 +16,7 @@ from tallyfold.llm.components import connected_components
 from tallyfold.llm.credentials import Automaton, base_spans, scan_secrets, shape
 from tallyfold.llm.decontaminate import contamination
 from tallyfold.llm.langid import identify_languages
-from tallyfold.llm.linededup import dedup_lines, within_edits
+from tallyfold.llm.linededup import dedup_lines, may_be_within, within_edits
 from tallyfold.llm.neardup import near_duplicates
 from tallyfold.llm.packing import WordCodec, hilbert_keys, pack_sequences, tail_lengths
 from tallyfold.llm.sums import isotonic
@@ -102,6 +102,7 @@ def test_edit_distance(spark):
     df = spark.createDataFrame(rows, "x string, y string")
     for t in range(4):
         assert df.where(within_edits(F.col("x"), F.col("y"), t) != (F.levenshtein("x", "y") <= t)).count() == 0
+        assert df.where((F.levenshtein("x", "y") <= t) & ~may_be_within(F.col("x"), F.col("y"), t, 4 * (t + 1))).count() == 0
 
 
 def levenshtein(a, b):
