@@ -5,8 +5,9 @@ indexed under its segments together with its length, and probes the segments tha
 could have. What meets is verified by a banded bit-parallel edit distance.
 
 A bucket is not expanded into all its pairs: first its earliest lines meet all others, which decides most lines of a
-group of copies; only lines that are still undecided meet the earlier ones of their bucket, and in a large bucket only
-those that also share a segment of what lies outside the common one.
+group of copies; only lines that are still undecided meet the earlier ones of their bucket. A large bucket is first
+divided by segments of what lies outside the common one, and what is still large again, until the buckets are small or
+what is left of a line is no longer than the threshold.
 """
 
 from functools import reduce
@@ -19,8 +20,8 @@ from tallyfold.operators.joins import lookup_join
 
 #: Rows of a table of line ids up to which it is sent to all executors (some 10 MB); beyond, both sides are shuffled.
 SENT_ROWS = 300_000
-#: Buckets of more lines are divided by a second segment.
-LARGE = 64
+#: Buckets of more lines are divided by further segments; the pairs that are found are the same at any number.
+LARGE = 16
 
 
 def within_edits(x: Column, y: Column, threshold: int) -> Column:
@@ -62,8 +63,9 @@ def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     return F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - plain), base + F.when(F.lit(i) >= plain, 1).otherwise(0)
 
 
-def segment_keys(line: Column, threshold: int, *before: Column) -> list[tuple[bool, Column, Column, Column]]:
-    """(indexed, key, start, length) of every segment that a line is indexed under or probes.
+def segment_keys(line: Column, threshold: int, *before: Column) -> list[tuple[int, int, Column, Column, Column]]:
+    """(delta, shift, key, start, length) of every segment that a line is indexed under (delta and shift 0) or probes in
+    lines that are delta shorter.
 
     Segments it is indexed under are probed too, by lines of the same length at the same place; the rest are probes
     only: those at shifted places, and those of lines that are up to `threshold` characters shorter.
@@ -77,7 +79,7 @@ def segment_keys(line: Column, threshold: int, *before: Column) -> list[tuple[bo
                 start = at + off
                 fits = (n > 0) & (start >= 0) & (start + length <= size)
                 key = F.xxhash64(*before, n, F.lit(i), F.substring(line, start + 1, length))
-                out.append((delta == 0 and off == 0, F.when(fits, key), start, length))
+                out.append((delta, off, F.when(fits, key), start, length))
     return out
 
 
@@ -123,15 +125,42 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _lines(docs).join(_ids(wanted.select("at").distinct()), "at").select("at", "line").dropDuplicates(["at"])
 
 
+def _outside(line: Column, start: Column, length: Column) -> Column:
+    return F.concat(F.substring(line, F.lit(1), start), F.substring(line, start + length + 1, F.char_length(line)))
+
+
+def _divided(wide: DataFrame, threshold: int) -> DataFrame:
+    """(key, index, at, open) of the buckets that large ones, (key, index, at, open, delta, rest), are divided into.
+
+    Lines of a bucket share a segment, so their edits lie in the rest, and the rests share a segment again. All indexed
+    rests of a bucket are of one length, which each round takes down to threshold / (threshold + 1) of it at most, so the
+    number of rounds is the logarithm of the longest line. A line stays in a large bucket only for the segments that many
+    share, so its rows grow with the rounds and not with the bucket. Buckets without an undecided line are left out.
+    """
+    done = None
+    while done is None or not wide.isEmpty():
+        keys = segment_keys(F.col("rest"), threshold, F.col("key"))
+        parts = [F.when(F.col("delta") == delta, F.struct(key.alias("key"), (F.col("index") & F.lit(off == 0)).alias("index"), _outside(F.col("rest"), start, length).alias("rest")))
+                 for delta, off, key, start, length in keys]
+        rows = wide.select("at", "open", "delta", F.explode(F.array_compact(F.array(*parts))).alias("part")).select("at", "open", "delta", "part.*").where("key is not null")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.bool_or("open").alias("any_open"), F.bool_or("index").alias("any_index")).where("size > 1 and any_open and any_index")
+        met = stored(lookup_join(rows, sizes.select("key", "size"), ["key"]), "line-divided")
+        last = (F.col("size") <= LARGE) | (F.char_length("rest") - F.col("delta") <= threshold)
+        small = met.where(last).select("key", "index", "at", "open")
+        done = small if done is None else done.unionByName(small)
+        wide = met.where(~last).select("key", "index", "at", "open", "delta", "rest")
+    return done
+
+
 def near_lines(docs: DataFrame, threshold: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Distinct lines of at least `least` characters (h1, h2, at of the first, count c), and the `at` of those near an earlier one."""
     lines = _lines(docs).where(F.char_length("line") >= least)
     keys = segment_keys(F.col("line"), threshold)
     # a line's keys follow from the line, so the smallest of a group is that of any; only numbers go through the shuffle
-    distinct = lines.select("h1", "h2", "at", *[k.alias(f"k{i}") for i, (_, k, *_) in enumerate(keys)]).groupBy("h1", "h2").agg(
+    distinct = lines.select("h1", "h2", "at", *[k.alias(f"k{i}") for i, (_, _, k, *_) in enumerate(keys)]).groupBy("h1", "h2").agg(
         F.min("at").alias("at"), F.count("*").alias("c"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     distinct = stored(distinct, "line-keys")
-    indexed = [i for i, k in enumerate(keys) if k[0]]
+    indexed = [i for i, (delta, off, *_) in enumerate(keys) if delta == off == 0]
     rows = distinct.select("at", F.posexplode(F.array(*[f"k{i}" for i in range(len(keys))])).alias("i", "key")).where("key is not null").withColumn("index", F.col("i").isin(indexed))
     # a bucket counts if it has an indexed line and another line
     heads = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.when(F.col("index"), F.col("at"))).alias("head"), F.min("at").alias("first")).where("size > 1 and head is not null")
@@ -144,17 +173,14 @@ def near_lines(docs: DataFrame, threshold: int, least: int) -> tuple[DataFrame,
     # lines that are still undecided meet the earlier lines of their bucket
     left = met.select("key", "index", "i", "size", "at").join(decided.withColumn("gone", F.lit(True)), "at", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
     left = lookup_join(left, left.where("open").select("key").distinct(), ["key"])
-    small = left.where(F.col("size") <= LARGE).select(F.col("key").alias("key2"), "index", "at", "open")
+    both = left.where(F.col("size") <= LARGE).select("key", "index", "at", "open")
     wide = lookup_join(left.where(F.col("size") > LARGE), texts, ["at"])
-    of_key = lambda part: reduce(lambda c, p: c.when(F.col("i") == p[0], p[1][part]), list(enumerate(keys))[1:], F.when(F.col("i") == 0, keys[0][part]))
-    start, length = of_key(2), of_key(3)
-    rest = F.concat(F.substring(F.col("line"), F.lit(1), start), F.substring(F.col("line"), start + length + 1, F.char_length("line")))
-    wide = wide.select("key", "index", "at", "open", F.explode(F.array(rest)).alias("rest"))
-    second = F.explode(F.array(*[k for _, k, *_ in segment_keys(F.col("rest"), threshold, F.col("key"))])).alias("key2")
-    wide = wide.select("index", "at", "open", second).where("key2 is not null").distinct()
-    both = small.unionByName(wide.select("key2", "index", "at", "open"))
-    x, y = both.where("open").select("key2", F.col("at").alias("x"), F.col("index").alias("x_index")), both.select("key2", F.col("at").alias("y"), F.col("index").alias("y_index"))
-    pairs = x.join(y, "key2").where("y < x and (x_index or y_index)").select("x", "y").distinct().join(star, ["x", "y"], "left_anti")
+    of_key = lambda value: reduce(lambda c, p: c.when(F.col("i") == p[0], value(p[1])), list(enumerate(keys))[1:], F.when(F.col("i") == 0, value(keys[0])))
+    rest = _outside(F.col("line"), of_key(lambda k: k[3]), of_key(lambda k: k[4]))
+    wide = stored(wide.select("key", "index", "at", "open", of_key(lambda k: F.lit(k[0])).alias("delta"), rest.alias("rest")), "line-large")
+    both = both.unionByName(_divided(wide, threshold))
+    x, y = both.where("open").select("key", F.col("at").alias("x"), F.col("index").alias("x_index")), both.select("key", F.col("at").alias("y"), F.col("index").alias("y_index"))
+    pairs = x.join(y, "key").where("y < x and (x_index or y_index)").select("x", "y").distinct().join(star, ["x", "y"], "left_anti")
     return distinct.select("h1", "h2", "at", "c"), decided.unionByName(_victims(pairs, texts, threshold)).distinct()
 
 
