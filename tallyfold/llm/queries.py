@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyfold.llm.tables import table
 
@@ -144,3 +145,19 @@ def op10(spark, sf_dir):
     from tallyfold.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@llm_query("op11_tokenfiles")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    from tallyfold.llm.tokenfiles import token_file_round_trip
+
+    return token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@llm_query("op12_whitening")
+def op12(spark, sf_dir):
+    from tallyfold.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
