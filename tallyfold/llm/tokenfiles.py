@@ -24,7 +24,7 @@ _HEADER = struct.Struct("<BBB5xqQ")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("before", "<u8")])
 _FRAME = 16  # bytes of a record besides its payload
 #: Ids that are framed or checked at a time; one longer sequence is still taken whole.
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 1 << 20
 #: A checksum of more bytes than this is put together from parts.
 _PART_BYTES = 1 << 20
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from tallyfold.llm.kernels import text_bytes
 
 #: Bytes of text that are cut and coded at a time. Slices end at a blank or a text's end, so a long text takes several.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _LETTER, _SIGN, _DIGIT, _OTHER, _BLANK = 1, 2, 3, 0, 4
 _KINDS = np.zeros(256, np.uint8)
@@ -25,7 +25,7 @@ _KINDS[39] = _OTHER  # an apostrophe may begin 's, 't, ...
 _KINDS[[*range(9, 14), 32]] = _BLANK
 
 
-def _slices(data: np.ndarray, ends: np.ndarray, limit: int):
+def blank_slices(data: np.ndarray, ends: np.ndarray, limit: int):
     """Byte ranges of about `limit` that end behind a blank or at the end of a text."""
     low, n = 0, len(data)
     while low < n:
@@ -54,7 +54,7 @@ def _slices(data: np.ndarray, ends: np.ndarray, limit: int):
 class WordIds:
     """Ids of whole texts; up to `kept` words are remembered over batches (more are coded where they occur)."""
 
-    def __init__(self, path: str, kept: int = 800_000):
+    def __init__(self, path: str, kept: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,7 +119,7 @@ class WordIds:
         """Ids of all texts one after the other, and where each text's begin and end; null counts as empty."""
         data, ends = text_bytes(column)
         counts, parts = np.zeros(len(ends) - 1, np.int64), []
-        for low, high in _slices(data, ends, SLICE_BYTES):
+        for low, high in blank_slices(data, ends, SLICE_BYTES):
             part = data[low:high]
             kinds = _KINDS[part]
             special = b"<|" in part.tobytes()  # special tokens may stand here: cut at blanks only, keep capitals
