@@ -161,3 +161,26 @@ def op12(spark, sf_dir):
     from tallyfold.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@llm_query("op13_collocations", """
+    with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+         w as (select lang, regexp_extract_all(piece, '[^ \\x09]+') as w from p),
+         g as (select lang, unnest(flatten([[w[i:i + k - 1] for i in range(1, len(w) - k + 2)] for k in range(1, 5)])) as g from w),
+         f as (select lang, g, count(*) as f from g group by all having count(*) >= 30),
+         n as (select lang, sum(len(w))::bigint as n from w group by lang),
+         c as (select lang, g, f as a, unnest(range(1, len(g))) as k from f where len(g) > 1),
+         s as (select c.lang, c.g, c.a, c.k, l.f as l, r.f as r, ((c.a::hugeint * 2000000) // (l.f + r.f))::bigint as score
+               from c join f l on l.lang = c.lang and l.g = c.g[1:c.k] join f r on r.lang = c.lang and r.g = c.g[c.k + 1:]),
+         m as (select lang, g, any_value(a) as a, min({'score': score, 'k': k, 'l': l, 'r': r}) as b from s group by lang, g),
+         i as (select lang, unnest(flatten([[g[x:x + k - 1] for x in range(1, len(g) - k + 2)] for k in range(2, len(g))])) as g, f from f where len(g) > 2),
+         h as (select lang, g, max(f) as longer from i group by lang, g),
+         o as (select m.lang, array_to_string(m.g, ' ') as phrase, m.a, m.b.l as l, m.b.r as r, m.b.score as score
+               from m left join h on h.lang = m.lang and h.g = m.g where h.longer is null or 100 * h.longer < 80 * m.a)
+    select o.lang, row_number() over (partition by o.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n.n, score
+    from o join n on n.lang = o.lang qualify rank <= 2000""")
+def op13(spark, sf_dir):
+    from tallyfold.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))

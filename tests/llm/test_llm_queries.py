@@ -23,7 +23,7 @@ def test_one_row_per_document(key, spark, sf):
 
 def test_all_are_registered():
     numbers = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
-    assert numbers == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert numbers == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("key,label", [("op9_toxicity", "toxic"), ("op10_quality", "quality")])
