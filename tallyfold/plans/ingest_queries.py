@@ -9,7 +9,7 @@ from tallyfold.plans.fixtures import duck, frame, table
 from tallyfold.plans.registry import query
 from tallyfold.plans.settle_queries import doubles, typed
 from tallyfold.session import new_table_path
-from tallyfold.sources import documents, sinks, tables
+from tallyfold.sources import documents, key_store, sinks, tables
 from tallyfold.streaming.drop_folder import stream_drop_folder as load_folder
 
 # The store holds what was loaded before this day.
@@ -169,12 +169,39 @@ def sink_csv_quoted(spark, sf):
 
 @query("sink_append_absent", duck("tx", """select service, reference from stored union all select service, reference from judged where status = 'accepted'""", _JUDGED))
 def sink_append_absent(spark, sf):
-    path = new_table_path(spark, "store")
+    """The earlier transactions fill a bucketed store; of the later ones what is new is added."""
+    store, incoming = filled_store(spark, sf)
+    store.append_absent(incoming)
+    return store.rows().select("service", "reference")
+
+
+def filled_store(spark, sf):
     incoming, stored = incoming_and_stored(spark, sf)
-    sinks.sink_append(stored, path)
-    fresh = ingest.classify_import(incoming, spark.read.parquet(path)).where(F.col("status") == ingest.ACCEPTED)
-    sinks.sink_append(fresh.select("service", "reference"), path)
-    return spark.read.parquet(path)
+    store = key_store.create_store(spark, new_table_path(spark, "store"), "service string, reference string, file string, line long", buckets=8, blocks=4)
+    store.append(stored.select("service", "reference", F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line")))
+    return store, incoming
+
+
+@query("classify_against_store", duck("tx", "select file, line, service, reference, status from judged", _JUDGED))
+def classify_against_store(spark, sf):
+    """The import's verdicts, with the store asked through its filters and only the buckets that the delivery hits."""
+    store, incoming = filled_store(spark, sf)
+    return store.classify(incoming).select("file", "line", "service", "reference", "status")
+
+
+@query("deliveries_by_month", duck("tx", """select file, count(*) as rows_processed, count(*) filter (where status = 'accepted') as rows_success from (
+ select file, case when service is null or reference is null then 'missing_key'
+  when row_number() over (partition by service, reference order by file, line) > 1 then 'duplicate' else 'accepted' end as status
+ from tx where file >= 'tx_199801.csv') group by file"""))
+def deliveries_by_month(spark, sf):
+    """One delivery a month into one store, each checked against all before it."""
+    tx = frame(spark, sf, "tx").select("service", "reference", "file", "line").where("file >= 'tx_199801.csv'")
+    store = key_store.create_store(spark, new_table_path(spark, "store"), "service string, reference string, file string, line long", buckets=8, blocks=4)
+    out = None
+    for name in [r[0] for r in tx.select("file").distinct().orderBy("file").collect()]:
+        judged_rows = store.append_absent(tx.where(F.col("file") == name))
+        out = judged_rows if out is None else out.unionByName(judged_rows)
+    return out.groupBy("file").agg(F.count("*").alias("rows_processed"), F.count_if(F.col("status") == ingest.ACCEPTED).alias("rows_success"))
 
 
 @query("sink_json", "select doc_id, lang, text, case when doc_id % 3 = 0 then null else source end as source from documents")
