@@ -27,11 +27,11 @@ from tallyfold.operators.joins import lookup_join
 from tallyfold.session import new_table_path
 
 #: Rows of a file: words of the vocabulary, buckets, phrases of a trie.
-FILE_ROWS = {"words": 1_000_000, "buckets": 4_000_000, "phrases": 100_000}
+FILE_ROWS = {"words": 500_000, "buckets": 4_000_000, "phrases": 50_000}
 #: Codes of a stored block, and codes that a task walks at a time.
-BLOCK_CODES, HELD_CODES = 1 << 20, 1 << 20
+BLOCK_CODES, HELD_CODES = 1 << 19, 1 << 19
 #: Bytes of such files that a worker keeps for its next blocks.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 48 << 20
 BUCKET_BITS = 31
 
 _ENDS = bytes_in((10, 13), *[(ord(c),) * 2 for c in ".,;:!?"])  # of pieces
@@ -288,10 +288,10 @@ def safe_buckets(blocks: DataFrame, files, k: int, least: int):
         for codes in _block_groups(batches, k):
             held.append(np.unique(_bucket(codes, _safe_places(files, codes, k), k), return_counts=True))
             n += len(held[-1][0])
-            if n > 3 << 20:
+            if n > 3 << 19:
                 held = [_merged(held)]
                 n = len(held[0][0])
-                if n > 2 << 20:
+                if n > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["bucket", "n"])
                     held, n = [], 0
         if n:
