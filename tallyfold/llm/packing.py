@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.tables import stored
+from tallyfold.llm.wordids import word_ids
 
 DIMENSIONS, BITS, BUCKETS = 4, 12, 512
 
@@ -48,94 +49,49 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(5).normal(0, 1, (BUCKETS, DIMENSIONS))
 
 
-def curve_places(documents: list[np.ndarray]) -> np.ndarray:
-    """Hilbert key of each array of ids: hashed counts, unit length, projected, cut into equal cells."""
-    counts = np.zeros((len(documents), BUCKETS))
-    for row, ids in zip(counts, documents):
-        row += np.bincount((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(23), minlength=BUCKETS)
+def curve_places(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hilbert key of each of some id sequences (the k-th is ids[ends[k]:ends[k + 1]]): hashed counts, unit length,
+    projected, cut into equal cells."""
+    n = len(ends) - 1
+    bucket = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(23)
+    counts = np.bincount(np.repeat(np.arange(n), np.diff(ends)) * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
     counts = np.sqrt(counts)
     counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-12)
     place = (np.tanh(counts @ _projection()) + 1) / 2
     return hilbert_keys(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-class WordCodec:
-    """Token ids of texts, from the ids of their blank-separated pieces; up to `kept` pieces are remembered.
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, row_ids: int = 1024) -> DataFrame:
+    """(doc_id, place, mark, start, whole, ids binary): ids (little-endian, unsigned 32 bit, the closing one included) in rows of at
+    most `row_ids`, so that ranges with as many rows have about as many bytes wherever long texts lie.
 
-    The tokenizer drops blanks and never joins across one, so the ids of a text are those of its pieces in order. It
-    also ignores case, so texts whose capitals are beyond doubt (Latin-1) are remembered in small letters.
+    `start` is the place of the row's first id in its document of `whole` ids, `mark` a checksum of all its ids.
     """
+    names = ["doc_id", "place", "mark", "start", "whole", "ids"]
 
-    def __init__(self, path: str, kept: int = 800_000):
-        from tokenizers import Tokenizer
-
-        self.codec, self.kept, self.known = Tokenizer.from_file(path), kept, {"": b""}
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if "<|" not in text:  # special tokens are told apart by case
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text.replace("\n", " ").split(" ")
-
-    def _coded(self, pieces: list[str]):
-        """Ids of each piece, all coded as one text and cut where the pieces begin."""
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at:at + 4096]
-            found = self.codec.encode(" ".join(part), add_special_tokens=False)
-            ids, starts = np.array(found.ids, "<u4").tobytes(), np.array([a for a, _ in found.offsets], np.int64)
-            cuts = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in part])).tolist()
-            for w, a, b in zip(part, [0, *cuts], cuts):
-                yield w, ids[4 * a:4 * b]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._pieces(t) for t in texts]
-        known = self.known
-        new = sorted(set().union(*split) - known.keys())
-        if len(known) + len(new) > self.kept:
-            fresh = dict(self._coded(new))
-            look = lambda w: known[w] if w in known else fresh[w]
-        else:
-            known.update(self._coded(new))
-            look = known.__getitem__
-        return [np.frombuffer(b"".join(map(look, words)), "<u4") for words in split]
-
-
-_codecs: dict[str, WordCodec] = {}
-
-
-def _codec(path: str) -> WordCodec:
-    """One codec a worker process, so that what it has seen serves its later tasks."""
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
-
-
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, place long, ids binary): little-endian unsigned 32-bit ids with the closing id."""
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        codec = _codec(tokenizer)
+        codec = word_ids(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1 << 20):
-                    size += len(texts[upto])
-                    upto += 1
-                found = codec.encode(texts[at:upto])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, upto - at), pa.array(curve_places(found)),
-                     pa.array([x.tobytes() + int(end_id).to_bytes(4, "little") for x in found], pa.binary())], ["doc_id", "place", "ids"])
-                at = upto
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place long, ids binary")
+            ids, ends = codec.encode(batch.column(1))
+            low, n = 0, len(ends) - 1
+            while low < n:
+                high = min(max(low + 1, int(np.searchsorted(ends, ends[low] + (1 << 18), "right")) - 1), low + 1024)
+                part, cuts = ids[ends[low]:ends[high]], ends[low:high + 1] - ends[low]
+                places = curve_places(part, cuts)
+                part = np.insert(part, cuts[1:], end_id).astype("<u4")
+                cuts = cuts + np.arange(len(cuts))
+                data, whole = part.tobytes(), np.diff(cuts)
+                marks = np.array([zlib.crc32(memoryview(data)[4 * a:4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], np.int64)
+                rows = -(-whole // row_ids)
+                doc = np.repeat(np.arange(len(whole)), rows)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)) * row_ids
+                offsets = np.append(cuts[doc] + start, cuts[-1]) * 4
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(low, high - low).take(pa.array(doc)), pa.array(places[doc]), pa.array(marks[doc]), pa.array(start), pa.array(whole[doc]),
+                    pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])], names)
+                low = high
+
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, "doc_id long, place long, mark long, start long, whole long, ids binary")
 
 
 def tail_lengths(left: int, size: int) -> list[int]:
@@ -148,14 +104,15 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
 
     Every row of documents is packed, repeated ones too; null or empty texts are just the closing id, and a null
     doc_id stays null. Documents are cut wherever a sequence is full, so none is too long. Order is by place on
-    the curve, then doc_id and ids; equal texts lie side by side and may be spread over partitions. No sequence
+    the curve, then doc_id and a checksum of the ids; equal texts lie side by side and may be spread over partitions. No sequence
     is padded: each has `size` ids or a power of two. Other columns of documents are not carried. An empty table
     gives no rows.
     """
     coded = stored(tokenised(docs, tokenizer, end_id), "packing-ids")
     total = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
     parts = max(1, -(-total // partition_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 22))
-    ordered = coded.repartitionByRange(int(parts), "place", "doc_id", F.xxhash64("ids")).sortWithinPartitions("place", "doc_id", F.xxhash64("ids"))
+    order = ("place", "doc_id", "mark", "start")
+    ordered = coded.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
 
     def pack(batches):
         from pyspark import TaskContext
@@ -173,15 +130,20 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
             doc, start, ids, whole = piece
             return (doc, start, len(ids) // 4, zlib.crc32(ids), whole, base + sequence, offset, bytes(ids))
 
+        def hold(doc, start, data, whole):
+            if held and held[-1][0] == doc and held[-1][3] == whole and held[-1][1] + len(held[-1][2]) // 4 == start and start:
+                held[-1][2] = b"".join((held[-1][2], data))  # the document goes on
+            else:
+                held.append([doc, start, data, whole])
+
         for batch in batches:
             rows, carried = [], 0
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                data = memoryview(data.as_py())
-                whole, start = len(data) // 4, 0
-                while start < whole:
-                    take = min(size - filled, whole - start)
-                    held.append([doc, start, data[4 * start:4 * (start + take)], whole])
-                    start, filled = start + take, filled + take
+            for doc, begin, whole, data in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "whole", "ids")]):
+                data, done = memoryview(data), 0
+                while 4 * done < len(data):
+                    take = min(size - filled, len(data) // 4 - done)
+                    hold(doc, begin + done, data[4 * done:4 * (done + take)], whole)
+                    done, filled = done + take, filled + take
                     if filled == size:
                         offset = 0
                         for piece in held:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from frames import documents
 from pyspark.sql import functions as F
@@ -19,9 +20,10 @@ from tallyfold.llm.decontaminate import contamination
 from tallyfold.llm.langid import identify_languages
 from tallyfold.llm.linededup import dedup_lines, may_be_within, within_edits
 from tallyfold.llm.neardup import near_duplicates
-from tallyfold.llm.packing import WordCodec, hilbert_keys, pack_sequences, tail_lengths
+from tallyfold.llm.packing import hilbert_keys, pack_sequences, tail_lengths
 from tallyfold.llm.sums import isotonic
 from tallyfold.llm.topk import top_k
+from tallyfold.llm.wordids import WordIds
 from tallyfold.llm.toxicity import Matcher, folded, toxicity_scores
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -250,8 +252,9 @@ def test_packing_is_exact(spark):
     rng = random.Random(6)
     odd = ["I'M  here\tnow\n\nit's", "Ως É é  x\x1cy <|endoftext|> a<|startoftext|>b", "日本 12 345", ""]
     texts = odd + [" ".join(rng.choice(["Hello", "world,", "don't", "été", "ΑΣ", "x1y2"]) for _ in range(rng.randrange(0, 3000))) for _ in range(40)]
-    for t, ids in zip(texts, WordCodec(corpus_pipeline.TOKENIZER).encode(texts)):
-        assert ids.tolist() == codec.encode(t, add_special_tokens=False).ids
+    ids, ends = WordIds(corpus_pipeline.TOKENIZER).encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[ends[i]:ends[i + 1]].tolist() == codec.encode(t, add_special_tokens=False).ids
     rows = pack_sequences(documents(spark, [(i, t, "en") for i, t in enumerate(texts)]), corpus_pipeline.TOKENIZER).collect()
     for i, t in enumerate(texts):
         ids = np.array(codec.encode(t, add_special_tokens=False).ids + [2], "<u4")
