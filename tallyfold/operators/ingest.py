@@ -39,7 +39,7 @@ def project_target_layout(raw: DataFrame, layout=TARGET_LAYOUT, keep=(), number_
     )
 
 
-def _key_present(keys) -> Column:
+def key_present(keys) -> Column:
     ok = F.lit(True)
     for k in keys:
         ok = ok & is_present(F.col(k))
@@ -75,8 +75,8 @@ def classify_import(incoming: DataFrame, stored: DataFrame, keys=KEY, order=ORDE
     hence repeats inside the batch pass.
     """
     keys, order = list(keys), list(order)
-    keyed = incoming.where(_key_present(keys))
-    keyless = incoming.where(~_key_present(keys)).withColumn("status", F.lit(MISSING_KEY))
+    keyed = incoming.where(key_present(keys))
+    keyless = incoming.where(~key_present(keys)).withColumn("status", F.lit(MISSING_KEY))
     firsts = keyed.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
     known = stored_keys(stored, keys).withColumn("_stored", F.lit(True))
     state = firsts.join(known, keys, "left")

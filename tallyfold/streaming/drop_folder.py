@@ -1,13 +1,26 @@
-"""Incremental load of a drop folder: every file is read once, the checkpoint remembers which."""
+"""Incremental load of a drop folder: every file is read once, and the first row of every key is streaming state.
+
+Two streams follow each other. The first numbers the lines of new files and stages typed rows. The second
+keeps, per key, the place (batch, file, line) at which it was first seen in a RocksDB state store, so a
+batch costs what its own rows cost however many keys were loaded before; stored rows are never read again.
+"""
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import TARGET_LAYOUT
-from tallyfold.operators.ingest import ACCEPTED, KEY, classify_import, import_errors, import_report, project_target_layout
+from tallyfold.operators.ingest import ACCEPTED, DUPLICATE, KEY, MISSING_KEY, classify_import, import_errors, import_report, key_present, project_target_layout
+from tallyfold.operators.joins import lookup_join
 from tallyfold.sources.tables import number_lines
 
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A commit then writes what the batch changed, not the whole state.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+_PLACE = ("staged", "file", "line")
+
 
 def _stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
     """Keys stored by earlier batches. Reading only `batch < id` makes a repeated batch harmless."""
@@ -21,15 +34,10 @@ def _stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
     return known.where(F.col("batch") < batch_id).select(*KEY)
 
 
-def load_batch(rows: DataFrame, batch_id: int, store: str, errors: str, reports: str, layout=TARGET_LAYOUT) -> None:
-    """Load one micro-batch of raw rows with `file` and `line`.
-
-    Each outcome goes to its own `batch=<id>` folder in overwrite mode, so a batch that runs again
-    after a failure replaces its own output.
-    """
-    spark = rows.sparkSession
-    typed = project_target_layout(rows, layout, keep=("file", "line"))
-    judged = classify_import(typed, _stored_before(spark, store, batch_id)).persist()
+def _write_outcome(judged: DataFrame, batch_id: int, store: str, errors: str, reports: str) -> None:
+    """Each outcome goes to its own `batch=<id>` folder in overwrite mode, so a batch that runs again after a failure
+    replaces its own output."""
+    judged = judged.persist()
     try:
         accepted = judged.where(F.col("status") == ACCEPTED).drop("status")
         accepted.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
@@ -39,37 +47,79 @@ def load_batch(rows: DataFrame, batch_id: int, store: str, errors: str, reports:
         judged.unpersist()
 
 
-def stream_drop_folder(spark: SparkSession, folder: str, state: str, layout=TARGET_LAYOUT, headers=None,
-                       files_per_batch: int | None = None, multi_line: bool = True):
-    """Load all files that are new since the last run, then stop; returns the finished query.
+def load_batch(rows: DataFrame, batch_id: int, store: str, errors: str, reports: str, layout=TARGET_LAYOUT) -> None:
+    """Load one batch of raw rows with `file` and `line` without a stream: the keys of all earlier batches are read.
 
-    Results lie below `state`: `store`, `errors`, `reports`. `headers` is the header line of the
-    files in order (default: the layout's sources).
+    For a single load, or to replay one; `stream_drop_folder` keeps the keys as state instead.
     """
-    names = headers or [source for source, _, _ in layout]
+    typed = project_target_layout(rows, layout, keep=("file", "line"))
+    _write_outcome(classify_import(typed, _stored_before(rows.sparkSession, store, batch_id)), batch_id, store, errors, reports)
+
+
+def _stage(spark: SparkSession, folder: str, state: str, layout, names, files_per_batch, multi_line) -> DataFrame:
+    """First stream: new files as typed rows with their lines below `state/staged`; gives the schema of these rows."""
     schema = ", ".join(f"`{n}` string" for n in names)
     reader = spark.readStream.schema(schema).options(header=True, escape='"', multiLine=multi_line, enforceSchema=False)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    scanned = reader.csv(folder)
-    located = scanned.select(
+    located = reader.csv(folder).select(
         *[F.col(f"`{c}`") for c in names], F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
     )
 
+    def typed(batch: DataFrame) -> DataFrame:
+        return project_target_layout(number_lines(batch), layout, keep=("file", "line"))
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        # Numbering and classifying read the rows several times; parse the files once.
+        # Numbering reads the rows several times; parse the files once.
         batch.persist()
         try:
-            load_batch(number_lines(batch), batch_id, f"{state}/store", f"{state}/errors", f"{state}/reports", layout)
+            typed(batch).write.mode("overwrite").parquet(f"{state}/staged/staged={batch_id}")
         finally:
             batch.unpersist()
 
-    query = (
-        located.writeStream.foreachBatch(each)
-        .option("checkpointLocation", f"{state}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    _run(located.writeStream.foreachBatch(each), f"{state}/staging")
+    fields = ", ".join(f"`{n}` string" for n in [*names, "file"])
+    return typed(spark.createDataFrame([], fields + ", _block long"))
+
+
+def _run(writer, checkpoint: str):
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def _judge(batch: DataFrame) -> DataFrame:
+    """Statuses of a batch's rows (`kind` row) from the first places of its keys (`kind` first)."""
+    names = [c for c in batch.columns if c not in ("kind", "first")]
+    rows, here = batch.where("kind = 'row'").select(*names), key_present(KEY)
+    firsts = batch.where("kind = 'first'").select(*KEY, F.col("first").alias("_first"))
+    status = F.when(F.struct(*_PLACE) == F.col("_first"), ACCEPTED).otherwise(DUPLICATE)
+    keyed = lookup_join(rows.where(here), firsts, KEY).withColumn("status", status).drop("_first")
+    return keyed.unionByName(rows.where(~here).withColumn("status", F.lit(MISSING_KEY))).drop("staged")
+
+
+def stream_drop_folder(spark: SparkSession, folder: str, state: str, layout=TARGET_LAYOUT, headers=None,
+                       files_per_batch: int | None = None, multi_line: bool = True):
+    """Load all files that are new since the last run, then stop; returns the finished query.
+
+    Results lie below `state`: `store`, `errors`, `reports`. `headers` is the header line of the
+    files in order (default: the layout's sources). The first row of a key by (run, file, line) is stored.
+    """
+    names = headers or [source for source, _, _ in layout]
+    schema = _stage(spark, folder, state, layout, names, files_per_batch, multi_line).schema
+    for key, value in _STATE.items():
+        spark.conf.set(key, value)
+    staged = spark.readStream.schema(schema.add("staged", "long")).parquet(f"{state}/staged")
+    # The least place of a key never changes once an earlier batch has set it.
+    firsts = staged.where(key_present(KEY)).groupBy(*KEY).agg(F.min(F.struct(*_PLACE)).alias("first"))
+    both = staged.withColumn("kind", F.lit("row")).unionByName(firsts.withColumn("kind", F.lit("first")), allowMissingColumns=True)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            _write_outcome(_judge(batch), batch_id, f"{state}/store", f"{state}/errors", f"{state}/reports")
+        finally:
+            batch.unpersist()
+
+    return _run(both.writeStream.outputMode("update").foreachBatch(each), f"{state}/checkpoint")

@@ -65,3 +65,67 @@ def test_one_run_equals_the_batch_plan(spark, tmp_path):
     empty = spark.createDataFrame([], "service string, reference string")
     kept = ingest.classify_import(typed, empty).where(F.col("status") == "accepted")
     assert store(spark, tmp_path) == sorted((r.reference, float(r.montant), r.line) for r in kept.collect())
+
+
+def staged_batches(tmp_path):
+    return sorted(p.name for p in (tmp_path / "state" / "staged").iterdir() if p.name.startswith("staged="))
+
+
+def test_files_of_one_run_in_several_batches(spark, tmp_path):
+    """All files wait, one file a staged batch; the second stream takes them together and keeps their order."""
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    for f in range(4):
+        (drop / f"{f}.csv").write_text(HEAD + "".join(f"S,{i},{f}\n" for i in range(f, f + 3)) + ",x,1\n")
+    run(spark, tmp_path, files_per_batch=1)
+    assert len(staged_batches(tmp_path)) == 4
+    rows = spark.read.parquet(str(tmp_path / "state" / "store")).collect()
+    assert sorted(r.reference for r in rows) == [str(i) for i in range(6)]
+    errors = spark.read.parquet(str(tmp_path / "state" / "errors"))
+    assert errors.where("is_duplicate").count() == 6 and errors.where("not is_duplicate").count() == 4
+    reports = spark.read.parquet(str(tmp_path / "state" / "reports")).where("file is not null").collect()
+    assert [r.rows_processed for r in reports] == [4] * 4 and sum(r.rows_success for r in reports) == 6
+    # The first batch that has a key keeps it, whichever file that was.
+    seen, place = {}, {f"staged={i}": i for i in range(4)}
+    staged = spark.read.parquet(str(tmp_path / "state" / "staged"))
+    for r in staged.where("service is not null").orderBy("staged", "line").collect():
+        seen.setdefault(r.reference, (r.file, r.line))
+    assert {r.reference: (r.file, r.line) for r in rows} == seen and staged_batches(tmp_path) == list(place)
+
+
+def test_a_batch_that_failed_is_replayed(spark, tmp_path, monkeypatch):
+    """The job dies after the store's rows were written: the next run writes the same batch again, once."""
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.csv").write_text(HEAD + "S,1,1\nS,2,2\nS,1,3\n")
+    run(spark, tmp_path)
+    (drop / "b.csv").write_text(HEAD + "S,2,9\nS,3,4\n")
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(drop_folder, "import_report", dies)
+    try:
+        run(spark, tmp_path)
+        raise AssertionError("must not pass")
+    except Exception as e:  # noqa: BLE001 - whatever the stream wraps it in
+        assert "lost" in str(e)
+    monkeypatch.undo()
+    run(spark, tmp_path)
+    run(spark, tmp_path)
+    assert store(spark, tmp_path) == [("1", 1.0, 2), ("2", 2.0, 3), ("3", 4.0, 3)]
+    assert spark.read.parquet(str(tmp_path / "state" / "errors")).count() == 2
+
+
+def test_a_batch_does_not_read_the_store(spark, tmp_path):
+    """Stored rows may be taken away: duplicates are known from the state alone."""
+    import shutil
+
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.csv").write_text(HEAD + "S,1,1\nS,2,2\n")
+    run(spark, tmp_path)
+    shutil.move(tmp_path / "state" / "store", tmp_path / "elsewhere")
+    (drop / "b.csv").write_text(HEAD + "S,2,9\nS,3,4\n")
+    run(spark, tmp_path)
+    assert store(spark, tmp_path) == [("3", 4.0, 3)]
