@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.kernels import bytes_in, mixed, text_bytes, word_hashes
-from tallyfold.llm.tables import stored
+from tallyfold.llm.tables import small_batches, stored
 from tallyfold.llm.tries import build_trie, walk
 from tallyfold.llm.wordids import blank_slices
 from tallyfold.operators.joins import lookup_join
@@ -31,7 +31,7 @@ FILE_ROWS = {"words": 500_000, "buckets": 4_000_000, "phrases": 50_000}
 #: Codes of a stored block, and codes that a task walks at a time.
 BLOCK_CODES, HELD_CODES = 1 << 19, 1 << 19
 #: Bytes of such files that a worker keeps for its next blocks.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 24 << 20
 BUCKET_BITS = 31
 
 _ENDS = bytes_in((10, 13), *[(ord(c),) * 2 for c in ".,;:!?"])  # of pieces
@@ -105,7 +105,7 @@ def _words_of(column: pa.Array):
     """Words of all texts, slice by slice: (distinct words as bytes, word of each place, text of each place, whether a piece begins there)."""
     data, ends = text_bytes(column)
     owner_before, ended = -1, False
-    for low, high in blank_slices(data, ends, 2 << 20):
+    for low, high in blank_slices(data, ends, 1 << 20):
         part = data[low:high]
         part = part + (((part >= 65) & (part <= 90)).astype(np.uint8) << 5)
         solid = ~_GAPS[part]
@@ -369,6 +369,11 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, per_lang: i
     computed in decimals, so no product overflows. A word must not be longer than 2^31 bytes.
     """
     spark = docs.sparkSession
+    with small_batches(spark):
+        return _collocations(spark, docs, least, longest, per_lang, cover)
+
+
+def _collocations(spark, docs, least, longest, per_lang, cover):
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = stored(word_counts(texts), "collocation-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))

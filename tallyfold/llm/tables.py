@@ -1,5 +1,7 @@
 """Reading the given tables, and tables written on the way."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfold.session import apply_plan_settings, new_table_path
@@ -20,3 +22,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_table_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Smaller Arrow batches for the tables stored inside, where workers hold tables of their own besides their rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
