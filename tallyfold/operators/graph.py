@@ -1,52 +1,128 @@
-"""Dependency order over an edge table."""
+"""Dependency order over an edge table: levels, cycles, and levels around cycles.
+
+Every round ends in a reliable checkpoint; the driver sees row counts. Joins are lookups of a node's single row, so
+a node with very many neighbours is split like any other hot key.
+"""
+
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.joins import lookup_join
 from tallyfold.session import cut_lineage
 
+#: Rounds of release after which finished edges are dropped.
+ROUNDS_TOGETHER = 8
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select("child", "parent").where("child <> parent").distinct()
+
+
+def _named(df: DataFrame, **names: str) -> DataFrame:
+    """Columns under new names: `_named(df, parent="node")` takes `node` as `parent`."""
+    return df.select(*[F.col(old).alias(new) for new, old in names.items()])
+
+
+def _jumped(steps: DataFrame, merge: dict) -> tuple[DataFrame, DataFrame]:
+    """Pointer jumping over (node, head, …), one row a node: rows whose head is no node, and rows that never come to such.
+
+    Each round every row takes over its head's head, so the way doubles and the rounds grow with the logarithm of the longest
+    way. `merge` says how further columns of a row and of its head (prefixed with _) are put together.
+    """
+    rounds = max(1, steps.count().bit_length()) + 1
+    now = cut_lineage(steps.withColumn("_open", F.lit(True)))
+    for _ in range(rounds):
+        others = [c for c in now.columns if c not in ("node", "head", "_open")]
+        over = _named(now, head="node", _head="head", **{f"_{c}": c for c in others})
+        met = lookup_join(now, over, ["head"], "left")
+        more = F.col("_head").isNotNull()
+        now = cut_lineage(met.select(
+            "node", F.coalesce("_head", "head").alias("head"), *[F.when(more, merge[c]).otherwise(F.col(c)).alias(c) for c in others], more.alias("_open")))
+        if now.where("_open").isEmpty():
+            break
+    # A row may have taken over a head that was itself just reached: closed is whose head is no node.
+    return now.where("not _open").drop("_open"), now.where("_open").drop("_open")
+
+
+def _contracted(work: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Take nodes with one parent out of weighted edges: their level follows from that of the first ancestor which is none.
+
+    Gives (edges left, (node, head, dist), nodes behind a ring of such nodes), or nothing where too few nodes have one parent.
+    """
+    counted = cut_lineage(work.groupBy("child").agg(F.count("*").alias("n"), F.max("parent").alias("head"), F.max("weight").alias("dist")))
+    single = counted.where("n = 1").select(F.col("child").alias("node"), "head", "dist")
+    n, of = counted.agg(F.count_if(F.col("n") == 1), F.count("*")).first()
+    if n == 0 or n * 10 < of:
+        return None
+    way, ring = _jumped(single, {"dist": F.col("dist") + F.col("_dist")})
+    rest = lookup_join(work, _named(single, child="node"), ["child"], "left_anti")
+    moved = lookup_join(rest, _named(way, parent="node", _head="head", _dist="dist"), ["parent"], "left").select(
+        "child", F.coalesce("_head", "parent").alias("parent"), (F.col("weight") + F.coalesce("_dist", F.lit(0))).alias("weight"))
+    return cut_lineage(moved.groupBy("child", "parent").agg(F.max("weight").alias("weight"))), way, ring.select("node")
+
 
 def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """`(node, level, blocked)`: level 0 has no parents, every other node lies one above its highest parent.
 
     Sorting by level puts parents before children. Nodes on a cycle, or behind one, can never be
-    released: they come out once, with a null level and `blocked` true.
+    released: they come out once, with a null level and `blocked` true; `dependency_order` gives levels to those too.
 
-    Round by round, the nodes released last pass their children one count per edge; a child whose
-    counts reach its number of parents is released. A round joins only the newly released nodes
-    with the edges, and its outcome is a reliable checkpoint. The driver sees one row count per round.
+    Nodes with one parent are contracted first, by pointer jumping, until few are left: long chains and trees cost a
+    logarithmic number of rounds. Then, round by round, the nodes released last pass their children one count per edge, and
+    a child whose counts reach its number of parents is released. Now and then edges of released parents leave, and the
+    levels found are put together, so that neither the work nor the plan of a round grows with the rounds before.
     """
-    pairs = cut_lineage(edges.select("child", "parent").where("child <> parent").distinct())
+    pairs = cut_lineage(_pairs(edges))
     names = pairs.select(F.col("child").alias("node")).union(pairs.select("parent"))
     if nodes is not None:
         names = names.union(nodes.select("node"))
-    parents = pairs.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("waiting"))
-    state = names.distinct().join(parents, "node", "left").select(
-        "node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.when(F.col("waiting").isNull(), 0).alias("level")
-    )
-    state = cut_lineage(state)
-    released, level = [state.where("level = 0")], 0
-    pending = state.where("level is null")
+    names = cut_lineage(names.distinct())
+    work, ways, left = pairs.withColumn("weight", F.lit(1).cast("long")), [], names
+    while (found := _contracted(work)) is not None:
+        work, way, ring = found
+        ways.append(way)
+        left = lookup_join(left, way.select("node").unionByName(ring), ["node"], "left_anti")
+    parents = work.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("waiting"))
+    state = cut_lineage(left.join(parents, "node", "left").select("node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.lit(0).cast("long").alias("level")))
+    known, recent, rounds = None, [state.where("waiting = 0").select("node", "level")], 0
+    pending = state.where("waiting > 0")
     while True:
-        counts = (
-            pairs.join(released[-1].select(F.col("node").alias("parent")), "parent")
-            .groupBy(F.col("child").alias("node")).agg(F.count("*").alias("arrived"))
-        )
-        level += 1
-        left_over = F.col("waiting") - F.coalesce("arrived", F.lit(0))
-        step = pending.join(counts, "node", "left").select(
-            "node", left_over.alias("waiting"), F.when(left_over == 0, level).alias("level")
-        )
-        step = cut_lineage(step)
-        fresh = step.where("level is not null")
+        passed = lookup_join(work, _named(recent[-1], parent="node", level="level"), ["parent"])
+        arrived = passed.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("arrived"), F.max(F.col("level") + F.col("weight")).alias("reached"))
+        step = cut_lineage(pending.join(arrived, "node", "left").select(
+            "node", (F.col("waiting") - F.coalesce("arrived", F.lit(0))).alias("waiting"), F.greatest("level", "reached").alias("level")))
+        fresh, pending, rounds = step.where("waiting = 0").select("node", "level"), step.where("waiting > 0"), rounds + 1
         if fresh.isEmpty():
             break
-        released.append(fresh)
-        pending = step.where("level is null")
-    out = step
-    for part in released:
-        out = out.unionByName(part)
-    return out.select("node", "level", F.col("level").isNull().alias("blocked"))
+        recent.append(fresh)
+        if rounds % ROUNDS_TOGETHER == 0:
+            # Edges of released parents leave, and the levels found so far become one table.
+            done = reduce(DataFrame.unionByName, recent[:-1])
+            work = cut_lineage(lookup_join(work, _named(done, parent="node"), ["parent"], "left_anti"))
+            known, recent = cut_lineage(done if known is None else known.unionByName(done)), recent[-1:]
+    known = reduce(DataFrame.unionByName, recent if known is None else [known, *recent])
+    for way in reversed(ways):
+        heads = _named(known, head="node", _level="level")
+        known = cut_lineage(known.unionByName(lookup_join(way, heads, ["head"]).select("node", (F.col("_level") + F.col("dist")).alias("level"))))
+    return names.join(known, "node", "left").select("node", F.col("level").cast("int").alias("level"), F.col("level").isNull().alias("blocked"))
+
+
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose ends are both among the nodes."""
+    inside = lookup_join(edges, _named(nodes, child="node"), ["child"], "left_semi")
+    return lookup_join(inside, _named(nodes, parent="node"), ["parent"], "left_semi")
+
+
+def _cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that lie on a cycle or between two: what releasing from the parents' and from the children's side leaves."""
+    pairs = cut_lineage(_pairs(edges))
+    core = cut_lineage(_among(pairs, dependency_levels(pairs).where("blocked").select("node")))
+    if core.isEmpty():
+        return core
+    held = dependency_levels(_named(core, child="parent", parent="child")).where("blocked").select("node")
+    return cut_lineage(_among(core, held))
 
 
 def cycle_nodes(edges: DataFrame, levels: DataFrame) -> DataFrame:
@@ -54,11 +130,103 @@ def cycle_nodes(edges: DataFrame, levels: DataFrame) -> DataFrame:
 
     The same release from the children's side removes the nodes that are only behind a cycle.
     """
-    stuck = levels.where("blocked").select("node")
-    core = (
-        edges.where("child <> parent").select("child", "parent")
-        .join(stuck.withColumnRenamed("node", "child"), "child", "left_semi")
-        .join(stuck.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    )
-    reversed_levels = dependency_levels(core.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
+    core = _among(_pairs(edges), levels.where("blocked").select("node"))
+    reversed_levels = dependency_levels(_named(core, child="parent", parent="child"))
     return reversed_levels.where("blocked").select("node")
+
+
+def _settled(now: DataFrame, step) -> DataFrame:
+    """Repeat a step until its rows no longer change, by their number and a checksum."""
+    now, mark = cut_lineage(now), None
+    while True:
+        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64(*now.columns))).first())
+        if seen == mark:
+            return now
+        mark, now = seen, cut_lineage(step(now))
+
+
+def _coloured_components(edges: DataFrame) -> DataFrame:
+    """`(node, comp)` for every node: strongly connected components by colouring.
+
+    The greatest node a node can be reached from is its colour. A node of its own colour is a root; its component are the nodes of
+    its colour that reach it. Components found leave, and what is left is coloured again.
+    """
+    nodes = cut_lineage(_named(edges, node="child").union(_named(edges, node="parent")).distinct())
+    out = None
+    while True:
+        def forward(colours, edges=edges):
+            above = lookup_join(edges, _named(colours, parent="node", colour="colour"), ["parent"])
+            best = above.groupBy(F.col("child").alias("node")).agg(F.max("colour").alias("_best"))
+            return colours.join(best, "node", "left").select("node", F.greatest("colour", "_best").alias("colour"))
+
+        colours = _settled(nodes.withColumn("colour", F.col("node")), forward)
+        ends = lookup_join(edges, _named(colours, child="node", _below="colour"), ["child"])
+        inner = cut_lineage(lookup_join(ends, _named(colours, parent="node", _above="colour"), ["parent"]).where("_below = _above").select("child", "parent"))
+
+        def backward(members, inner=inner):
+            up = lookup_join(inner, _named(members, child="node", comp="comp"), ["child"]).select(F.col("parent").alias("node"), "comp")
+            return members.unionByName(up).distinct()
+
+        members = _settled(_named(colours.where("node = colour"), node="node", comp="colour"), backward)
+        out = members if out is None else cut_lineage(out.unionByName(members))
+        nodes = cut_lineage(nodes.join(members, "node", "left_anti"))
+        edges = cut_lineage(_among(edges, nodes))
+        if edges.isEmpty():
+            return out.unionByName(nodes.select("node", F.col("node").alias("comp")))
+
+
+def dependency_cycles(edges: DataFrame) -> DataFrame:
+    """`(node, cycle)` of the nodes that lie on a cycle; nodes that reach each other share the smallest of them as `cycle`.
+
+    An edge from a node to itself is no cycle. Nodes off all cycles are released from both sides. Of what is left, chains
+    (one parent, one child) are contracted by pointer jumping, so that a ring costs a logarithmic number of rounds; the rest is
+    coloured. A chain lies on a cycle if its two ends do on the same.
+    """
+    core = _cyclic_core(edges)
+    if core.isEmpty():
+        return core.select(F.col("child").alias("node"), F.col("parent").alias("cycle"))
+    ins = core.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("i"), F.max("parent").alias("above"))
+    outs = core.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("o"), F.max("child").alias("below"))
+    chain = cut_lineage(ins.join(outs, "node").where("i = 1 and o = 1").select("node", "above", "below"))
+    # The way of a chain node goes up to the chain's first node, whose parent is no chain node.
+    inner = lookup_join(chain, _named(chain, above="node"), ["above"], "left_semi")
+    firsts = cut_lineage(lookup_join(chain, inner.select("node"), ["node"], "left_anti"))
+    way, ring = _jumped(inner.select("node", F.col("above").alias("head"), F.col("node").alias("least")), {"least": F.least("least", "_least")})
+    rings = ring.select("node", F.col("least").alias("cycle"))
+    of_chain = cut_lineage(way.select("node", F.col("head").alias("first")).unionByName(firsts.select("node", F.col("node").alias("first"))))
+    # A chain's last node is the one whose child is no chain node.
+    lasts = lookup_join(chain, _named(chain, below="node"), ["below"], "left_anti").select("node", "below").join(of_chain, "node")
+    spans = cut_lineage(lasts.select("first", "below").join(_named(firsts, first="node", above="above"), "first"))
+    off_chain = lookup_join(lookup_join(core, _named(chain, child="node"), ["child"], "left_anti"), _named(chain, parent="node"), ["parent"], "left_anti")
+    short = cut_lineage(off_chain.unionByName(_named(spans, child="below", parent="above")).distinct())
+    if short.isEmpty():
+        return rings
+    loops = short.where("child = parent").select(F.col("child").alias("node")).distinct()
+    comps = _coloured_components(_pairs(short)) if not _pairs(short).isEmpty() else loops.limit(0).select("node", F.col("node").alias("comp"))
+    comps = cut_lineage(comps.unionByName(loops.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))))
+    looped = comps.join(loops, "node").select("comp")
+    cyclic = cut_lineage(comps.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp").union(looped).distinct())
+    members = lookup_join(comps, cyclic, ["comp"], "left_semi")
+    ends = lookup_join(spans, _named(members, above="node", _up="comp"), ["above"])
+    whole = lookup_join(ends, _named(members, below="node", _down="comp"), ["below"]).where("_up = _down").select("first", F.col("_up").alias("comp"))
+    all_members = cut_lineage(members.select("node", "comp").unionByName(lookup_join(of_chain, whole, ["first"]).select("node", "comp")))
+    least = all_members.groupBy("comp").agg(F.min("node").alias("cycle"))
+    return lookup_join(all_members, least, ["comp"]).select("node", "cycle").unionByName(rings)
+
+
+def dependency_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """`(node, level, cycle)`: every node has a level, also those on cycles and behind them; `cycle` is null off cycles.
+
+    Levels are those of the graph in which each cycle is one node, so that sorting by level puts every node behind all it
+    depends on, except for those on its own cycle, which share its level.
+    """
+    pairs = cut_lineage(_pairs(edges))
+    names = pairs.select(F.col("child").alias("node")).union(pairs.select("parent"))
+    if nodes is not None:
+        names = names.union(nodes.select("node"))
+    cycles = cut_lineage(dependency_cycles(pairs))
+    units = cut_lineage(names.distinct().join(cycles, "node", "left").select("node", "cycle", F.coalesce("cycle", "node").alias("unit")))
+    ends = lookup_join(pairs, _named(units, child="node", _child="unit"), ["child"])
+    between = lookup_join(ends, _named(units, parent="node", _parent="unit"), ["parent"]).select(F.col("_child").alias("child"), F.col("_parent").alias("parent"))
+    levels = dependency_levels(between, _named(units, node="unit"))
+    return lookup_join(units, _named(levels, unit="node", level="level"), ["unit"]).select("node", "level", "cycle")

@@ -137,12 +137,16 @@ from sheet_rows where row_no % 6 = 0""",
 from {{documents}}""",
     "edges": """select p_partkey as child, cast(floor(p_partkey / 2) as bigint) as parent from {part} where p_partkey > 0
 union all select p_partkey, cast(floor(p_partkey / 3) as bigint) from {part} where p_partkey > 0""",
+    "loops": """select child, parent from edges where child <> parent
+union all select cast(p_partkey + 1 as bigint), cast(p_partkey as bigint) from {part} where floor(p_partkey / 5) % 3 = 0 and p_partkey % 5 < 4
+union all select cast(p_partkey - 4 as bigint), cast(p_partkey as bigint) from {part} where floor(p_partkey / 5) % 3 = 0 and p_partkey % 5 = 4 and p_partkey > 4
+union all select cast(floor(p_partkey / 2) as bigint), cast(p_partkey as bigint) from {part} where p_partkey % 97 = 0 and p_partkey > 0""",
     "payments": """select cast(floor(o_orderkey / 500) as bigint) as k, o_orderkey, concat('E', cast(o_orderkey % 5000 as string)) as reference,
  cast(o_totalprice as decimal(18,2)) as amount
 from {orders}""",
 }
 # Tables a template builds on.
-NEEDS = {"cells": ("sheet_rows",), "merges": ("sheet_rows",)}
+NEEDS = {"cells": ("sheet_rows",), "merges": ("sheet_rows",), "loops": ("edges",)}
 
 
 def _fill(name: str, spark: bool, sf_dir: str = "") -> str:

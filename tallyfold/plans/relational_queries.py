@@ -135,3 +135,28 @@ def sort_case_priority(spark, sf):
 )
 def dependency_levels(spark, sf):
     return graph.dependency_levels(frame(spark, sf, "edges"))
+
+
+# Reachability from every node, by recursion; a node that reaches itself is on a cycle.
+_REACH = """reach as (select * from (with recursive r(a, b) as (select distinct child, parent from loops
+  union select r.a, p.parent from r join loops p on p.child = r.b) select a, b from r)),
+ cyclic as (select x.a as node, min(x.b) as cycle from reach x join reach y on y.a = x.b and y.b = x.a group by 1)"""
+
+
+@query("dependency_cycles", duck("loops", "select node, cycle from cyclic", _REACH))
+def dependency_cycles(spark, sf):
+    return graph.dependency_cycles(frame(spark, sf, "loops"))
+
+
+@query(
+    "dependency_order",
+    duck("loops", """select u.node, cast(max(w.level) as integer) as level, any_value(u.cycle) as cycle from units u join walk w on w.unit = u.unit group by 1""",
+         _REACH + """, nodes as (select child as node from loops union select parent from loops),
+ units as (select n.node, c.cycle, coalesce(c.cycle, n.node) as unit from nodes n left join cyclic c on c.node = n.node),
+ between as (select distinct a.unit as child, b.unit as parent from loops l join units a on a.node = l.child join units b on b.node = l.parent where a.unit <> b.unit),
+ walk as (select * from (with recursive w(unit, level) as (select distinct unit, 0 from units where unit not in (select child from between)
+  union select b.child, w.level + 1 from w join between b on b.parent = w.unit) select unit, level from w))"""),
+)
+def dependency_order(spark, sf):
+    """Levels of a graph with cycles; those behind a cycle have theirs as well."""
+    return graph.dependency_order(frame(spark, sf, "loops"))
