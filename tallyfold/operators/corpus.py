@@ -1,6 +1,6 @@
 """File and text corpora: counts by extension, sizes, tokens, strings, tree listing."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import (
@@ -8,7 +8,10 @@ from tallyfold.fixed_values import (
 )
 from tallyfold.functions.naming import file_extension, mb_text, path_parts, raw_extension, slug_key
 from tallyfold.functions.texts import line_count, quoted_strings, token_count, unify_newlines
+from tallyfold.operators import numbering
+from tallyfold.operators.intervals import points_in_ranges
 from tallyfold.operators.joins import lookup_join
+from tallyfold.session import cut_lineage
 
 
 def _any_of(words) -> str:
@@ -188,40 +191,75 @@ def bundle_lines(files: DataFrame, with_content: bool = True, marker: str = "//
     return files.select("path", F.posexplode(lines).alias("ord", "line"))
 
 
-def collision_suffix(incoming: DataFrame, present: DataFrame, whole_names: bool = False) -> DataFrame:
-    """Free target name of every incoming `(category, name)`.
+def _ranked(rows: DataFrame, keys, order) -> DataFrame:
+    """Add `_k`, the place of a row among those of its keys, from 1, without bringing a key's rows to one task.
 
-    A name that is free at the target is kept. A taken one becomes `stem (i).ext` with the smallest
-    i >= 1 that is used neither at the target nor by an incoming name that is kept; with
-    `whole_names` (directories) it becomes `name (i)`. The candidates for i are 1 and every used number
-    plus 1; the unused ones survive an anti-join, so no list of used numbers is gathered.
+    Rows are range-sorted by keys and order and numbered through; a key's numbers begin at its smallest.
+    """
+    place = [*keys, *order]
+    rows = cut_lineage(rows.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = rows.join(sizes, "_part").withColumn("_at", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_id", "_before")
+    firsts = numbered.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    return lookup_join(numbered, firsts, keys).withColumn("_k", F.col("_at") - F.col("_first") + 1).drop("_at", "_first")
+
+
+def _free_ranges(used: DataFrame, wanted: DataFrame, keys) -> DataFrame:
+    """(keys, _low, _high, _skip): the k-th unused number, counted from 1, is k + _skip for k in _low .. _high.
+
+    `used` are the distinct used numbers `i`, `wanted` how many are `needed` per key. Behind the j-th used number, i, the
+    unused ones have the ranks from i - j + 1 on, and j of the numbers before them are used; of several with one rank the last counts.
+    """
+    keys = list(keys)
+    ranks = numbering.row_number_by_position(lookup_join(used, wanted, keys, "left_semi"), keys, "i", "_skip")
+    starts = ranks.groupBy(*keys, (F.col("i") - F.col("_skip") + 1).alias("_low")).agg(F.max("_skip").alias("_skip"))
+    starts = starts.unionByName(wanted.select(*keys, F.lit(1).cast("long").alias("_low"), F.lit(0).cast("long").alias("_skip")))
+    starts = starts.groupBy(*keys, "_low").agg(F.max("_skip").cast("long").alias("_skip"))
+    gaps = cut_lineage(numbering.row_number_by_position(starts, keys, "_low", "_g"))
+    ends = gaps.select(*keys, (F.col("_g") - 1).alias("_g"), (F.col("_low") - 1).alias("_end"))
+    return lookup_join(gaps.join(ends, [*keys, "_g"], "left"), wanted, keys).select(
+        *keys, "_low", F.least(F.coalesce("_end", "needed"), "needed").alias("_high"), "_skip").where("_low <= _high")
+
+
+def collision_suffix(incoming: DataFrame, present: DataFrame, whole_names: bool = False, order=None) -> DataFrame:
+    """Free target name of every incoming `(category, name)`; no two get the same.
+
+    A name that is free at the target is kept by the first incoming file that has it (by `order`, by default the other columns
+    of `incoming`, else the name). Every further file, and all files of a name that is taken, become `stem (i).ext` in
+    the same order, each with the smallest i >= 1 that is used neither at the target, nor by a name that is kept, nor by a file
+    before it; with `whole_names` (directories) it becomes `name (i)`. Rows without category or name stay as they are. Files that move one after the other get the same
+    names, if those that keep theirs go first. One name may be that of most files: they are ranked by a range sort, and the
+    k-th free number comes from ranges of unused numbers.
     """
     keys, stems = ["category", "name"], ["category", "stem", "ext"]
+    columns = incoming.columns
+    order = list(order or [c for c in columns if c not in keys])
+    nameless = incoming.where("category is null or name is null")
+    incoming = incoming.dropna(subset=keys)
     there = present.select(*keys).distinct()
-    marked = lookup_join(incoming, there.withColumn("_taken", F.lit(True)), keys, "left")
-    kept = marked.where("_taken is null").drop("_taken")
-    taken = marked.where("_taken").drop("_taken")
+    ranked = _ranked(incoming, keys, order).withColumnRenamed("_k", "_nth")
+    marked = cut_lineage(lookup_join(ranked, there.withColumn("_taken", F.lit(True)), keys, "left"))
+    stays = F.col("_taken").isNull() & (F.col("_nth") == 1)
+    kept, moving = marked.where(stays).select(*columns), marked.where(~stays).select(*columns, "_nth")
 
     name = F.col("name")
-    suffix = r"([.][^.]*)?"
-    numbered = r"(?s)^(.*) [(]([1-9][0-9]{0,8})[)]" + ("()" if whole_names else suffix) + r"\z"
+    numbered = r"(?s)^(.*) [(]([1-9][0-9]{0,8})[)]" + ("()" if whole_names else r"([.][^.]*)?") + r"\z"
     used = there.union(kept.select(*keys)).where(name.rlike(numbered)).select(
         "category", F.regexp_extract(name, numbered, 1).alias("stem"), F.regexp_extract(name, numbered, 3).alias("ext"),
         F.regexp_extract(name, numbered, 2).cast("long").alias("i"),
     ).distinct()
     parts = r"(?s)^(.*[^.].*?)([.][^.]*)\z"
     has_ext = F.lit(False) if whole_names else name.rlike(parts)
-    split = taken.select(
-        *taken.columns, F.when(has_ext, F.regexp_extract(name, parts, 1)).otherwise(name).alias("stem"),
-        F.when(has_ext, F.regexp_extract(name, parts, 2)).otherwise("").alias("ext"),
-    )
-    wanted = split.select(*stems).distinct()
-    after_used = lookup_join(used, wanted, stems, "left_semi").withColumn("i", F.col("i") + 1)
-    candidates = wanted.withColumn("i", F.lit(1).cast("long")).unionByName(after_used)
-    free = candidates.join(used, [*stems, "i"], "left_anti").groupBy(*stems).agg(F.min("i").alias("i"))
-    renamed = split.join(free, stems).withColumn(
-        "target_name", F.concat("stem", F.lit(" ("), F.col("i").cast("string"), F.lit(")"), "ext")
-    )
-    return renamed.select(*incoming.columns, "target_name").unionByName(
-        kept.select(*incoming.columns, F.col("name").alias("target_name"))
-    )
+    # Of a kept name the first file stays, so that the second is the first that moves.
+    moves = lookup_join(moving, kept.select(*keys).withColumn("_keeps", F.lit(1)), keys, "left").select(
+        *columns, (F.col("_nth") - F.coalesce("_keeps", F.lit(0))).alias("_k"),
+        F.when(has_ext, F.regexp_extract(name, parts, 1)).otherwise(name).alias("stem"), F.when(has_ext, F.regexp_extract(name, parts, 2)).otherwise("").alias("ext"))
+    moves = cut_lineage(moves)
+    wanted = moves.groupBy(*stems).agg(F.max("_k").alias("needed"))
+    free = cut_lineage(_free_ranges(used, wanted, stems))
+    renamed = points_in_ranges(moves, free, stems, "_k", "_low", "_high").withColumn(
+        "target_name", F.concat("stem", F.lit(" ("), (F.col("_k") + F.col("_skip")).cast("string"), F.lit(")"), "ext"))
+    stay = kept.unionByName(nameless).select(*columns, F.col("name").alias("target_name"))
+    return renamed.select(*columns, "target_name").unionByName(stay)

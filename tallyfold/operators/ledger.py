@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import LABEL_LOOKAHEAD, SHEET_COLUMNS
 from tallyfold.functions.parsing import is_numeric_account
+from tallyfold.operators.intervals import points_in_ranges
+from tallyfold.operators.joins import lookup_join
 
 _REFERENCE = r"^=[$]?([A-Za-z]{1,3})[$]?([0-9]+)\z"
-BAND = 32
 
 
 def anchor_values(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -26,20 +27,13 @@ def anchor_values(cells: DataFrame, merges: DataFrame) -> DataFrame:
 def _fill_from_ranges(wanted: DataFrame, merges: DataFrame, cells: DataFrame, col: Column, value: str) -> DataFrame:
     """Replace `value` of the wanted rows (sheet, row, …) whose place (row, col) lies in a merged range.
 
-    The range join is an equi-join on (sheet, band of rows) with the exact test on top; a range is
-    repeated once per band it touches.
+    A range costs a few rows however tall it is; what is found is joined back to the wanted rows, which must be unique by place.
     """
-    ranges = anchor_values(cells, merges).select(
-        F.col("sheet").alias("_sheet"), "min_row", "max_row", "min_col", "max_col", "anchor",
-        F.explode(F.sequence(F.floor(F.col("min_row") / BAND), F.floor(F.col("max_row") / BAND))).alias("_range_band"),
-    )
-    banded = wanted.withColumn("_band", F.floor(F.col("row") / BAND)).withColumn("_col", col)
-    inside = (
-        (F.col("sheet") == F.col("_sheet")) & (F.col("_band") == F.col("_range_band"))
-        & F.col("row").between(F.col("min_row"), F.col("max_row")) & F.col("_col").between(F.col("min_col"), F.col("max_col"))
-    )
-    filled = F.when(F.col("_sheet").isNotNull(), F.col("anchor")).otherwise(F.col(value))
-    return banded.join(ranges, inside, "left").withColumn(value, filled).select(*wanted.columns)
+    points = wanted.select("sheet", "row", col.alias("_col")).distinct()
+    inside = points_in_ranges(points, anchor_values(cells, merges), ["sheet"], "row", "min_row", "max_row")
+    found = inside.where(F.col("_col").between(F.col("min_col"), F.col("max_col"))).select("sheet", "row", "_col", "anchor", F.lit(True).alias("_inside"))
+    filled = F.when(F.col("_inside"), F.col("anchor")).otherwise(F.col(value))
+    return lookup_join(wanted.withColumn("_col", col), found, ["sheet", "row", "_col"], "left").withColumn(value, filled).select(*wanted.columns)
 
 
 def merged_range_fill(cells: DataFrame, merges: DataFrame, positions: DataFrame | None = None) -> DataFrame:
@@ -80,27 +74,28 @@ def cell_reference_lookup(cells: DataFrame, wanted: DataFrame | None = None) ->
 
 
 def lookahead_label(cells: DataFrame, merges: DataFrame, word: str, label_col: int = SHEET_COLUMNS["label"],
-                    ahead: int = LABEL_LOOKAHEAD) -> DataFrame:
-    """`(sheet, row, label)`: the first label containing `word` in the next `ahead` rows, where there is one.
+                    ahead: int = LABEL_LOOKAHEAD, rows: DataFrame | None = None) -> DataFrame:
+    """`(sheet, row, label)`: the first label containing `word` in the next `ahead` rows, for the rows where there is one.
 
-    Only labels with the word matter. Each is handed back to the rows that can see it and the nearest
-    one kept, so the work is spread by (sheet, row) instead of a window over the sheet.
+    `rows` (sheet, row) are the rows that look, by default those with a cell. A label is a range of rows, be it merged or a
+    single cell; moved up by `ahead`, it is the range of rows that can see it, so the work is a join of points with
+    ranges, and no merged range is unfolded. A cell inside a merged range shows the range's label, not its own.
     """
+    looking = (cells if rows is None else rows).select("sheet", "row").distinct()
     spans = anchor_values(cells, merges).where(F.lit(label_col).between(F.col("min_col"), F.col("max_col")))
-    merged = spans.where(F.contains("anchor", F.lit(word))).select(
-        "sheet", F.explode(F.sequence("min_row", "max_row")).alias("at"), F.col("anchor").alias("label")
-    )
-    covered = spans.select("sheet", F.explode(F.sequence("min_row", "max_row")).alias("at"))
-    single = (
-        cells.where((F.col("col") == label_col) & F.contains("value", F.lit(word)))
-        .select("sheet", F.col("row").alias("at"), F.col("value").alias("label"))
-        .join(covered, ["sheet", "at"], "left_anti")
+    merged = spans.where(F.contains("anchor", F.lit(word))).select("sheet", "min_row", "max_row", F.col("anchor").alias("label"))
+    worded = cells.where((F.col("col") == label_col) & F.contains("value", F.lit(word))).select("sheet", "row", "value")
+    covered = points_in_ranges(worded.select("sheet", "row"), spans.select("sheet", "min_row", "max_row"), ["sheet"], "row", "min_row", "max_row")
+    single = worded.join(covered.select("sheet", "row"), ["sheet", "row"], "left_anti").select(
+        "sheet", F.col("row").alias("min_row"), F.col("row").alias("max_row"), F.col("value").alias("label")
     )
-    seen = merged.unionByName(single).select(
-        "sheet", F.explode(F.sequence(F.col("at") - ahead, F.col("at") - 1)).alias("row"), "at", "label"
+    seen_from = merged.unionByName(single).select(
+        "sheet", "min_row", "label", F.greatest(F.col("min_row") - ahead, F.lit(0)).alias("_from"), (F.col("max_row") - 1).alias("_to")
     )
-    nearest = seen.groupBy("sheet", "row").agg(F.min(F.struct("at", "label")).alias("n"))
-    return nearest.where("row > 0").select("sheet", "row", "n.label")
+    seen = points_in_ranges(looking, seen_from, ["sheet"], "row", "_from", "_to")
+    first = F.greatest("min_row", F.col("row") + 1)
+    nearest = seen.groupBy("sheet", "row").agg(F.min(F.struct(first.alias("at"), "label")).alias("n"))
+    return nearest.select("sheet", "row", "n.label")
 
 
 def build_entries(cells: DataFrame, merges: DataFrame, word: str, columns=SHEET_COLUMNS) -> DataFrame:
@@ -117,7 +112,7 @@ def build_entries(cells: DataFrame, merges: DataFrame, word: str, columns=SHEET_
         *[F.max(F.when(F.col("col") == number, F.col("value"))).alias(name) for name, number in columns.items()]
     )
     chosen = by_row.where(is_numeric_account(F.col("debit")) | is_numeric_account(F.col("credit")))
-    ahead = lookahead_label(cells, merges, word, columns["label"]).withColumnRenamed("label", "libelle")
+    ahead = lookahead_label(cells, merges, word, columns["label"], rows=chosen).withColumnRenamed("label", "libelle")
     titled = _fill_from_ranges(
         chosen.join(ahead, ["sheet", "row"], "left"), merges, cells, F.lit(columns["label"]), "label"
     )

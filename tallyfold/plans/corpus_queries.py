@@ -145,3 +145,35 @@ def _target_files(spark, sf):
 )
 def collision_suffix(spark, sf):
     return corpus.collision_suffix(*_target_files(spark, sf))
+
+
+_NUMBERED = r"""named as (select doc_id, @cat as category, regexp_replace(@base, '^f[0-9]+', concat('f', cast(doc_id % 40 as varchar))) as name from files),
+ lab as (select n.*, quality, toxic from named n join labels l on n.doc_id = l.doc_id),
+ present as (select category, name from lab where quality = 1 and doc_id % 7 = 0
+  union select category, regexp_replace(name, '^(f[0-9]+)', '\1 (1)') from lab where quality = 1 and doc_id % 2 = 0
+  union select category, regexp_replace(name, '^(f[0-9]+)', '\1 (3)') from lab where toxic = 1),
+ ranked as (select n.*, row_number() over (partition by category, name order by doc_id) as nth, exists (select 1 from present p where p.category = n.category and p.name = n.name) as taken,
+  @stem as stem, @suffix as ext from named n),
+ used as (select category, name from present union select category, name from ranked where nth = 1 and not taken),
+ families as (select distinct category, stem, ext from ranked),
+ free as (select f.*, n, row_number() over (partition by f.category, stem, ext order by n) as k from families f, range(1, 3000) t(n)
+  where not exists (select 1 from used u where u.category = f.category and u.name = concat(f.stem, ' (', cast(n as varchar), ')', f.ext)))"""
+
+
+@query(
+    "collision_suffix_repeats",
+    duck("files", """select r.doc_id, r.category, r.name, case when r.nth = 1 and not r.taken then r.name else concat(r.stem, ' (', cast(f.n as varchar), ')', r.ext) end as target_name
+ from ranked r left join free f on f.category = r.category and f.stem = r.stem and f.ext = r.ext and f.k = r.nth - case when r.taken then 0 else 1 end""",
+         _NUMBERED.replace("@cat", _CATEGORY).replace("@base", _BASE).replace("@stem", _STEM).replace("@suffix", _SUFFIX)),
+)
+def collision_suffix_repeats(spark, sf):
+    """Many incoming files of one name: each gets a number of its own, around those that are used."""
+    files = naming.file_category(frame(spark, sf, "files")).withColumn("name", naming.base_name(F.col("path")))
+    short = F.expr("regexp_replace(name, '^f[0-9]+', concat('f', cast(doc_id % 40 as string)))")
+    incoming = files.select("doc_id", "category", short.alias("name"))
+    labels = table(spark, sf, "labels").join(incoming, "doc_id")
+    names = F.array(F.when((F.col("quality") == 1) & (F.col("doc_id") % 7 == 0), F.col("name")),
+                    F.when((F.col("quality") == 1) & (F.col("doc_id") % 2 == 0), F.regexp_replace("name", r"^(f[0-9]+)", "$1 (1)")),
+                    F.when(F.col("toxic") == 1, F.regexp_replace("name", r"^(f[0-9]+)", "$1 (3)")))
+    present = labels.select("category", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("name"))
+    return corpus.collision_suffix(incoming, present, order=["doc_id"])

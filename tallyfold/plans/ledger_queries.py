@@ -25,16 +25,18 @@ _FILLED = """anchored as (select m.*, c.value as anchor from merges m left join
 @query(
     "merged_range_fill",
     duck(["cells", "merges"], """select c.sheet, c.row, c.col, case when a.sheet is not null then a.anchor else c.value end as value
-from cells c left join anchored a on a.sheet = c.sheet and c.row between a.min_row and a.max_row and c.col between a.min_col and a.max_col""", _FILLED),
+from cells c left join places a on a.sheet = c.sheet and a.row = c.row and a.col = c.col""",
+         _FILLED + """, places as materialized (select sheet, unnest(range(min_row, max_row + 1)) as row, min_col as col, anchor from anchored)"""),
 )
 def merged_range_fill(spark, sf):
-    return ledger.merged_range_fill(*grid(spark, sf))
+    return ledger.merged_range_fill(*grid(spark, sf)).select("sheet", "row", "col", "value")
 
 
 _REF = r"'^=[$]?([A-Za-z]{1,3})[$]?([0-9]+)$'"
-_RESOLVED = rf"""resolved as (select c.sheet, c.row, c.col, case when regexp_matches(c.value, {_REF}) then t.value else c.value end as value
-from cells c left join cells t on t.sheet = c.sheet and t.row = try_cast(regexp_extract(c.value, {_REF}, 2) as int)
- and t.col = ascii(upper(regexp_extract(c.value, {_REF}, 1))) - 64)"""
+_RESOLVED = rf"""pointing as materialized (select sheet, row, col, try_cast(regexp_extract(value, {_REF}, 2) as int) as at_row, ascii(upper(regexp_extract(value, {_REF}, 1))) - 64 as at_col
+ from cells where regexp_matches(value, {_REF})),
+ resolved as (select sheet, row, col, value from cells where not coalesce(regexp_matches(value, {_REF}), false)
+ union all select p.sheet, p.row, p.col, t.value from pointing p left join cells t on t.sheet = p.sheet and t.row = p.at_row and t.col = p.at_col)"""
 
 
 @query("cell_reference_lookup", duck("cells", "select sheet, row, col, value from resolved", _RESOLVED))
@@ -46,7 +48,7 @@ _AHEAD = _FILLED + f""", spots as (select sheet, unnest(range(min_row, max_row +
  labels4 as (select sheet, spot, label from spots union all select sheet, row, value from cells c where col = 4
   and not exists (select 1 from spots s where s.sheet = c.sheet and s.spot = c.row)),
  seen as (select sheet, spot - d as row, spot, label from labels4, (values (1), (2), (3), (4)) v(d) where contains(label, '{WORD}')),
- ahead as (select sheet, row, arg_min(label, spot) as label from seen where row > 0 group by 1, 2)"""
+ ahead as (select sheet, row, arg_min(label, spot) as label from seen where (sheet, row) in (select sheet, row from cells) group by 1, 2)"""
 
 
 @query("lookahead_label", duck(["cells", "merges"], "select sheet, cast(row as int) as row, label from ahead", _AHEAD))

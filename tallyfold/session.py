@@ -1,5 +1,6 @@
 """Session settings, and the shared folder for checkpoints and intermediate tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -47,12 +48,12 @@ _local_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by `spark.checkpoint.dir`.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a master of one process (`local`, `local[n]`) may fall back to a temporary folder of this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:

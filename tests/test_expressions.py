@@ -20,12 +20,12 @@ NUMBERS = ["1,5", "1.5", " 2 ", "1e3", "nan", "inf", "1_000", "1.5d", "1,234.5",
 
 def test_locale_number(spark):
     got = [None if v is None else float(v) for v in values(spark, NUMBERS, parsing.locale_number)]
-    assert got == [1.5, 1.5, 2.0, None, None, None, None, None, None, None, None, None, None, -3.25, 4.0, 7.0]
+    assert got == [1.5, 1.5, 2.0, 1000.0, None, None, None, None, None, None, None, None, None, -3.25, 4.0, 7.0]
 
 
 def test_plain_number_rejects_the_comma(spark):
     got = [None if v is None else float(v) for v in values(spark, NUMBERS, parsing.plain_number)]
-    assert got == [None, 1.5, 2.0, None, None, None, None, None, None, None, None, None, None, None, 4.0, 7.0]
+    assert got == [None, 1.5, 2.0, 1000.0, None, None, None, None, None, None, None, None, None, None, 4.0, 7.0]
 
 
 DATES = [

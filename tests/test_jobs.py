@@ -83,7 +83,7 @@ def test_corpus_folder(spark, tmp_path):
     files = jobs.relative_files(spark, str(root)).cache()
     out = jobs.corpus_report(files, "proj")
     assert [tuple(r) for r in out["lines"].collect()] == [(".js", 1, 2)]
-    assert tuple(out["totals"].first()) == (2, 1, 2)
+    assert tuple(out["totals"].first()) == (2, 1, 2, 0)
     assert [(r.name, r.is_dir) for r in out["sizes"].collect()] == [("src", True), ("build", True), ("c.txt", False)]
     assert [r.line for r in out["tree"].orderBy("sort_key").collect()] == ["+--proj", "  +--build", "    +--b.js", "  +--src", "    +--a.js", "  +--c.txt"]
     assert out["tokens"].first().files == 3
