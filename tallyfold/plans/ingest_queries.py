@@ -9,7 +9,7 @@ from tallyfold.plans.fixtures import duck, frame, table
 from tallyfold.plans.registry import query
 from tallyfold.plans.settle_queries import doubles, typed
 from tallyfold.session import new_table_path
-from tallyfold.sources import documents, key_store, sinks, tables
+from tallyfold.sources import documents, key_store, sinks, split_csv, tables
 from tallyfold.streaming.drop_folder import stream_drop_folder as load_folder
 
 # The store holds what was loaded before this day.
@@ -150,6 +150,15 @@ def scan_csv_text(spark, sf):
     return back.select("doc_id", "text", "lang", F.col("extra").isNull().alias("extra_is_null"))
 
 
+@query("scan_split_csv", "select cast(doc_id as varchar) as doc_id, text, lang, cast(row_number() over (partition by lang order by doc_id) + 1 as bigint) as line from documents")
+def scan_split_csv(spark, sf):
+    """Texts with quotes and line breaks in one CSV file a language, read in splits, with the numbers of their records."""
+    path = new_table_path(spark, "csv")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("folder", F.col("lang"))
+    docs.repartition("folder").sortWithinPartitions("folder", "doc_id").write.partitionBy("folder").options(header=True, escape='"').csv(path)
+    return split_csv.scan_split_csv(spark, f"{path}/*").select("doc_id", "text", "lang", "line")
+
+
 @query("sink_csv", duck("contacts", "select cast(id as varchar) as id, pays, nullif(telephone1, '') as telephone1, nullif(telephone2, '') as telephone2 from contacts"))
 def sink_csv(spark, sf):
     path = new_table_path(spark, "csv")
