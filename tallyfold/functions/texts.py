@@ -49,17 +49,38 @@ def plain_text(markup: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
 
 
+def element_body(markup: Column, tag: str) -> Column:
+    """What stands inside the first element of that name, up to the closing tag that matches it; empty without one.
+
+    The text is cut in front of every opening and closing tag of the name, and a running depth over the pieces (+1, -1) tells which
+    of them lie inside. An element that is never closed goes on to the end. Letter case does not matter.
+    """
+    opens, closes = rf"(?i)^<{tag}(?=[\s>/])", rf"(?i)^</{tag}\s*>"
+    pieces = F.split(markup, rf"(?i)(?=<{tag}[\s>/])|(?=</{tag}\s*>)")
+
+    def walk(acc, piece):
+        step = F.when(piece.rlike(opens), 1).when(piece.rlike(closes), -1).otherwise(0)
+        depth = F.when(acc["over"], 0).otherwise(F.greatest(acc["depth"] + step, F.lit(0)))
+        over = acc["over"] | ((acc["depth"] > 0) & (depth == 0))
+        return F.struct(depth.alias("depth"), over.alias("over"), F.concat(acc["inside"], F.array(depth > 0)).alias("inside"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("over"), F.array().cast("array<boolean>").alias("inside"))
+    inside = F.aggregate(pieces, start, walk, lambda acc: acc["inside"])
+    held = F.filter(F.zip_with(pieces, inside, lambda p, i: F.when(i, p)), lambda p: p.isNotNull())
+    return F.coalesce(F.regexp_replace(F.array_join(held, ""), rf"(?is)^<{tag}[^>]*>", ""), F.lit(""))
+
+
 def page_title(html: Column, tag: str = "h1") -> Column:
-    return plain_text(F.regexp_extract(html, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))
+    return plain_text(element_body(html, tag))
 
 
 def page_body(html: Column, tag: str = "article") -> Column:
-    return plain_text(F.regexp_extract(html, rf"(?s)<{tag}[^>]*>(.*)</{tag}>", 1))
+    return plain_text(element_body(html, tag))
 
 
 def page_links(html: Column, tag: str = "nav") -> Column:
     """Links of the menu block, in order, as an array of (title, href)."""
-    menu = F.regexp_extract(html, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    menu = element_body(html, tag)
     anchor = r'(?s)<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
     hrefs = F.regexp_extract_all(menu, F.lit(anchor), F.lit(1))
     titles = F.regexp_extract_all(menu, F.lit(anchor), F.lit(2))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import PAYMENT_NAMESPACE
+from tallyfold.operators.joins import lookup_join
 
 AMOUNT = "decimal(28,5)"
 _PAYMENT = "struct<PmtId: struct<EndToEndId: string>, Amt: struct<InstdAmt: struct<_VALUE: string, _Ccy: string>>>"
@@ -40,23 +41,15 @@ def _once(df: DataFrame, keep, **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(fields)))
 
 
-def parse_messages(files: DataFrame, namespace: str = PAYMENT_NAMESPACE) -> DataFrame:
-    """`(file, value)` to one row per file: well_formed, complete, ctrl_sum, ctrl_missing, payments.
-
-    A file that is not one well-formed document yields no payments and `well_formed` false, and a
-    file with a missing or non-numeric amount, a missing reference or a non-numeric control sum has
-    `complete` false. Another message version is well formed and has no payments.
-    """
+def _bodies(files: DataFrame, keep, right_version: Column) -> DataFrame:
+    """Documents (`value`) parsed: the kept columns, well_formed, ctrl_found (raw text, null without one), payments."""
     text = F.col("value")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true"}
     one_document = text.rlike(_TAIL) & (F.regexp_count(text, F.lit(_CLOSING_ROOT)) == 1)
-    parsed = _once(
-        files, ["file"], m=F.from_xml(text, MESSAGE_SCHEMA, options),
-        one_document=one_document, right_version=_root_namespace(text, namespace),
-    )
+    parsed = _once(files, keep, m=F.from_xml(text, MESSAGE_SCHEMA, options), one_document=one_document, right_version=right_version)
     well_formed = F.coalesce(F.col("m").isNotNull() & F.col("m._broken").isNull() & F.col("one_document"), F.lit(False))
     body = F.when(well_formed & F.col("right_version"), F.col("m.CstmrCdtTrfInitn"))
-    head = parsed.select("file", well_formed.alias("well_formed"), body.alias("body"))
+    head = parsed.select(*keep, well_formed.alias("well_formed"), body.alias("body"))
     blocks = F.coalesce(F.col("body.PmtInf"), F.array())
     block_sums = F.transform(blocks, lambda b: b["CtrlSum"])
     found = F.coalesce(F.col("body.GrpHdr.CtrlSum"), F.get(F.filter(block_sums, lambda s: s.isNotNull()), F.lit(0)))
@@ -67,21 +60,91 @@ def parse_messages(files: DataFrame, namespace: str = PAYMENT_NAMESPACE) -> Data
             _amount(F.nullif(p["Amt"]["InstdAmt"]["_VALUE"], F.lit(""))).alias("amount"),
         ),
     )
-    flat = _once(head, ["file", "well_formed"], ctrl_text=F.nullif(found, F.lit("")), payments=nested)
-    ctrl = _amount(F.col("ctrl_text"))
-    ctrl_bad = F.col("ctrl_text").isNotNull() & ctrl.isNull()
-    gap = F.exists("payments", lambda p: p["amount"].isNull() | p["reference"].isNull())
+    return _once(head, [*keep, "well_formed"], ctrl_found=found, payments=nested)
+
+
+def _verdicts(ctrl_found: Column) -> dict[str, Column]:
+    """From the control sum's text: whether it is unusable, its value, whether it is missing."""
+    ctrl_text = F.nullif(ctrl_found, F.lit(""))
+    ctrl = _amount(ctrl_text)
+    return {"bad": ctrl_text.isNotNull() & ctrl.isNull(), "ctrl_sum": F.coalesce(ctrl, F.lit(0).cast(AMOUNT)), "ctrl_missing": ctrl_text.isNull()}
+
+
+def _unusable(p: Column) -> Column:
+    return p["amount"].isNull() | p["reference"].isNull()
+
+
+def _plain_reference(payments: str) -> Column:
+    """An empty reference element stays a payment without reference."""
+    return F.transform(payments, lambda p: p.withField("reference", F.nullif(p["reference"], F.lit(""))))
+
+
+def parse_messages(files: DataFrame, namespace: str = PAYMENT_NAMESPACE) -> DataFrame:
+    """`(file, value)` to one row per file: well_formed, complete, ctrl_sum, ctrl_missing, payments.
+
+    A file that is not one well-formed document yields no payments and `well_formed` false, and a
+    file with a missing or non-numeric amount, a missing reference or a non-numeric control sum has
+    `complete` false. Another message version is well formed and has no payments.
+    """
+    flat = _bodies(files, ["file"], _root_namespace(F.col("value"), namespace))
+    verdict = _verdicts(F.col("ctrl_found"))
     return flat.select(
         "file",
         "well_formed",
-        (F.col("well_formed") & ~ctrl_bad & ~gap).alias("complete"),
-        F.coalesce(ctrl, F.lit(0).cast(AMOUNT)).alias("ctrl_sum"),
-        F.col("ctrl_text").isNull().alias("ctrl_missing"),
-        # An empty reference element stays a payment without reference.
-        F.transform("payments", lambda p: p.withField("reference", F.nullif(p["reference"], F.lit("")))).alias("payments"),
+        (F.col("well_formed") & ~verdict["bad"] & ~F.exists("payments", _unusable)).alias("complete"),
+        verdict["ctrl_sum"].alias("ctrl_sum"),
+        verdict["ctrl_missing"].alias("ctrl_missing"),
+        _plain_reference("payments").alias("payments"),
     )
 
 
+def parse_message_parts(parts: DataFrame, namespace: str = PAYMENT_NAMESPACE) -> tuple[DataFrame, DataFrame]:
+    """Messages of any size, from their pieces `(file, block, at, value)` between payment ends (`sources.documents.scan_payment_parts`).
+
+    Gives one row per file (well_formed, complete, ctrl_sum, ctrl_missing) and one per payment of the complete ones (file, block, at,
+    ord, reference, amount; in document order). Each piece is completed to a small document: those behind the first are
+    put into a message and a block, those before the last are closed. If every such document is well formed, each piece leads from
+    inside a block to inside a block, the first from the beginning and the last to the end, hence so is the file; a truncated one is
+    not, and gives one row and no payment. Payments must stand directly in blocks, as the message's schema has it. No
+    row holds more than a payment and what stands between two.
+    """
+    opening = f'<Document xmlns="{namespace}"><CstmrCdtTrfInitn><PmtInf>'
+    closing = "</CdtTrfTxInf></PmtInf></CstmrCdtTrfInitn></Document>"
+    place = F.struct("block", "at")
+    ends = parts.groupBy("file").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    placed = lookup_join(parts, ends, ["file"])
+    first, last = place == F.col("_first"), place == F.col("_last")
+    whole = placed.select(
+        "file", "block", "at", first.alias("is_first"),
+        F.concat(F.when(first, "").otherwise(opening), F.col("value"), F.when(last, "").otherwise(closing)).alias("value"))
+    # Whether the file is of the right version is seen in its first piece only; the pieces put into a message are.
+    found = _once(_bodies(whole, ["file", "block", "at", "is_first"], _root_namespace(F.col("value"), namespace)),
+                  ["file", "block", "at", "is_first", "well_formed", "ctrl_found"], payments=F.col("payments"))
+    versions = _once(whole.where("is_first"), ["file"], right=F.coalesce(_root_namespace(F.col("value"), namespace), F.lit(False)))
+    known = lookup_join(found, versions, ["file"])
+    heads = known.groupBy("file").agg(
+        F.bool_and("well_formed").alias("well_formed"), F.first("right").alias("right"),
+        F.bool_or(F.exists("payments", _unusable)).alias("_gap"),
+        F.min(F.when(F.col("ctrl_found").isNotNull(), F.struct("block", "at", "ctrl_found"))).alias("_ctrl"))
+    of_file = F.when(F.col("well_formed") & F.col("right"), F.col("_ctrl.ctrl_found"))
+    verdict = _verdicts(of_file)
+    usable = F.col("well_formed") & ~(F.col("right") & (verdict["bad"] | F.col("_gap")))
+    heads = heads.select("file", "well_formed", usable.alias("complete"), verdict["ctrl_sum"].alias("ctrl_sum"), verdict["ctrl_missing"].alias("ctrl_missing"), "right")
+    good = heads.where("complete and right").select("file")
+    rows = lookup_join(found.where(F.size("payments") > 0), good, ["file"], "left_semi").select(
+        "file", "block", "at", F.posexplode(_plain_reference("payments")).alias("ord", "p")).select("file", "block", "at", "ord", "p.reference", "p.amount")
+    return heads.drop("right"), rows
+
+
+def reconcile_parts(heads: DataFrame, payments: DataFrame) -> DataFrame:
+    """`reconcile_control_sum` for messages read in pieces; sums are combined before the shuffle."""
+    sums = payments.groupBy("file").agg(F.count("*").alias("n"), F.sum("amount").cast(AMOUNT).alias("total"))
+    joined = heads.where("complete").join(sums, "file", "left").select(
+        "file", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0).cast(AMOUNT)).alias("total"), "ctrl_sum", "ctrl_missing")
+    difference = (F.col("total") - F.col("ctrl_sum")).cast(AMOUNT)
+    return joined.withColumn("difference", difference).withColumn("has_gap", F.col("difference") != 0)
+
+
 def rejected_files(messages: DataFrame) -> DataFrame:
     """Files that do not count, with the reason."""
     reason = F.when(~F.col("well_formed"), "not well formed").otherwise("amount, reference or control sum unusable")

@@ -7,6 +7,8 @@ from tallyfold.operators import payments, render
 from tallyfold.plans.fixtures import duck, frame
 from tallyfold.plans.registry import query
 from tallyfold.plans.settle_queries import doubles
+from tallyfold.session import new_table_path
+from tallyfold.sources import documents
 
 # What is wrong with message k, by k % 10: 2 control sum off by one, 4 text after the root, 6 no control sum,
 # 7 another message version, 8 a non-numeric amount.
@@ -144,3 +146,25 @@ def duplicate_reference_lines(spark, sf):
 def decimal_array_literal(spark, sf):
     rows = payments.flatten_message(parsed(spark, sf))
     return render.decimal_array_literal(rows.select("file", "ord", F.col("amount").cast("decimal(28,2)").cast("string").alias("amount")))
+
+
+def _in_parts(spark, sf):
+    """The messages as files, read back in pieces."""
+    path = new_table_path(spark, "pain")
+    messages(spark, sf).withColumnRenamed("file", "name").write.partitionBy("name").text(path)
+    parts = documents.scan_payment_parts(spark, f"{path}/*")
+    return payments.parse_message_parts(parts.withColumn("file", F.regexp_extract("file", r"name=([^/]*)/", 1)))
+
+
+@query("scan_payment_parts", duck("payments", f"select concat('f', cast(k as varchar), '.xml') as file, reference, cast(amount as double) as amount from payments where {_GOOD}"))
+def scan_payment_parts(spark, sf):
+    return doubles(_in_parts(spark, sf)[1].select("file", "reference", "amount"), "amount")
+
+
+@query(
+    "reconcile_parts",
+    duck("payments", """select file, n, cast(total as double) as total, cast(ctrl_sum as double) as ctrl_sum, ctrl_missing,
+ cast(total - ctrl_sum as double) as difference, total <> ctrl_sum as has_gap from pf""", _PER_FILE),
+)
+def reconcile_parts(spark, sf):
+    return doubles(payments.reconcile_parts(*_in_parts(spark, sf)), "total", "ctrl_sum", "difference")

@@ -205,23 +205,51 @@ def _clean(expr):
 _ANCHOR = """'(?s)<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>'"""
 
 
-@query(
-    "page_fields",
-    f"""with m as (select page_id, html, regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1) as menu from pages),
- l as (select page_id, unnest(regexp_extract_all(menu, {_ANCHOR}, 2)) as t, unnest(regexp_extract_all(menu, {_ANCHOR}, 1)) as href,
-  generate_subscripts(regexp_extract_all(menu, {_ANCHOR}, 1), 1) as i from m)
-select page_id, {_clean("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} as title,
- {_clean("regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1)")} as body,
- coalesce((select string_agg(concat({_clean('t')}, '|', href), ';' order by i) from l where l.page_id = m.page_id), '') as links from m""",
-)
-def page_fields(spark, sf):
+def _inside(tag: str, source: str) -> str:
+    """CTE text: content of the first element of that name per page, by a running sum over all tags and texts in order."""
+    return f"""{tag}_tokens as (select page_id, i, t, case when starts_with(t, '<{tag}') then 1 when starts_with(t, '</{tag}') then -1 else 0 end as step
+  from (select page_id, unnest(tokens) as t, generate_subscripts(tokens, 1) as i from (select page_id, regexp_extract_all(html, '<[^>]*>|[^<]+|<') as tokens from {source}))),
+ {tag}_depth as (select *, sum(step) over (partition by page_id order by i) as depth from {tag}_tokens),
+ {tag}_first as (select page_id, min(i) as a from {tag}_depth where step = 1 group by 1),
+ {tag}_last as (select f.page_id, a, min(i) as z from {tag}_first f join {tag}_depth d on d.page_id = f.page_id and d.i > f.a and d.depth = 0 and d.step = -1 group by 1, 2),
+ {tag}_body as (select l.page_id, coalesce(string_agg(t, '' order by i) filter (where i > a and i < z), '') as body from {tag}_last l join {tag}_tokens t on t.page_id = l.page_id group by 1)"""
+
+
+def _page_oracle(source: str, extra: str = "") -> str:
+    return f"""with {extra}{_inside('nav', source)}, {_inside('h1', source)}, {_inside('article', source)},
+ l as (select page_id, unnest(regexp_extract_all(body, {_ANCHOR}, 2)) as t, unnest(regexp_extract_all(body, {_ANCHOR}, 1)) as href,
+  generate_subscripts(regexp_extract_all(body, {_ANCHOR}, 1), 1) as i from nav_body)
+select m.page_id, coalesce({_clean('h.body')}, '') as title, coalesce({_clean('a.body')}, '') as body,
+ coalesce((select string_agg(concat({_clean('t')}, '|', href), ';' order by i) from l where l.page_id = m.page_id), '') as links
+from {source} m left join h1_body h on h.page_id = m.page_id left join article_body a on a.page_id = m.page_id"""
+
+
+def _page_fields(pages):
     html = F.col("html")
     pairs = F.transform(texts.page_links(html), lambda a: F.concat(a["title"], F.lit("|"), a["href"]))
-    return table(spark, sf, "pages").select(
+    return pages.select(
         "page_id", texts.page_title(html).alias("title"), texts.page_body(html).alias("body"), F.array_join(pairs, ";").alias("links")
     )
 
 
+@query("page_fields", _page_oracle("pages"))
+def page_fields(spark, sf):
+    return _page_fields(table(spark, sf, "pages"))
+
+
+_NESTED = (("</nav>", '<nav class="sub"><a href="/in">in</a></nav><a href="/last">last</a></nav>'),
+           ("</article>", "<article><p>inner</p></article><p>after it</p></article><article>another</article>"))
+
+
+@query("page_fields_nested", _page_oracle("nested", "nested as (select page_id, replace(replace(html, '{}', '{}'), '{}', '{}') as html from pages), ".format(*_NESTED[0], *_NESTED[1])))
+def page_fields_nested(spark, sf):
+    """Menus within menus and articles within articles: the block ends at the closing tag that matches."""
+    html = F.col("html")
+    for old, new in _NESTED:
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return _page_fields(table(spark, sf, "pages").select("page_id", html.alias("html")))
+
+
 @query("filter_in_list", duck("contacts", "select id, pays from contacts where pays in ('FRANCE', 'BELGIQUE', 'ALLEMAGNE')"))
 def filter_in_list(spark, sf):
     return settle.filter_in_list(frame(spark, sf, "contacts"), "pays", ["FRANCE", "BELGIQUE", "ALLEMAGNE"]).select("id", "pays")

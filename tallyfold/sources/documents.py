@@ -42,6 +42,16 @@ def scan_payment_folder(spark: SparkSession, path) -> DataFrame:
     )
 
 
+def scan_payment_parts(spark: SparkSession, path) -> DataFrame:
+    """Payment messages of any size in pieces: file, block, at (both for the order), value.
+
+    Files are cut behind every payment by the text reader itself, in splits, so no row holds a message. A message whose tags carry a
+    prefix has no such place and comes as one piece.
+    """
+    lines = spark.read.option("lineSep", "</CdtTrfTxInf>").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def scan_name_list(spark: SparkSession, path) -> DataFrame:
     """Trimmed lines that are not blank."""
     return spark.read.text(path).select(strip(F.col("value")).alias("name")).where("name <> ''")

@@ -162,3 +162,8 @@ def test_layout_has_unique_names():
 def test_category(spark, name, expected):
     df = spark.createDataFrame([(name,)], "path string")
     assert naming.file_category(df).first()["category"] == expected
+
+
+def test_element_body_matches_its_closing_tag(spark):
+    pages = ["<nav>a<nav>b</nav>c</nav>d", "x<NAV class='q'>a</Nav >b<nav>c</nav>", "<navy>n</navy><nav>a</nav>", "</nav><nav>a</nav>", "<nav>open", "<nav><nav>a</nav>", "none", "", None, "<nav/>x</nav>"]
+    assert values(spark, pages, lambda c: texts.element_body(c, "nav")) == ["a<nav>b</nav>c", "a", "a", "a", "open", "<nav>a</nav>", "", "", "", "x"]
