@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.llm.tables import stored
 from tallyfold.operators.joins import lookup_join
 from tallyfold.session import new_table_path
 
@@ -114,8 +115,8 @@ def archives_of(records):
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write (page_id, url, body, record_type, refers_to) as archives below `folder`; gives (path, bytes).
 
-    A task names its files by its partition and moves each into place when it is whole, so a task that runs
-    again replaces what it wrote. The folder may be on any file system that pyarrow opens by its address.
+    Every attempt of a task writes files of new names, and only the rows given back say which of them count: read those
+    (`read_listed`), since a lost attempt may have left others. The folder may be on any file system that pyarrow opens by its address.
     """
     def run(batches):
         from pyarrow import fs
@@ -133,12 +134,10 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
         store.create_dir(base, recursive=True)
         for i, data in enumerate(archives_of(records_of())):
-            name = f"{base}/pages-{context.partitionId():06d}-{i:05d}.warc.zst"
-            part = f"{base}/_part-{context.taskAttemptId()}-{i}"
-            with store.open_output_stream(part) as f:
+            name = f"pages-{context.partitionId():06d}-{i:05d}-{uuid.uuid4().hex}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}") as f:
                 f.write(data)
-            store.move(part, name)
-            yield pa.RecordBatch.from_pydict({"path": pa.array([name]), "bytes": pa.array([len(data)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": pa.array([f"{folder}/{name}"]), "bytes": pa.array([len(data)], pa.int64())})
 
     return records.select("page_id", "url", "body", "record_type", "refers_to").mapInArrow(run, "path string, bytes long")
 
@@ -229,47 +228,67 @@ RECORD_SCHEMA = ("path string, record int, page_id long, url string, record_type
                  "payload_bytes long, payload_digest string, payload binary, error string")
 
 
+def _rows_of(path: str, content: bytes):
+    """Batches of the records of one archive."""
+    def number(text):
+        return int(text) if text and re.fullmatch("-?[0-9]{1,18}", text) else None
+
+    names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = [types[x.split()[1]] for x in RECORD_SCHEMA.split(", ")]
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds)], names)
+
+    rows, size, i = [], 0, -1
+    try:
+        for i, data in enumerate(frames_of(content)):
+            try:
+                row = parse_record(data)
+                row["page_id"], row["refers_to"] = number(row["page_id"]), number(row["refers_to"])
+            except BadRecord as e:
+                row = {"error": str(e)}
+            rows.append(row | {"path": path, "record": i})
+            size += len(data)
+            if size > 2 << 20:
+                yield out(rows)
+                rows, size = [], 0
+    except BadRecord as e:
+        rows.append({"path": path, "record": i + 1, "error": str(e)})
+    if rows:
+        yield out(rows)
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the archives `*.warc.zst` in a folder, read by Spark's own file source.
 
     A record that is not valid has only path, record and error; a frame that cannot be decoded ends its archive
     with such a row, since where the next one begins is then unknown.
     """
-    def number(text):
-        return int(text) if text and re.fullmatch("-?[0-9]{1,18}", text) else None
-
     def run(batches):
-        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-        kinds = [types[x.split()[1]] for x in RECORD_SCHEMA.split(", ")]
-
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds)], names)
-
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                path, rows, size, i = path.as_py(), [], 0, -1
-                try:
-                    for i, data in enumerate(frames_of(content.as_py())):
-                        try:
-                            row = parse_record(data)
-                            row["page_id"], row["refers_to"] = number(row["page_id"]), number(row["refers_to"])
-                        except BadRecord as e:
-                            row = {"error": str(e)}
-                        rows.append(row | {"path": path, "record": i})
-                        size += len(data)
-                        if size > 2 << 20:
-                            yield out(rows)
-                            rows, size = [], 0
-                except BadRecord as e:
-                    rows.append({"path": path, "record": i + 1, "error": str(e)})
-                if rows:
-                    yield out(rows)
+                yield from _rows_of(path.as_py(), content.as_py())
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     return files.select("path", "content").mapInArrow(run, RECORD_SCHEMA)
 
 
+def read_listed(archives: DataFrame) -> DataFrame:
+    """The records of the archives that `write_archives` gave back (path), and of no others; each is opened by one task."""
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+                with store.open_input_stream(name) as f:
+                    content = f.read()
+                yield from _rows_of(path, content)
+
+    return archives.select("path").mapInArrow(run, RECORD_SCHEMA)
+
+
 def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write every row of pages as a WARC record and read all archives back: the records, as read_archives gives them.
 
@@ -279,7 +298,6 @@ def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = new_table_path(spark, "warc")
-    if write_archives(roles(pages, least), folder).count() == 0:
-        return spark.createDataFrame([], RECORD_SCHEMA)
-    read = read_archives(spark, folder)
+    archives = stored(write_archives(roles(pages, least), folder), "warc-list")
+    read = read_listed(archives.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
     return read.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("bad record: "), "path", F.lit(" "), "error")).cast("boolean")).otherwise(True))

@@ -286,6 +286,16 @@ def test_warc_reader_rejects(spark, tmp_path):
     assert [r.error for r in rows if r.path.endswith("b.warc.zst")] == ["dictionary frame is cut off"]
 
 
+def test_warc_reads_what_was_committed_only(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(50)], "page_id long, url string, html string")
+    archives = warc.write_archives(warc.roles(pages), str(tmp_path)).cache()
+    one = archives.first().path
+    with open(one, "rb") as f, open(one.replace("pages-", "pages-9"), "wb") as surplus:  # an attempt that did not count
+        surplus.write(f.read())
+    assert warc.read_archives(spark, str(tmp_path)).count() > 50
+    assert sorted(r.page_id for r in warc.read_listed(archives).collect()) == list(range(50))
+
+
 def test_folding_and_exceptions(spark):
     assert folded("ST­UPID, ѕtupіd 5tup1d $tupid! 1999") == " stupid stupid stupid stupid 1999 "
     matcher = Matcher({" trash ": 2.0, " tra": 1.0}, {" trash can ": 1.0})
