@@ -25,7 +25,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates: whole runs of credential characters that hold a digit and a letter.
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}")
 _CLASSES = str.maketrans({**{c: "0" for c in "0123456789"}, **{c: "a" for c in "abcdef"}, **{c: "z" for c in "ghijklmnopqrstuvwxyz"}, **{chr(c): "A" for c in range(65, 91)}})
-DEPTH = 48
+#: Lengths of prefixes that are counted in one go.
+STEP = 48
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -53,13 +54,14 @@ def shape(text: str) -> str:
 class Automaton:
     """Probabilistic automaton from prefix counts, by merging states whose outgoing frequencies are compatible.
 
-    `counts` maps prefixes to the number of strings that begin so, `ends` to those that end there. A prefix that is
-    too rare to be in `counts` leads back into its parent's state, which then stands for the tail. That step is drawn
+    `counts` maps prefixes to the number of strings that begin so, `ends` to those that end there. `pruned` has the counts of
+    prefixes that are too rare to be states while what stands before their last character is one: that character is drawn as
+    often as it was seen, and leads back into its state, which then stands for the tail. That step is drawn
     only after merging: until then what hangs below a state that is not kept yet is a tree, so folding it into a kept
     state never puts one kept state into another.
     """
 
-    def __init__(self, counts: dict[str, int], ends: dict[str, int], alpha: float = 0.05):
+    def __init__(self, counts: dict[str, int], ends: dict[str, int], pruned: dict[str, int] | None = None, alpha: float = 0.05):
         self.n = {p: c for p, c in counts.items()} or {"": 0}
         self.end = dict.fromkeys(self.n, 0) | {p: c for p, c in ends.items() if p in self.n}
         self.next: dict[str, dict[str, str]] = {p: {} for p in self.n}
@@ -69,10 +71,8 @@ class Automaton:
                 parent = p[:-1]
                 self.next[parent][p[-1]] = p
                 self.flow[parent][p[-1]] += self.n[p]
-        for p in self.n:  # what the tree leaves out goes on from the state it left
-            rest = self.n[p] - self.end[p] - sum(self.flow[p].values())
-            if rest > 0 and p:
-                self.flow[p][p[-1]] += rest
+        for p, c in (pruned or {}).items():  # what the tree leaves out goes on from the state it left
+            self.flow[p[:-1]][p[-1]] += c
         self.alpha = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
 
@@ -174,26 +174,45 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, base {spans}, others {spans}")
 
 
-def prefix_counts(words: DataFrame, least_share: float) -> DataFrame:
-    """(kind, prefix, n, ends) of (kind, word): counts over all rows, kept where at least `least_share` of the kind begin so.
+def prefix_counts(words: DataFrame, least_share: float, step: int = STEP) -> list:
+    """Rows (kind, prefix, n, ends, kept) of (kind, word): prefixes with which at least `least_share` of the kind begin (kept), and
+    those rarer ones that go on from a kept one by a character.
 
-    At most DEPTH / least_share prefixes a kind remain, whatever the size of the corpus. Equal shapes are counted
-    before they are taken apart, so a frequent credential is one row."""
-    short = F.substring("shape", 1, DEPTH)
+    Whole strings are counted, `step` lengths at a time: strings whose prefix is still kept at the end of a step go on to the next, so
+    a long string is taken apart only as far as it is shared. There are at most 1 / least_share kept prefixes a length, and
+    as many rarer ones behind each as there are classes of characters. Equal shapes are counted first, so a frequent credential
+    is one row.
+    """
     upper = F.translate("word", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz", "A" * 26 + "0" * 10 + "a" * 6 + "z" * 20)
-    shapes = words.select("kind", upper.alias("shape")).select("kind", short.alias("shape")).groupBy("kind", "shape").agg(F.count("*").alias("c"))
-    split = shapes.select("kind", "c", "shape", F.explode(F.sequence(F.lit(0), F.length("shape"))).alias("size"))
-    counted = split.groupBy("kind", F.expr("substring(shape, 1, size)").alias("prefix")).agg(
-        F.sum("c").alias("n"), F.sum(F.when(F.col("size") == F.length("shape"), F.col("c")).otherwise(0)).alias("ends"))
+    shapes = stored(words.select("kind", upper.alias("shape")).groupBy("kind", "shape").agg(F.count("*").alias("c")), "secret-shapes")
     total = shapes.groupBy("kind").agg(F.sum("c").alias("total"))
-    return counted.join(total, "kind").where(F.col("n") >= F.col("total") * least_share).select("kind", "prefix", "n", "ends")
-
-
-def automata_of(counts: DataFrame) -> dict[str, Automaton]:
-    grouped: dict[str, tuple[dict, dict]] = {}
-    for r in sorted(counts.collect(), key=lambda r: (r.kind, len(r.prefix), r.prefix)):  # merging depends on the order
-        n, ends = grouped.setdefault(r.kind, ({}, {}))
-        n[r.prefix], ends[r.prefix] = r.n, r.ends
+    out, done, rows = [], 0, shapes.withColumn("head", F.lit(""))
+    while True:
+        sizes = F.sequence(F.lit(done + 1 if done else 0), F.least(F.length("shape"), F.lit(done + step)))
+        split = rows.where(F.length("shape") >= (done + 1 if done else 0)).select("kind", "c", "shape", "head", F.explode(sizes).alias("size"))
+        prefix = F.concat("head", F.expr(f"substring(shape, {done + 1}, size - {done})"))
+        counted = split.groupBy("kind", prefix.alias("prefix")).agg(
+            F.sum("c").alias("n"), F.sum(F.when(F.col("size") == F.length("shape"), F.col("c")).otherwise(0)).alias("ends"))
+        marked = stored(counted.join(total, "kind").select("kind", "prefix", "n", "ends", (F.col("n") >= F.col("total") * least_share).alias("kept")), "secret-prefixes")
+        kept = marked.where("kept")
+        parents = kept.select("kind", F.col("prefix").alias("_parent")).unionByName(rows.select("kind", F.col("head").alias("_parent")).distinct()).distinct()
+        rarer = marked.where("not kept").withColumn("_parent", F.expr("substring(prefix, 1, length(prefix) - 1)")).join(parents, ["kind", "_parent"], "left_semi")
+        out += kept.collect() + rarer.select("kind", "prefix", "n", "ends", "kept").collect()
+        done += step
+        heads = kept.where(F.length("prefix") == done).select("kind", F.col("prefix").alias("head"))
+        if heads.isEmpty():
+            return out
+        rows = shapes.where(F.length("shape") > done).withColumn("head", F.substring("shape", 1, done)).join(heads, ["kind", "head"], "left_semi")
+
+
+def automata_of(counts: list) -> dict[str, Automaton]:
+    grouped: dict[str, tuple[dict, dict, dict]] = {}
+    for r in sorted(counts, key=lambda r: (r.kind, len(r.prefix), r.prefix)):  # merging depends on the order
+        n, ends, pruned = grouped.setdefault(r.kind, ({}, {}, {}))
+        if r.kept:
+            n[r.prefix], ends[r.prefix] = r.n, r.ends
+        else:
+            pruned[r.prefix] = r.n
     return {kind: Automaton(*grouped[kind]) for kind in sorted(grouped)}
 
 
@@ -202,7 +221,9 @@ def scan_secrets(docs: DataFrame, least_share: float = 2e-3, cut: float = 0.05,
 
     The spans of the fixed patterns always stay. A candidate is added as kind `format` where its likelihood a character
     under one kind's automaton is at least the `cut` quantile of that kind's own strings, and its whole likelihood
-    `odds` times that under the automaton of all candidates, so that longer strings need less a character. Null texts count as empty (no spans, empty strings); a null doc_id
+    `odds` times that under the automaton of all candidates, so that longer strings need less a character. Candidates are whole
+    runs of at least 16 credential characters with a letter and a digit that touch no base span; shorter runs and plain words are
+    not scored, since a format says too little about them. Null texts count as empty (no spans, empty strings); a null doc_id
     stays null; repeated rows each have their result. If nothing is labelled nothing is added. Other columns are not
     looked at. Positions are code points, the end exclusive; spans are ordered by start, then kind as listed, `format` last.
     """

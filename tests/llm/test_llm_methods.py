@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyfold.llm import warc
 from tallyfold.llm.components import connected_components
-from tallyfold.llm.credentials import Automaton, base_spans, scan_secrets, shape
+from tallyfold.llm.credentials import Automaton, base_spans, prefix_counts, scan_secrets, shape
 from tallyfold.llm.decontaminate import contamination
 from tallyfold.llm.langid import identify_languages
 from tallyfold.llm.linededup import dedup_lines, may_be_within, within_edits
@@ -194,11 +194,27 @@ def test_automaton_merges_states():
         ends[w] = ends.get(w, 0) + 1
         for k in range(len(w) + 1):
             counts[w[:k]] = counts.get(w[:k], 0) + 1
-    machine = Automaton({p: c for p, c in counts.items() if c >= 20}, ends)
+    pruned = {p: c for p, c in counts.items() if c < 20 <= counts[p[:-1]]}
+    machine = Automaton({p: c for p, c in counts.items() if c >= 20}, ends, pruned)
     assert len(machine.states) < 60 < len(counts)
     assert machine.bits("AAAAA0A0AA0A") > machine.bits("zzzz0zzz0zzz") + 2 and shape("AKIA9z-f") == "AAAA0z-a"
 
 
+def test_prefix_counts_equal_counting(spark):
+    """Whole strings, step by step: as by counting all prefixes at once."""
+    rng = random.Random(9)
+    words = ["A" * 30 + "0" * rng.randrange(0, 9) + rng.choice(["z", "zz", ""]) for _ in range(300)] + ["".join(rng.choice("a0") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    counts, ends = {}, {}
+    for w in words:
+        ends[w] = ends.get(w, 0) + 1
+        for k in range(len(w) + 1):
+            counts[w[:k]] = counts.get(w[:k], 0) + 1
+    kept = {p for p, c in counts.items() if c >= len(words) * 0.02}
+    rows = prefix_counts(spark.createDataFrame([("k", w) for w in words], "kind string, word string"), 0.02, step=7)
+    assert {(r.prefix, r.n, r.ends) for r in rows if r.kept} == {(p, counts[p], ends.get(p, 0)) for p in kept} and max(map(len, kept)) > 30
+    assert {(r.prefix, r.n) for r in rows if not r.kept} == {(p, c) for p, c in counts.items() if p not in kept and p[:-1] in kept}
+
+
 def test_contamination_equals_brute_force(spark):
     rng = random.Random(8)
     items = [(i, " ".join(rng.choice(WORDS[:50]) for _ in range(rng.choice([1, 4, 12, 13, 14, 30])))) for i in range(40)] + [(90, "Ω w1 Ω"), (91, "w1 w1 w1")]
@@ -288,7 +304,7 @@ def test_warc_reader_rejects(spark, tmp_path):
 
 def test_warc_reads_what_was_committed_only(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(50)], "page_id long, url string, html string")
-    archives = warc.write_archives(warc.roles(pages), str(tmp_path)).cache()
+    archives = spark.createDataFrame(warc.write_archives(warc.roles(pages), str(tmp_path)).collect())  # written once
     one = archives.first().path
     with open(one, "rb") as f, open(one.replace("pages-", "pages-9"), "wb") as surplus:  # an attempt that did not count
         surplus.write(f.read())
