@@ -135,7 +135,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         for i, data in enumerate(archives_of(records_of())):
             name = f"pages-{context.partitionId():06d}-{i:05d}-{uuid.uuid4().hex}.warc.zst"
-            with store.open_output_stream(f"{base}/{name}") as f:
+            with store.open_output_stream(f"{base}/{name}", compression=None) as f:  # the name alone would make it compress once more
                 f.write(data)
             yield pa.RecordBatch.from_pydict({"path": pa.array([f"{folder}/{name}"]), "bytes": pa.array([len(data)], pa.int64())})
 
@@ -282,7 +282,7 @@ def read_listed(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-                with store.open_input_stream(name) as f:
+                with store.open_input_stream(name, compression=None) as f:
                     content = f.read()
                 yield from _rows_of(path, content)
 
