@@ -74,7 +74,7 @@ def side_by_side(graphs):
 def test_many_small_graphs(spark):
     """Those above and random ones, all in one run, since Spark's rounds cost more than their rows."""
     chance = random.Random(8)
-    check(spark, side_by_side([*SMALL.values(), *[[(chance.randrange(12), chance.randrange(12)) for _ in range(chance.randrange(5, 22))] for _ in range(25)]]))
+    check(spark, side_by_side([*SMALL.values(), *[[(chance.randrange(9), chance.randrange(9)) for _ in range(chance.randrange(5, 16))] for _ in range(8)]]))
 
 
 def test_empty_and_lonely(spark):
