@@ -21,14 +21,20 @@ def dyadic_blocks(ranges: DataFrame, low: str, high: str, top: int = 40) -> Data
     return blocks.withColumn("_level", F.col("_b.level")).withColumn("_block", F.col("_b.block")).drop("_b", "_low", "_high")
 
 
-def points_in_ranges(points: DataFrame, ranges: DataFrame, keys, point: str, low: str, high: str) -> DataFrame:
+def height(ranges: DataFrame, low: str, high: str) -> int:
+    """Numbers in the tallest range, 1 at least."""
+    return max(int(ranges.agg(F.max(F.col(high).cast("long") - F.col(low).cast("long") + 1)).first()[0] or 1), 1)
+
+
+def points_in_ranges(points: DataFrame, ranges: DataFrame, keys, point: str, low: str, high: str, tallest: int | None = None) -> DataFrame:
     """Inner join of points with the ranges that hold them: columns of both, keys once.
 
-    A point probes the levels up to that of the highest range only; that height is the one number the driver sees.
+    A point probes the levels up to that of the tallest range only. That height is the one number the driver sees; a caller who has
+    a bound for it saves the job that finds it.
     """
     keys = list(keys)
-    most = ranges.agg(F.max(F.col(high).cast("long") - F.col(low).cast("long") + 1)).first()[0]
-    top = max(int(most or 1), 1).bit_length() - 1
+    tallest = tallest or height(ranges, low, high)
+    top = max(tallest, 1).bit_length() - 1
     place = F.col(point).cast("long")
     blocks = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(place, k).alias("block")) for k in range(top + 1)])
     probes = points.withColumn("_b", F.explode(blocks)).withColumn("_level", F.col("_b.level")).withColumn("_block", F.col("_b.block")).drop("_b")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import LABEL_LOOKAHEAD, SHEET_COLUMNS
 from tallyfold.functions.parsing import is_numeric_account
-from tallyfold.operators.intervals import points_in_ranges
+from tallyfold.operators.intervals import height, points_in_ranges
 from tallyfold.operators.joins import lookup_join
 
 _REFERENCE = r"^=[$]?([A-Za-z]{1,3})[$]?([0-9]+)\z"
@@ -24,13 +24,13 @@ def anchor_values(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return merges.join(corner, ["sheet", "min_row", "min_col"], "left")
 
 
-def _fill_from_ranges(wanted: DataFrame, merges: DataFrame, cells: DataFrame, col: Column, value: str) -> DataFrame:
+def _fill_from_ranges(wanted: DataFrame, merges: DataFrame, cells: DataFrame, col: Column, value: str, tallest: int | None = None) -> DataFrame:
     """Replace `value` of the wanted rows (sheet, row, …) whose place (row, col) lies in a merged range.
 
     A range costs a few rows however tall it is; what is found is joined back to the wanted rows, which must be unique by place.
     """
     points = wanted.select("sheet", "row", col.alias("_col")).distinct()
-    inside = points_in_ranges(points, anchor_values(cells, merges), ["sheet"], "row", "min_row", "max_row")
+    inside = points_in_ranges(points, anchor_values(cells, merges), ["sheet"], "row", "min_row", "max_row", tallest or height(merges, "min_row", "max_row"))
     found = inside.where(F.col("_col").between(F.col("min_col"), F.col("max_col"))).select("sheet", "row", "_col", "anchor", F.lit(True).alias("_inside"))
     filled = F.when(F.col("_inside"), F.col("anchor")).otherwise(F.col(value))
     return lookup_join(wanted.withColumn("_col", col), found, ["sheet", "row", "_col"], "left").withColumn(value, filled).select(*wanted.columns)
@@ -74,7 +74,7 @@ def cell_reference_lookup(cells: DataFrame, wanted: DataFrame | None = None) ->
 
 
 def lookahead_label(cells: DataFrame, merges: DataFrame, word: str, label_col: int = SHEET_COLUMNS["label"],
-                    ahead: int = LABEL_LOOKAHEAD, rows: DataFrame | None = None) -> DataFrame:
+                    ahead: int = LABEL_LOOKAHEAD, rows: DataFrame | None = None, tallest: int | None = None) -> DataFrame:
     """`(sheet, row, label)`: the first label containing `word` in the next `ahead` rows, for the rows where there is one.
 
     `rows` (sheet, row) are the rows that look, by default those with a cell. A label is a range of rows, be it merged or a
@@ -82,17 +82,18 @@ def lookahead_label(cells: DataFrame, merges: DataFrame, word: str, label_col: i
     ranges, and no merged range is unfolded. A cell inside a merged range shows the range's label, not its own.
     """
     looking = (cells if rows is None else rows).select("sheet", "row").distinct()
+    tallest = tallest or height(merges, "min_row", "max_row")
     spans = anchor_values(cells, merges).where(F.lit(label_col).between(F.col("min_col"), F.col("max_col")))
     merged = spans.where(F.contains("anchor", F.lit(word))).select("sheet", "min_row", "max_row", F.col("anchor").alias("label"))
     worded = cells.where((F.col("col") == label_col) & F.contains("value", F.lit(word))).select("sheet", "row", "value")
-    covered = points_in_ranges(worded.select("sheet", "row"), spans.select("sheet", "min_row", "max_row"), ["sheet"], "row", "min_row", "max_row")
+    covered = points_in_ranges(worded.select("sheet", "row"), spans.select("sheet", "min_row", "max_row"), ["sheet"], "row", "min_row", "max_row", tallest)
     single = worded.join(covered.select("sheet", "row"), ["sheet", "row"], "left_anti").select(
         "sheet", F.col("row").alias("min_row"), F.col("row").alias("max_row"), F.col("value").alias("label")
     )
     seen_from = merged.unionByName(single).select(
         "sheet", "min_row", "label", F.greatest(F.col("min_row") - ahead, F.lit(0)).alias("_from"), (F.col("max_row") - 1).alias("_to")
     )
-    seen = points_in_ranges(looking, seen_from, ["sheet"], "row", "_from", "_to")
+    seen = points_in_ranges(looking, seen_from, ["sheet"], "row", "_from", "_to", tallest + ahead)
     first = F.greatest("min_row", F.col("row") + 1)
     nearest = seen.groupBy("sheet", "row").agg(F.min(F.struct(first.alias("at"), "label")).alias("n"))
     return nearest.select("sheet", "row", "n.label")
@@ -112,9 +113,10 @@ def build_entries(cells: DataFrame, merges: DataFrame, word: str, columns=SHEET_
         *[F.max(F.when(F.col("col") == number, F.col("value"))).alias(name) for name, number in columns.items()]
     )
     chosen = by_row.where(is_numeric_account(F.col("debit")) | is_numeric_account(F.col("credit")))
-    ahead = lookahead_label(cells, merges, word, columns["label"], rows=chosen).withColumnRenamed("label", "libelle")
+    tallest = height(merges, "min_row", "max_row")
+    ahead = lookahead_label(cells, merges, word, columns["label"], rows=chosen, tallest=tallest).withColumnRenamed("label", "libelle")
     titled = _fill_from_ranges(
-        chosen.join(ahead, ["sheet", "row"], "left"), merges, cells, F.lit(columns["label"]), "label"
+        chosen.join(ahead, ["sheet", "row"], "left"), merges, cells, F.lit(columns["label"]), "label", tallest
     )
 
     def account(number, amount):
