@@ -7,7 +7,8 @@ signature and confirmed on the full shingle sets.
 
 A bucket is not expanded into all its pairs. First every node meets one central node of its buckets only; confirmed
 links are joined into components. What is left are nodes whose bucket still holds several components: these meet the
-rest of the bucket, in chunks of signatures, and where that leads into a component, all sets of that component.
+rest of the bucket, in chunks of signatures. Nodes that are candidates there meet once more, in chunks of whole sets.
+Pairs are compared inside the tasks; the rows between them grow with the nodes, also where many near texts are not linked.
 """
 
 import numpy as np
@@ -23,11 +24,10 @@ from tallyfold.operators.joins import lookup_join
 SIGNATURE = 64
 #: Rows of a chunk of signatures, and bytes of a chunk of shingle sets.
 CHUNK_ROWS, CHUNK_BYTES = 512, 2 << 20
-#: Components of up to so many nodes are compared pair by pair, larger ones in chunks; both compare the same pairs.
-FEW = 8
 #: Rows of a table of nodes or pairs up to which it is sent to all executors (some 10 MB); beyond, both sides are shuffled.
 SENT_ROWS = 300_000
 _WORD = ~bytes_in((9, 13), (32, 32))
+_BITS = np.uint64(1) << np.arange(SIGNATURE, dtype=np.uint64)
 
 
 def _constants():
@@ -196,95 +196,117 @@ def _star_pairs(postings: DataFrame) -> DataFrame:
     return often.groupBy("node").agg(F.max(F.struct("c", F.negative("head").alias("back"))).alias("top")).select(F.col("node").alias("a"), F.negative("top.back").alias("b"))
 
 
-def _rest_pairs(postings: DataFrame, nodes: DataFrame, matches: int, percent: int) -> DataFrame:
-    """(a, other): nodes and components that a whole-bucket comparison finds near, from buckets with several components.
+def _met(rows: DataFrame, *fields: str) -> DataFrame:
+    """(token, probe, base): in every bucket, parts of its minor rows with chunks of all its rows; `fields` are those of an item.
 
-    nodes: (node, n, sig, mask, comp). In a bucket all nodes outside its largest component meet all others. A pair counts
-    in the bucket of its first common coordinate only.
+    rows: (token, node, minor, chunks, probes, ...), the last two being the numbers of chunks and parts of the bucket.
+    """
+    spot = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
+    item = F.struct("node", "n", "mask", "comp", "minor", "sig", *fields)
+    base = rows.groupBy("token", spot("chunks").alias("chunk")).agg(F.collect_list(item).alias("base"))
+    probe = rows.where("minor").groupBy("token", "chunks", spot("probes").alias("part")).agg(F.collect_list(item).alias("probe"))
+    probe = probe.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "probe")
+    return probe.join(base, ["token", "chunk"]).select("token", "probe", "base")
+
+
+def _side(items) -> dict:
+    """The items of one side of a meeting, field by field."""
+    out = {f: np.asarray(items.field(f).to_numpy(zero_copy_only=False)) for f in ("node", "n", "mask", "comp", "minor")}
+    out["mask"] = out["mask"].astype(np.int64).view(np.uint64)
+    out["sig"] = np.frombuffer(b"".join(items.field("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+    return out
+
+
+def _meetings(batch):
+    """(coordinate bit, token, probe items, base items) of every row of a batch of `_met`."""
+    for i, token in enumerate(batch.column(0).to_pylist()):
+        yield _BITS[token >> 32], token, batch.column(1)[i].values, batch.column(2)[i].values
+
+
+def _candidates(p: dict, j: int, q: dict, coordinate, matches: int, percent: int) -> np.ndarray:
+    """Places in q of the candidates that probe j has in the bucket of this coordinate.
+
+    They are of another component, and the bucket is that of the first coordinate common to both prefixes. A pair of
+    minor nodes counts once, for the smaller one.
+    """
+    ok = (q["comp"] != p["comp"][j]) & ~(q["minor"] & (q["node"] <= p["node"][j]))
+    near = np.flatnonzero(ok & (100 * np.minimum(q["n"], p["n"][j]) >= percent * np.maximum(q["n"], p["n"][j])))
+    equal = q["sig"][near] == p["sig"][j]
+    many = equal.sum(1) >= matches
+    near, equal = near[many], equal[many]
+    common = (equal * _BITS).sum(1, dtype=np.uint64) & p["mask"][j] & q["mask"][near]
+    return near[common & (~common + np.uint64(1)) == coordinate]
+
+
+def _rest(postings: DataFrame, nodes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """(token, node, minor): nodes that take part in a candidate pair of a bucket, from buckets with several components.
+
+    nodes: (node, n, sig, mask, comp). In a bucket all nodes outside its largest component (minor) meet all others. A task
+    compares chunks of signatures, and what leaves it is a row a node and bucket, not one a pair.
     """
     rows = postings.select("token", "node").join(nodes.select("node", "comp"), "node")
     by_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
     buckets = by_comp.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select(
         "token", F.col("top.comp").alias("major"), F.ceil(F.col("size") / CHUNK_ROWS).alias("chunks"), F.ceil((F.col("size") - F.col("top.c")) / CHUNK_ROWS).alias("probes"))
-    spot = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
     members = lookup_join(postings.select("token", "node"), buckets, ["token"])
     full = lookup_join(members, nodes, ["node"]).withColumn("minor", F.col("comp") != F.col("major"))
-    item = F.struct("node", "n", "mask", "comp", "minor", "sig")
-    base = full.groupBy("token", spot("chunks").alias("chunk")).agg(F.collect_list(item).alias("base"))
-    probe = full.where("minor").groupBy("token", "chunks", spot("probes").alias("part")).agg(F.collect_list(item).alias("probe"))
-    probe = probe.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "probe")
-    met = probe.join(base, ["token", "chunk"]).select("token", "probe", "base")
-
-    def side(column):
-        kids = column.flatten()
-        fields = {f: np.asarray(kids.field(f)) for f in ("node", "n", "mask", "comp")} | {"minor": np.asarray(kids.field("minor").to_numpy(zero_copy_only=False))}
-        fields["mask"] = fields["mask"].astype(np.int64).view(np.uint64)
-        fields["sig"] = np.frombuffer(b"".join(kids.field("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-        return fields, np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths(), np.int64))])
-
-    bit = np.uint64(1) << np.arange(SIGNATURE, dtype=np.uint64)
 
     def run(batches):
         for batch in batches:
-            (p, p_at), (q, q_at) = side(batch.column(1)), side(batch.column(2))
-            found = set()
-            for i, token in enumerate(batch.column(0).to_pylist()):
-                coordinate = bit[token >> 32]
-                y = {k: v[q_at[i]:q_at[i + 1]] for k, v in q.items()}
-                for j in range(p_at[i], p_at[i + 1]):
-                    ok = (y["comp"] != p["comp"][j]) & ~(y["minor"] & (y["node"] <= p["node"][j]))
-                    ok &= (100 * np.minimum(y["n"], p["n"][j]) >= percent * np.maximum(y["n"], p["n"][j]))
-                    near = np.flatnonzero(ok)
-                    if not len(near):
-                        continue
-                    equal = y["sig"][near] == p["sig"][j]
-                    near, equal = near[(many := equal.sum(1) >= matches)], equal[many]
-                    if not len(near):
-                        continue
-                    common = (equal * bit).sum(1, dtype=np.uint64) & p["mask"][j] & y["mask"][near]
-                    first = common & (~common + np.uint64(1))
-                    found.update((int(p["node"][j]), c) for c in np.unique(y["comp"][near[first == coordinate]]).tolist())
-            found = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "other"])
-
-    return met.mapInArrow(run, "a long, other long").distinct()
-
-
-def _links_into(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of nodes with any node of a component that they were found near: asked (a, other), members (node, comp, n)."""
-    sizes = members.join(asked.select(F.col("other").alias("comp")).distinct(), "comp", "left_semi").groupBy("comp").agg(
-        F.count("*").alias("c"), F.ceil(F.sum(F.col("n") * 8) / CHUNK_BYTES).alias("chunks"))
-    sized = lookup_join(asked.withColumnRenamed("other", "comp"), sizes, ["comp"])
-    few = lookup_join(sized.where(F.col("c") <= FEW).select("comp", "a"), members.groupBy("comp").agg(F.collect_list("node").alias("nodes")).join(
-        sizes.where(F.col("c") <= FEW).select("comp"), "comp", "left_semi"), ["comp"]).select("a", F.explode("nodes").alias("b"))
-    near = _confirmed(few, sets, percent)
-    large = sizes.where(F.col("c") > FEW)
-    item = F.struct("node", "set")
-    base = sets.select("node", "set").join(_sent(members.select("node", "comp").join(large, "comp")), "node").groupBy(
-        "comp", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).agg(F.collect_list(item).alias("base"))
-    asks = sets.join(_sent(sized.where(F.col("c") > FEW).select(F.col("a").alias("node"), "comp", "chunks")), "node")
-    parts = asks.groupBy("comp").agg(F.ceil(F.sum(F.col("n") * 8) / CHUNK_BYTES).alias("parts"))
-    asks = asks.join(parts, "comp").groupBy("comp", "chunks", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(F.collect_list(item).alias("asks"))
-    asks = asks.select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "asks")
+            out = ([], [], [])
+            for coordinate, token, probe, base in _meetings(batch):
+                p, q = _side(probe), _side(base)
+                asks, met = np.zeros(len(p["node"]), bool), np.zeros(len(q["node"]), bool)
+                for j in range(len(asks)):
+                    near = _candidates(p, j, q, coordinate, matches, percent)
+                    asks[j] = len(near) > 0
+                    met[near] = True
+                for part in (p["node"][asks], np.ones(asks.sum(), bool)), (q["node"][met], q["minor"][met]):
+                    out[0].append(np.full(len(part[0]), token, np.int64))
+                    out[1].append(part[0].astype(np.int64))
+                    out[2].append(part[1].astype(bool))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["token", "node", "minor"])
+
+    return _met(full).mapInArrow(run, "token long, node long, minor boolean").distinct()
+
+
+def _rest_links(active: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links (a, b) between the nodes that take part in candidate pairs, active (token, node, minor).
+
+    The buckets meet once more, now by chunks of whole sets, and every candidate pair is confirmed inside the task unless
+    links found there connect it already. At most one link a node and meeting comes out.
+    """
+    size = F.sum(F.col("n") * 8 + 4 * SIGNATURE)
+    sizes = lookup_join(active, nodes.select("node", "n"), ["node"]).groupBy("token").agg(
+        F.ceil(size / CHUNK_BYTES).alias("chunks"), F.ceil(F.sum(F.when(F.col("minor"), F.col("n") * 8 + 4 * SIGNATURE)) / CHUNK_BYTES).alias("probes"))
+    placed = lookup_join(active, sizes.where("probes > 0"), ["token"])
+    full = lookup_join(sets.select("node", "set").join(_sent(placed), "node"), nodes, ["node"])
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                base, asks = (batch.column(c)[i].as_py() for c in (0, 1))
-                pool = [np.frombuffer(x["set"], np.uint64) for x in base]
-                size, value = np.array([len(x) for x in pool]), np.concatenate(pool)
-                owner = np.repeat(np.arange(len(pool)), size)
-                out = ([], [])
-                for x in asks:
-                    mine = np.frombuffer(x["set"], np.uint64)
-                    at = np.minimum(np.searchsorted(mine, value), len(mine) - 1)
-                    inter = np.bincount(owner[mine[at] == value], minlength=len(pool))
-                    for j in np.flatnonzero(_enough(inter, len(mine), size, percent)).tolist():
-                        out[0].append(x["node"])
-                        out[1].append(base[j]["node"])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
-
-    return near.unionByName(asks.join(base, ["comp", "chunk"]).select("base", "asks").mapInArrow(run, "a long, b long"))
+            out = ([], [])
+            for coordinate, _, probe, base in _meetings(batch):
+                p, q = _side(probe), _side(base)
+                words, code = np.unique(np.frombuffer(b"".join(probe.field("set").to_pylist() + base.field("set").to_pylist()), np.uint64), return_inverse=True)
+                at = np.concatenate([[0], np.cumsum(np.concatenate([p["n"], q["n"]]))]).astype(np.int64)
+                group, mine = np.unique(np.concatenate([p["comp"], q["comp"]]), return_inverse=True)[1], np.zeros(len(words), bool)
+                k = len(p["node"])
+                for j in range(k):
+                    near = _candidates(p, j, q, coordinate, matches, percent)
+                    own = code[at[j]:at[j + 1]]
+                    mine[own] = True
+                    for i in near.tolist():
+                        if group[j] == group[k + i]:
+                            continue
+                        inter = np.count_nonzero(mine[code[at[k + i]:at[k + i + 1]]])
+                        if _enough(inter, p["n"][j], q["n"][i], percent):
+                            out[0].append(int(p["node"][j]))
+                            out[1].append(int(q["node"][i]))
+                            group[group == group[k + i]] = group[j]
+                    mine[own] = False
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+
+    return _met(full, "set").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches: int = 38) -> DataFrame:
@@ -312,9 +334,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     comps = stored(connected_components(links), "neardup-components")
     with_comp = known.join(comps, "node", "left").select("node", "n", "sig", "mask", F.coalesce("component", "node").alias("comp"))
     with_comp = stored(with_comp, "neardup-grouped")
-    asked = stored(_rest_pairs(postings, with_comp, matches, percent), "neardup-rest")
-    more = stored(_links_into(asked, with_comp.select("node", "comp", "n"), sets, percent), "neardup-more")
-    comps = stored(connected_components(links.unionByName(more)), "neardup-components")
+    active = stored(_rest(postings, with_comp, matches, percent), "neardup-rest")
+    more = stored(_rest_links(active, with_comp, sets, matches, percent), "neardup-more")
+    if not more.isEmpty():
+        # further links join whole components, so only those are connected anew
+        label = lambda side: with_comp.select(F.col("node").alias(side), F.col("comp").alias(f"of_{side}"))
+        joined = connected_components(lookup_join(lookup_join(more, label("a"), ["a"]), label("b"), ["b"]), "of_a", "of_b")
+        joined = joined.select(F.col("node").alias("comp"), F.col("component").alias("top"))
+        comps = stored(lookup_join(with_comp.select("node", "comp"), joined, ["comp"], "left").select("node", F.coalesce("top", "comp").alias("component")), "neardup-components")
     named = comps.join(nodes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     groups = nodes.select("key_a", "key_b", "n", "node", "rep").join(lookup_join(comps, least, ["component"]).select("node", "component_id"), "node", "left")
