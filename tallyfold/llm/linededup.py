@@ -56,6 +56,25 @@ def within_edits(x: Column, y: Column, threshold: int) -> Column:
     return F.when(F.abs(size(x) - size(y)) > threshold, False).when(short, True).when((size(x) == 0) | (size(y) == 0), False).otherwise(end)
 
 
+def _common_start(x: Column, y: Column) -> Column:
+    """How many code points x and y begin with in common: lengths of falling powers of two are tried."""
+    room = F.least(F.char_length(x), F.char_length(y))
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(room, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda p: F.pow(F.lit(2), p).cast("int"))
+    return F.aggregate(steps, F.lit(0), lambda k, s: F.when((k + s <= room) & (F.substring(x, k + 1, s) == F.substring(y, k + 1, s)), k + s).otherwise(k))
+
+
+def middles(x: Column, y: Column) -> Column:
+    """x and y without their common beginning and then without their common end, as a struct (a, b) of the same edit distance."""
+    def let(value, body):
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def turned(u, v):
+        left = lambda t, k: F.reverse(F.substring(t, k + 1, F.char_length(t)))
+        return let(_common_start(u, v), lambda k: F.struct(left(u, k).alias("a"), left(v, k).alias("b")))
+
+    return let(turned(x, y), lambda m: turned(m["a"], m["b"]))
+
+
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i of a line of length n; the later ones are one longer where it does not divide."""
     base = F.floor(n / parts).cast("int")
@@ -116,8 +135,10 @@ def _victims(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(at) of the later line x of every pair (x, y) that is within the threshold."""
     named = lambda tag: texts.select(F.col("at").alias(tag), F.col("line").alias(f"{tag}_line"))
     joined = lookup_join(lookup_join(pairs, named("x"), ["x"]), named("y"), ["y"])
-    joined = joined.where(may_be_within(F.col("x_line"), F.col("y_line"), threshold, 4 * (threshold + 1)))
-    return joined.where(within_edits(F.col("x_line"), F.col("y_line"), threshold)).select(F.col("x").alias("at")).distinct()
+    # behind a generator, so that what two lines have in common is cut off once a pair
+    cut = joined.select("x", F.explode(F.array(middles(F.col("x_line"), F.col("y_line")))).alias("m")).select("x", "m.a", "m.b")
+    cut = cut.where(may_be_within(F.col("a"), F.col("b"), threshold, 4 * (threshold + 1)))
+    return cut.where(within_edits(F.col("a"), F.col("b"), threshold)).select(F.col("x").alias("at")).distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

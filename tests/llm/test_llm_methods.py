@@ -18,7 +18,7 @@ from tallyfold.llm.components import connected_components
 from tallyfold.llm.credentials import Automaton, base_spans, prefix_counts, scan_secrets, shape
 from tallyfold.llm.decontaminate import contamination
 from tallyfold.llm.langid import identify_languages
-from tallyfold.llm.linededup import dedup_lines, may_be_within, within_edits
+from tallyfold.llm.linededup import dedup_lines, may_be_within, middles, within_edits
 from tallyfold.llm.neardup import near_duplicates
 from tallyfold.llm.packing import hilbert_keys, pack_sequences, tail_lengths
 from tallyfold.llm.sums import isotonic
@@ -106,6 +106,12 @@ def test_edit_distance(spark):
     for t in range(4):
         assert df.where(within_edits(F.col("x"), F.col("y"), t) != (F.levenshtein("x", "y") <= t)).count() == 0
         assert df.where((F.levenshtein("x", "y") <= t) & ~may_be_within(F.col("x"), F.col("y"), t, 4 * (t + 1))).count() == 0
+    got = df.select("x", "y", F.explode(F.array(middles(F.col("x"), F.col("y")))).alias("m")).select("x", "y", "m.a", "m.b", F.levenshtein("x", "y").alias("d"), F.levenshtein("m.a", "m.b").alias("e"))
+    for r in got.collect():
+        same = len(os.path.commonprefix([r.x, r.y]))
+        x, y = r.x[same:], r.y[same:]
+        end = len(os.path.commonprefix([x[::-1], y[::-1]]))
+        assert (r.a, r.b) == (x[:len(x) - end], y[:len(y) - end]) and r.d == r.e
 
 
 def levenshtein(a, b):
