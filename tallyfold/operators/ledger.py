@@ -74,14 +74,15 @@ def cell_reference_lookup(cells: DataFrame, wanted: DataFrame | None = None) ->
 
 
 def lookahead_label(cells: DataFrame, merges: DataFrame, word: str, label_col: int = SHEET_COLUMNS["label"],
-                    ahead: int = LABEL_LOOKAHEAD, rows: DataFrame | None = None, tallest: int | None = None) -> DataFrame:
+                    ahead: int = LABEL_LOOKAHEAD, rows: DataFrame | None = None, tallest: int | None = None,
+                    every_row: bool = False) -> DataFrame:
     """`(sheet, row, label)`: the first label containing `word` in the next `ahead` rows, for the rows where there is one.
 
     `rows` (sheet, row) are the rows that look, by default those with a cell. A label is a range of rows, be it merged or a
     single cell; moved up by `ahead`, it is the range of rows that can see it, so the work is a join of points with
-    ranges, and no merged range is unfolded. A cell inside a merged range shows the range's label, not its own.
+    ranges, and no merged range is unfolded. With `every_row` all rows from 1 on look, whether they have a cell or not, and
+    such a range gives its rows. A cell inside a merged range shows the range's label, not its own.
     """
-    looking = (cells if rows is None else rows).select("sheet", "row").distinct()
     tallest = tallest or height(merges, "min_row", "max_row")
     spans = anchor_values(cells, merges).where(F.lit(label_col).between(F.col("min_col"), F.col("max_col")))
     merged = spans.where(F.contains("anchor", F.lit(word))).select("sheet", "min_row", "max_row", F.col("anchor").alias("label"))
@@ -91,9 +92,12 @@ def lookahead_label(cells: DataFrame, merges: DataFrame, word: str, label_col: i
         "sheet", F.col("row").alias("min_row"), F.col("row").alias("max_row"), F.col("value").alias("label")
     )
     seen_from = merged.unionByName(single).select(
-        "sheet", "min_row", "label", F.greatest(F.col("min_row") - ahead, F.lit(0)).alias("_from"), (F.col("max_row") - 1).alias("_to")
+        "sheet", "min_row", "label", F.greatest(F.col("min_row") - ahead, F.lit(1 if every_row else 0)).alias("_from"), (F.col("max_row") - 1).alias("_to")
     )
-    seen = points_in_ranges(looking, seen_from, ["sheet"], "row", "_from", "_to", tallest + ahead)
+    if every_row:
+        seen = seen_from.where("_from <= _to").select("sheet", "min_row", "label", F.explode(F.sequence("_from", "_to")).alias("row"))
+    else:
+        seen = points_in_ranges((cells if rows is None else rows).select("sheet", "row").distinct(), seen_from, ["sheet"], "row", "_from", "_to", tallest + ahead)
     first = F.greatest("min_row", F.col("row") + 1)
     nearest = seen.groupBy("sheet", "row").agg(F.min(F.struct(first.alias("at"), "label")).alias("n"))
     return nearest.select("sheet", "row", "n.label")

@@ -48,12 +48,12 @@ _AHEAD = _FILLED + f""", spots as (select sheet, unnest(range(min_row, max_row +
  labels4 as (select sheet, spot, label from spots union all select sheet, row, value from cells c where col = 4
   and not exists (select 1 from spots s where s.sheet = c.sheet and s.spot = c.row)),
  seen as (select sheet, spot - d as row, spot, label from labels4, (values (1), (2), (3), (4)) v(d) where contains(label, '{WORD}')),
- ahead as (select sheet, row, arg_min(label, spot) as label from seen where (sheet, row) in (select sheet, row from cells) group by 1, 2)"""
+ ahead as (select sheet, row, arg_min(label, spot) as label from seen where row > 0 group by 1, 2)"""
 
 
 @query("lookahead_label", duck(["cells", "merges"], "select sheet, cast(row as int) as row, label from ahead", _AHEAD))
 def lookahead_label(spark, sf):
-    return ledger.lookahead_label(*grid(spark, sf), WORD)
+    return ledger.lookahead_label(*grid(spark, sf), WORD, every_row=True)
 
 
 _ENTRIES = _AHEAD + f""", {_RESOLVED}, acc as (select sheet, row, max(value) filter (where col = 2) as debit, max(value) filter (where col = 3) as credit from cells group by 1, 2),

@@ -41,6 +41,13 @@ def test_tall_merged_label(spark):
     assert ahead == {2: "Deposit tall", 500_000: "Deposit tall", 1_000_003: "Deposit low"}
 
 
+def test_rows_without_cells_look_ahead(spark):
+    cells = spark.createDataFrame([("S", 3, 4, "Deposit a"), ("S", 10, 4, "Deposit b")], "sheet string, row int, col int, value string")
+    merges = spark.createDataFrame([("S", 10, 4, 12, 4)], "sheet string, min_row int, min_col int, max_row int, max_col int")
+    ahead = {r.row: r.label for r in ledger.lookahead_label(cells, merges, "Deposit", every_row=True).collect()}
+    assert ahead == {**dict.fromkeys((1, 2), "Deposit a"), **dict.fromkeys(range(6, 12), "Deposit b")}
+
+
 def moved(incoming, present):
     """One file after the other; those that keep their names first."""
     there, out, rest = set(present), {}, []
