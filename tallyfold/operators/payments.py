@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import PAYMENT_NAMESPACE
 from tallyfold.operators.joins import lookup_join
+from tallyfold.session import cut_lineage
 
 AMOUNT = "decimal(28,5)"
 _PAYMENT = "struct<PmtId: struct<EndToEndId: string>, Amt: struct<InstdAmt: struct<_VALUE: string, _Ccy: string>>>"
@@ -118,9 +119,13 @@ def parse_message_parts(parts: DataFrame, namespace: str = PAYMENT_NAMESPACE) ->
         "file", "block", "at", first.alias("is_first"),
         F.concat(F.when(first, "").otherwise(opening), F.col("value"), F.when(last, "").otherwise(closing)).alias("value"))
     # Whether the file is of the right version is seen in its first piece only; the pieces put into a message are.
-    found = _once(_bodies(whole, ["file", "block", "at", "is_first"], _root_namespace(F.col("value"), namespace)),
-                  ["file", "block", "at", "is_first", "well_formed", "ctrl_found"], payments=F.col("payments"))
-    versions = _once(whole.where("is_first"), ["file"], right=F.coalesce(_root_namespace(F.col("value"), namespace), F.lit(False)))
+    # Heads and payments both come from the parsed pieces, so these are kept and no piece is parsed twice.
+    right = F.when(F.col("is_first"), F.coalesce(_root_namespace(F.col("value"), namespace), F.lit(False)))
+    marked = _once(whole, ["file", "block", "at", "value", "is_first"], right=right)
+    found = cut_lineage(_once(_bodies(marked, ["file", "block", "at", "is_first", "right"], F.col("right") | ~F.col("is_first")),
+                              ["file", "block", "at", "is_first", "right", "well_formed", "ctrl_found"], payments=F.col("payments")))
+    versions = found.where("is_first").select("file", "right")
+    found = found.drop("right")
     known = lookup_join(found, versions, ["file"])
     heads = known.groupBy("file").agg(
         F.bool_and("well_formed").alias("well_formed"), F.first("right").alias("right"),

@@ -84,3 +84,11 @@ def test_a_large_message(spark, tmp_path, n):
         assert (row.n, float(row.total), row.has_gap) == (n, n * 1.5, False)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_no_piece_is_parsed_again(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(FILES["good"])
+    heads, rows = payments.parse_message_parts(documents.scan_payment_parts(spark, str(tmp_path)))
+    for df in (heads, rows, payments.reconcile_parts(heads, rows)):
+        assert "from_xml" not in df._jdf.queryExecution().optimizedPlan().toString().lower().replace("xmltostructs", "from_xml")
+    assert rows.count() == 60
