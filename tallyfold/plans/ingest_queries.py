@@ -152,11 +152,16 @@ def scan_csv_text(spark, sf):
 
 @query("scan_split_csv", "select cast(doc_id as varchar) as doc_id, text, lang, cast(row_number() over (partition by lang order by doc_id) + 1 as bigint) as line from documents")
 def scan_split_csv(spark, sf):
-    """Texts with quotes and line breaks in one CSV file a language, read in splits, with the numbers of their records."""
+    """Texts with quotes and line breaks in one CSV table a language, read in splits, with the numbers of their records.
+
+    A language's table is written by many tasks: its part files, in name order, are the table in the order of doc_id.
+    """
     path = new_table_path(spark, "csv")
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("folder", F.col("lang"))
-    docs.repartition("folder").sortWithinPartitions("folder", "doc_id").write.partitionBy("folder").options(header=True, escape='"').csv(path)
-    return split_csv.scan_split_csv(spark, f"{path}/*").select("doc_id", "text", "lang", "line")
+    ordered = docs.repartitionByRange("folder", "doc_id").sortWithinPartitions("folder", "doc_id")
+    ordered.write.partitionBy("folder").options(header=True, escape='"').csv(path)
+    rows = split_csv.scan_split_csv(spark, f"{path}/*").withColumn("folder", F.regexp_extract("file", r"folder=([^/]*)/", 1))
+    return split_csv.number_on(rows, "folder").select("doc_id", "text", "lang", "line")
 
 
 @query("sink_csv", duck("contacts", "select cast(id as varchar) as id, pays, nullif(telephone1, '') as telephone1, nullif(telephone2, '') as telephone2 from contacts"))
@@ -301,7 +306,9 @@ _FIRST = """first as (select *, row_number() over (partition by "Service", "Ref
 def stream_drop_folder(spark, sf):
     """Raw files dropped in a folder, loaded by the stream in two runs; the second finds nothing new."""
     drop, state = new_table_path(spark, "drop"), new_table_path(spark, "state")
-    _write_by_file(frame(spark, sf, "raw_tx").drop("#"), drop)
+    # Part files in source order, each written by a task of its own, packed: a month is never in one task.
+    raw = frame(spark, sf, "raw_tx").drop("#").repartitionByRange("file", "src_row").sortWithinPartitions("file", "src_row")
+    raw.drop("src_row").write.partitionBy("file").options(header=True, escape='"', compression="gzip").csv(drop)
     headers = [source for source, _, _ in TARGET_LAYOUT]
     for _ in range(2):
         load_folder(spark, f"{drop}/*", state, headers=headers)

@@ -137,3 +137,14 @@ def scan_split_csv(spark: SparkSession, path, wanted=None, sep: str = ",", colum
         F.raise_error(F.concat(F.lit("another header in "), F.col("file"))).cast("boolean"))).otherwise(True))
     rows = checked.select(*[F.col(f"v.`{n}`").alias(n) for n in names], F.col("file").alias(FILE_COLUMN), (F.col("record") + 1).alias(LINE_COLUMN))
     return with_columns_present(rows, [*wanted, FILE_COLUMN, LINE_COLUMN]) if wanted else rows
+
+
+def number_on(rows: DataFrame, group: str) -> DataFrame:
+    """Rows of `scan_split_csv` with `line` counted on through the files of one `group`, in the order of the files' names.
+
+    Part files of one table each have a header; the first record of the first file keeps line 2, as if all were one file.
+    """
+    files = rows.groupBy(group, FILE_COLUMN).agg((F.max(LINE_COLUMN) - 1).alias("_rows"))
+    earlier = Window.partitionBy(group).orderBy(FILE_COLUMN).rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(FILE_COLUMN, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    return lookup_join(rows, starts, [FILE_COLUMN]).withColumn(LINE_COLUMN, F.col(LINE_COLUMN) + F.col("_start")).drop("_start")

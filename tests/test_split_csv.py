@@ -64,3 +64,23 @@ def test_headers_and_wanted_columns(spark, tmp_path):
         split_csv.scan_split_csv(spark, str(tmp_path), columns=["a", "b"]).collect()
     (tmp_path / "b.csv").write_text("a,b\n")
     assert split_csv.scan_split_csv(spark, str(tmp_path)).where(F.col("file").contains("b.csv")).count() == 0
+
+
+def test_numbers_go_on_through_part_files(spark, tmp_path, small_splits):
+    for folder, parts in {"a": [["1", '"2\nb"'], ["3"], ["4", "5"]], "b": [["6"]]}.items():
+        (tmp_path / f"folder={folder}").mkdir()
+        for i, values in enumerate(parts):
+            (tmp_path / f"folder={folder}" / f"part-{i}.csv").write_text("\n".join(["x,y", *[f"{v},{folder}" for v in values]]) + "\n")
+    rows = split_csv.scan_split_csv(spark, f"{tmp_path}/*")
+    got = split_csv.number_on(rows, "y").select("x", "y", "line").collect()
+    assert sorted(map(tuple, got)) == [("1", "a", 2), ("2\nb", "a", 3), ("3", "a", 4), ("4", "a", 5), ("5", "a", 6), ("6", "b", 2)]
+
+
+def test_query_writes_a_language_in_more_than_one_task(spark, tmp_path):
+    from tallyfold.plans import ingest_queries
+
+    docs = spark.range(400).selectExpr("id as doc_id", "'en' as lang", "repeat('x', 10) as text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = ingest_queries.scan_split_csv(spark, str(tmp_path))
+    assert len(plan.inputFiles()) > 1
+    assert sorted((int(r.doc_id), r.line) for r in plan.collect()) == [(i, i + 2) for i in range(400)]
