@@ -34,17 +34,27 @@ def _stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
     return known.where(F.col("batch") < batch_id).select(*KEY)
 
 
-def _write_outcome(judged: DataFrame, batch_id: int, store: str, errors: str, reports: str) -> None:
+def _write_outcome(judged: DataFrame, batch_id: int, store: str, errors: str, reports: str, rows: DataFrame | None = None) -> None:
     """Each outcome goes to its own `batch=<id>` folder in overwrite mode, so a batch that runs again after a failure
-    replaces its own output."""
+    replaces its own output.
+
+    With `rows`, whole rows with `staged`, `judged` need only hold keys and places: what is accepted is then picked from the rows by
+    its place. Few places are kept first, so that Spark knows their size and need not shuffle the rows to find them.
+    """
     judged = judged.persist()
+    accepted, places = judged.where(F.col("status") == ACCEPTED), None
     try:
-        accepted = judged.where(F.col("status") == ACCEPTED).drop("status")
-        accepted.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        if rows is not None:
+            places = accepted.select(*_PLACE).persist()
+            places.count()
+            accepted = lookup_join(rows, places, _PLACE, "left_semi").select(*rows.columns).drop("staged")
+        accepted.drop("status").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         import_errors(judged).write.mode("overwrite").parquet(f"{errors}/batch={batch_id}")
         import_report(judged).write.mode("overwrite").parquet(f"{reports}/batch={batch_id}")
     finally:
         judged.unpersist()
+        if places is not None:
+            places.unpersist()
 
 
 def load_batch(rows: DataFrame, batch_id: int, store: str, errors: str, reports: str, layout=TARGET_LAYOUT) -> None:
@@ -90,13 +100,12 @@ def _run(writer, checkpoint: str):
 
 
 def _judge(batch: DataFrame) -> DataFrame:
-    """Statuses of a batch's rows (`kind` row) from the first places of its keys (`kind` first)."""
-    names = [c for c in batch.columns if c not in ("kind", "first")]
-    rows, here = batch.where("kind = 'row'").select(*names), key_present(KEY)
+    """Keys, places and statuses of a batch's rows (`kind` row) from the first places of its keys (`kind` first)."""
+    rows, here = batch.where("kind = 'row'").select(*KEY, *_PLACE), key_present(KEY)
     firsts = batch.where("kind = 'first'").select(*KEY, F.col("first").alias("_first"))
     status = F.when(F.struct(*_PLACE) == F.col("_first"), ACCEPTED).otherwise(DUPLICATE)
     keyed = lookup_join(rows.where(here), firsts, KEY).withColumn("status", status).drop("_first")
-    return keyed.unionByName(rows.where(~here).withColumn("status", F.lit(MISSING_KEY))).drop("staged")
+    return keyed.unionByName(rows.where(~here).withColumn("status", F.lit(MISSING_KEY)))
 
 
 def stream_drop_folder(spark: SparkSession, folder: str, state: str, layout=TARGET_LAYOUT, headers=None,
@@ -118,7 +127,8 @@ def stream_drop_folder(spark: SparkSession, folder: str, state: str, layout=TARG
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            _write_outcome(_judge(batch), batch_id, f"{state}/store", f"{state}/errors", f"{state}/reports")
+            rows = batch.where("kind = 'row'").drop("kind", "first")
+            _write_outcome(_judge(batch), batch_id, f"{state}/store", f"{state}/errors", f"{state}/reports", rows)
         finally:
             batch.unpersist()
 

@@ -129,3 +129,13 @@ def test_a_batch_does_not_read_the_store(spark, tmp_path):
     (drop / "b.csv").write_text(HEAD + "S,2,9\nS,3,4\n")
     run(spark, tmp_path)
     assert store(spark, tmp_path) == [("3", 4.0, 3)]
+
+
+def test_whole_rows_are_not_joined_for_their_status(spark):
+    """The statuses come from keys and places alone, so that wide rows need no shuffle."""
+    names = "service string, reference string, montant string, staged long, file string, line long, kind string"
+    batch = spark.createDataFrame([("S", "1", "5", 0, "f", 2, "row"), ("S", "1", "6", 0, "f", 3, "row"), ("S", "1", None, None, None, None, "first")], names)
+    place = F.struct(F.lit(0).cast("long").alias("staged"), F.lit("f").alias("file"), F.lit(2).cast("long").alias("line"))
+    judged = drop_folder._judge(batch.withColumn("first", F.when(F.col("kind") == "first", place)))
+    assert set(judged.columns) == {"service", "reference", "staged", "file", "line", "status"}
+    assert sorted((r.line, r.status) for r in judged.collect()) == [(2, ingest.ACCEPTED), (3, ingest.DUPLICATE)]
