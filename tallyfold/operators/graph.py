@@ -1,16 +1,31 @@
 """Dependency order over an edge table: levels, cycles, and levels around cycles.
 
-Every round ends in a reliable checkpoint; the driver sees row counts. Joins are lookups of a node's single row, so
+Every round ends in a table in the shared folder; the driver sees row counts. Joins are lookups of a node's single row, so
 a node with very many neighbours is split like any other hot key.
 """
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.operators.joins import lookup_join
-from tallyfold.session import cut_lineage
+from tallyfold.operators import joins
+from tallyfold.session import new_table_path
+
+# A broadcast a round would send the driver a table of nodes as often as there are rounds.
+lookup_join = partial(joins.lookup_join, strategy="merge")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read back.
+
+    A checkpoint keeps its plan's size estimate. Joins multiply these estimates, so over rounds their digits double, and
+    planning a round would soon take longer than running it. Files tell their own size.
+    """
+    path = new_table_path(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 #: Rounds of release after which finished edges are dropped.
 ROUNDS_TOGETHER = 8
@@ -85,13 +100,13 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         ways.append(way)
         left = lookup_join(left, way.select("node").unionByName(ring), ["node"], "left_anti")
     parents = work.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("waiting"))
-    state = cut_lineage(left.join(parents, "node", "left").select("node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.lit(0).cast("long").alias("level")))
+    state = cut_lineage(left.join(parents.hint("merge"), "node", "left").select("node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.lit(0).cast("long").alias("level")))
     known, recent, rounds = None, [state.where("waiting = 0").select("node", "level")], 0
     pending = state.where("waiting > 0")
     while True:
         passed = lookup_join(work, _named(recent[-1], parent="node", level="level"), ["parent"])
         arrived = passed.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("arrived"), F.max(F.col("level") + F.col("weight")).alias("reached"))
-        step = cut_lineage(pending.join(arrived, "node", "left").select(
+        step = cut_lineage(pending.join(arrived.hint("merge"), "node", "left").select(
             "node", (F.col("waiting") - F.coalesce("arrived", F.lit(0))).alias("waiting"), F.greatest("level", "reached").alias("level")))
         fresh, pending, rounds = step.where("waiting = 0").select("node", "level"), step.where("waiting > 0"), rounds + 1
         if fresh.isEmpty():
@@ -106,7 +121,7 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     for way in reversed(ways):
         heads = _named(known, head="node", _level="level")
         known = cut_lineage(known.unionByName(lookup_join(way, heads, ["head"]).select("node", (F.col("_level") + F.col("dist")).alias("level"))))
-    return names.join(known, "node", "left").select("node", F.col("level").cast("int").alias("level"), F.col("level").isNull().alias("blocked"))
+    return names.join(known.hint("merge"), "node", "left").select("node", F.col("level").cast("int").alias("level"), F.col("level").isNull().alias("blocked"))
 
 
 def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,16 +130,6 @@ def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return lookup_join(inside, _named(nodes, parent="node"), ["parent"], "left_semi")
 
 
-def _cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that lie on a cycle or between two: what releasing from the parents' and from the children's side leaves."""
-    pairs = cut_lineage(_pairs(edges))
-    core = cut_lineage(_among(pairs, dependency_levels(pairs).where("blocked").select("node")))
-    if core.isEmpty():
-        return core
-    held = dependency_levels(_named(core, child="parent", parent="child")).where("blocked").select("node")
-    return cut_lineage(_among(core, held))
-
-
 def cycle_nodes(edges: DataFrame, levels: DataFrame) -> DataFrame:
     """Blocked nodes that lie on a cycle or between two: those that also hold up another such node.
 
@@ -135,83 +140,56 @@ def cycle_nodes(edges: DataFrame, levels: DataFrame) -> DataFrame:
     return reversed_levels.where("blocked").select("node")
 
 
-def _settled(now: DataFrame, step) -> DataFrame:
-    """Repeat a step until its rows no longer change, by their number and a checksum."""
-    now, mark = cut_lineage(now), None
-    while True:
-        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64(*now.columns))).first())
-        if seen == mark:
-            return now
-        mark, now = seen, cut_lineage(step(now))
-
-
-def _coloured_components(edges: DataFrame) -> DataFrame:
-    """`(node, comp)` for every node: strongly connected components by colouring.
+def _greatest_above(edges: DataFrame, salt: int | None) -> DataFrame:
+    """`(node, colour)` for every node of the edges: the greatest of the node and all nodes it depends on.
 
-    The greatest node a node can be reached from is its colour. A node of its own colour is a root; its component are the nodes of
-    its colour that reach it. Components found leave, and what is left is coloured again.
+    Greatest by name, or by a hash under `salt`. Each round takes the colours of parents that changed last; and since a colour is
+    the name of a node above, that node's own colour is taken as well, which doubles the way along chains and rings.
     """
-    nodes = cut_lineage(_named(edges, node="child").union(_named(edges, node="parent")).distinct())
-    out = None
+    colour, name = F.col("node"), F.col("colour")
+    if salt is not None:
+        colour, name = F.struct(F.xxhash64("node", F.lit(salt)).alias("rank"), F.col("node").alias("name")), F.col("colour.name")
+    nodes = _named(edges, node="child").union(_named(edges, node="parent")).distinct()
+    now = cut_lineage(nodes.select("node", colour.alias("colour"), F.lit(True).alias("fresh")))
     while True:
-        def forward(colours, edges=edges):
-            above = lookup_join(edges, _named(colours, parent="node", colour="colour"), ["parent"])
-            best = above.groupBy(F.col("child").alias("node")).agg(F.max("colour").alias("_best"))
-            return colours.join(best, "node", "left").select("node", F.greatest("colour", "_best").alias("colour"))
+        fresh = now.where("fresh")
+        passed = lookup_join(edges, _named(fresh, parent="node", colour="colour"), ["parent"])
+        over = lookup_join(now.withColumn("_at", name), _named(fresh, _at="node", _over="colour"), ["_at"], "left")
+        met = over.select("node", F.coalesce("_over", "colour").alias("colour"), F.col("colour").alias("_own")).unionByName(
+            _named(passed, node="child", colour="colour"), allowMissingColumns=True)
+        best = met.groupBy("node").agg(F.max("colour").alias("colour"), F.max("_own").alias("_own"))
+        now = cut_lineage(best.select("node", "colour", (F.col("colour") != F.col("_own")).alias("fresh")))
+        if now.where("fresh").isEmpty():
+            return now.select("node", "colour")
 
-        colours = _settled(nodes.withColumn("colour", F.col("node")), forward)
-        ends = lookup_join(edges, _named(colours, child="node", _below="colour"), ["child"])
-        inner = cut_lineage(lookup_join(ends, _named(colours, parent="node", _above="colour"), ["parent"]).where("_below = _above").select("child", "parent"))
 
-        def backward(members, inner=inner):
-            up = lookup_join(inner, _named(members, child="node", comp="comp"), ["child"]).select(F.col("parent").alias("node"), "comp")
-            return members.unionByName(up).distinct()
-
-        members = _settled(_named(colours.where("node = colour"), node="node", comp="colour"), backward)
-        out = members if out is None else cut_lineage(out.unionByName(members))
-        nodes = cut_lineage(nodes.join(members, "node", "left_anti"))
-        edges = cut_lineage(_among(edges, nodes))
-        if edges.isEmpty():
-            return out.unionByName(nodes.select("node", F.col("node").alias("comp")))
+def _inside(edges: DataFrame, colours: DataFrame, name: str) -> DataFrame:
+    """Edges whose ends have one colour, with it as `name`."""
+    ends = lookup_join(edges, _named(colours, child="node", **{name: "colour"}), ["child"])
+    return lookup_join(ends, _named(colours, parent="node", _other="colour"), ["parent"]).where(F.col(name) == F.col("_other")).drop("_other")
 
 
 def dependency_cycles(edges: DataFrame) -> DataFrame:
     """`(node, cycle)` of the nodes that lie on a cycle; nodes that reach each other share the smallest of them as `cycle`.
 
-    An edge from a node to itself is no cycle. Nodes off all cycles are released from both sides. Of what is left, chains
-    (one parent, one child) are contracted by pointer jumping, so that a ring costs a logarithmic number of rounds; the rest is
-    coloured. A chain lies on a cycle if its two ends do on the same.
+    An edge from a node to itself is no cycle. Nodes of one cycle share the greatest node above and the greatest below, so edges
+    between nodes that differ in either leave. A node whose greatest one above is also the greatest below lies on that one's cycle;
+    what is left is coloured again, from the third time on by hashes, so that no order of the names needs many times.
     """
-    core = _cyclic_core(edges)
-    if core.isEmpty():
-        return core.select(F.col("child").alias("node"), F.col("parent").alias("cycle"))
-    ins = core.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("i"), F.max("parent").alias("above"))
-    outs = core.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("o"), F.max("child").alias("below"))
-    chain = cut_lineage(ins.join(outs, "node").where("i = 1 and o = 1").select("node", "above", "below"))
-    # The way of a chain node goes up to the chain's first node, whose parent is no chain node.
-    inner = lookup_join(chain, _named(chain, above="node"), ["above"], "left_semi")
-    firsts = cut_lineage(lookup_join(chain, inner.select("node"), ["node"], "left_anti"))
-    way, ring = _jumped(inner.select("node", F.col("above").alias("head"), F.col("node").alias("least")), {"least": F.least("least", "_least")})
-    rings = ring.select("node", F.col("least").alias("cycle"))
-    of_chain = cut_lineage(way.select("node", F.col("head").alias("first")).unionByName(firsts.select("node", F.col("node").alias("first"))))
-    # A chain's last node is the one whose child is no chain node.
-    lasts = lookup_join(chain, _named(chain, below="node"), ["below"], "left_anti").select("node", "below").join(of_chain, "node")
-    spans = cut_lineage(lasts.select("first", "below").join(_named(firsts, first="node", above="above"), "first"))
-    off_chain = lookup_join(lookup_join(core, _named(chain, child="node"), ["child"], "left_anti"), _named(chain, parent="node"), ["parent"], "left_anti")
-    short = cut_lineage(off_chain.unionByName(_named(spans, child="below", parent="above")).distinct())
-    if short.isEmpty():
-        return rings
-    loops = short.where("child = parent").select(F.col("child").alias("node")).distinct()
-    comps = _coloured_components(_pairs(short)) if not _pairs(short).isEmpty() else loops.limit(0).select("node", F.col("node").alias("comp"))
-    comps = cut_lineage(comps.unionByName(loops.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))))
-    looped = comps.join(loops, "node").select("comp")
-    cyclic = cut_lineage(comps.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp").union(looped).distinct())
-    members = lookup_join(comps, cyclic, ["comp"], "left_semi")
-    ends = lookup_join(spans, _named(members, above="node", _up="comp"), ["above"])
-    whole = lookup_join(ends, _named(members, below="node", _down="comp"), ["below"]).where("_up = _down").select("first", F.col("_up").alias("comp"))
-    all_members = cut_lineage(members.select("node", "comp").unionByName(lookup_join(of_chain, whole, ["first"]).select("node", "comp")))
-    least = all_members.groupBy("comp").agg(F.min("node").alias("cycle"))
-    return lookup_join(all_members, least, ["comp"]).select("node", "cycle").unionByName(rings)
+    left, found, times = cut_lineage(_pairs(edges)), None, 0
+    while True:
+        salt = None if times < 2 else times
+        above = _greatest_above(left, salt)
+        left = cut_lineage(_inside(left, above, "_above"))
+        below = _greatest_above(_named(left, child="parent", parent="child"), salt)
+        left = cut_lineage(_inside(left, below, "_below").where("_above <> _below").select("child", "parent"))
+        met = lookup_join(below, _named(above, node="node", _above="colour"), ["node"]).where("colour = _above")
+        here = met.select("node", (F.col("colour") if salt is None else F.col("colour.name")).alias("comp"))
+        found, times = cut_lineage(here if found is None else found.unionByName(here)), times + 1
+        if left.isEmpty():
+            break
+    least = found.groupBy("comp").agg(F.min("node").alias("cycle"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return lookup_join(found, least, ["comp"]).select("node", "cycle")
 
 
 def dependency_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -225,7 +203,7 @@ def dependency_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
     if nodes is not None:
         names = names.union(nodes.select("node"))
     cycles = cut_lineage(dependency_cycles(pairs))
-    units = cut_lineage(names.distinct().join(cycles, "node", "left").select("node", "cycle", F.coalesce("cycle", "node").alias("unit")))
+    units = cut_lineage(names.distinct().join(cycles.hint("merge"), "node", "left").select("node", "cycle", F.coalesce("cycle", "node").alias("unit")))
     ends = lookup_join(pairs, _named(units, child="node", _child="unit"), ["child"])
     between = lookup_join(ends, _named(units, parent="node", _parent="unit"), ["parent"]).select(F.col("_child").alias("child"), F.col("_parent").alias("parent"))
     levels = dependency_levels(between, _named(units, node="unit"))
