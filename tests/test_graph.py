@@ -118,5 +118,5 @@ def test_rounds_send_no_tables_and_keep_their_size(spark, monkeypatch):
     monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution()) or cut(df))
     edges = edges_of(spark, [(i, i - k) for i in range(2, 12) for k in (1, 2)])
     assert {r.node: r.level for r in graph.dependency_levels(edges).collect()} == {i: max(0, i - 1) for i in range(12)}
-    assert max(len(p.optimizedPlan().stats().sizeInBytes().toString()) for p in plans) < 60
+    assert max(len(str(p.optimizedPlan().stats().sizeInBytes())) for p in plans) < 60
     assert not any("Broadcast" in p.executedPlan().toString() for p in plans)

@@ -81,6 +81,10 @@ def test_query_writes_a_language_in_more_than_one_task(spark, tmp_path):
 
     docs = spark.range(400).selectExpr("id as doc_id", "'en' as lang", "repeat('x', 10) as text")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
     plan = ingest_queries.scan_split_csv(spark, str(tmp_path))
+    spark.conf.set(coalesce, before)
     assert len(plan.inputFiles()) > 1
     assert sorted((int(r.doc_id), r.line) for r in plan.collect()) == [(i, i + 2) for i in range(400)]
