@@ -1,8 +1,13 @@
 """Numpy helpers for tasks: texts of an Arrow batch as bytes, words as hashes, documents as runs."""
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+#: Bytes of batches after which a task gives freed memory back.
+REST_BYTES = 16 << 20
+
 #: Bytes of text that numpy works on at a time; one longer text is still taken whole.
 SLICE_BYTES = 1 << 20
 
@@ -99,3 +104,34 @@ def bytes_in(*ranges) -> np.ndarray:
     for low, high in ranges:
         out[low:high + 1] = True
     return out
+
+
+def give_back():
+    """Hand what Arrow and the C library keep of freed memory to the system (the latter with glibc only)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow that gives freed memory back now and then, and at its end.
+
+    A worker process outlives its task and would keep the most that it ever had, beside what its executor does next.
+    """
+    def counted(batches):
+        taken = 0
+        for batch in batches:
+            taken += batch.nbytes
+            yield batch
+            if taken > REST_BYTES:
+                give_back()
+                taken = 0
+
+    def lean_run(batches):
+        try:
+            yield from run(counted(batches))
+        finally:
+            give_back()
+
+    return lean_run

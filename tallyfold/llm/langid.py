@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.kernels import bytes_in, lower_table, slices, text_bytes
+from tallyfold.llm.kernels import bytes_in, lean, lower_table, slices, text_bytes
 from tallyfold.llm.sums import fold_of, summed_arrays
 
 BUCKETS = 1 << 15
 WINDOW = 24
+#: Bytes of text that are predicted at a time: a byte takes some numbers a language meanwhile.
+PREDICTED_BYTES = 1 << 18
 _FOLDED = np.where(bytes_in((65, 90), (97, 122), (128, 255)), lower_table(), 32).astype(np.uint8)
 
 
@@ -47,7 +49,7 @@ def language_counts(train: DataFrame) -> dict[str, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"key": pa.array(total.keys(), pa.string()),
                                           "data": pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())})
 
-    return summed_arrays(train.select("lang", "text").mapInArrow(count, "key string, data binary"), np.int64)
+    return summed_arrays(train.select("lang", "text").mapInArrow(lean(count), "key string, data binary"), np.int64)
 
 
 def _em(like: np.ndarray, unit_doc: np.ndarray, starts: np.ndarray, share: np.ndarray, rounds: int):
@@ -123,13 +125,14 @@ def identify_languages(docs: DataFrame, folds: int = 3, held: int = 1, most: int
     def predict(batches):
         for batch in batches:
             texts, rows = batch.column(at), batch.num_rows
-            letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
-            lang, score, size = np.full(rows, -1), np.zeros(rows), np.zeros(rows, np.int64)
-            if names:
-                data, ends = text_bytes(texts)
-                for a, b in slices(ends):
+            letters, lang, score, size = np.zeros(rows, bool), np.full(rows, -1), np.zeros(rows), np.zeros(rows, np.int64)
+            data, ends = text_bytes(texts)
+            for a, b in slices(ends, PREDICTED_BYTES):
+                letters[a:b] = [bool(t) and any(map(str.isalpha, t)) for t in texts.slice(a, b - a).to_pylist()]
+                if names:
                     bucket, owner = trigrams(data[ends[a]:ends[b]], ends[a:b + 1] - ends[a])
                     lang[a:b], score[a:b], size[a:b] = infer(bucket, owner, b - a, logs, most, penalty)
+            if names:
                 bare = letters & (lang < 0)
                 lang[bare], score[bare], size[bare] = common, usual, 1
             lang[~letters], score[lang < 0], size[lang < 0] = -1, 0.0, 0
@@ -139,4 +142,4 @@ def identify_languages(docs: DataFrame, folds: int = 3, held: int = 1, most: int
                  pa.array(np.clip(score, 0, 1)), pa.array(size.astype(np.int32))],
                 [*own, "lang_pred", "score", "n_langs"])
 
-    return docs.select(own).mapInArrow(predict, schema).withColumn("held_out", F.coalesce(fold == held, F.lit(False)))
+    return docs.select(own).mapInArrow(lean(predict), schema).withColumn("held_out", F.coalesce(fold == held, F.lit(False)))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.components import connected_components
-from tallyfold.llm.kernels import bytes_in, lower_table, mixed, runs, slices, text_bytes, word_hashes
-from tallyfold.llm.tables import stored
+from tallyfold.llm.kernels import bytes_in, lean, lower_table, mixed, runs, slices, text_bytes, word_hashes
+from tallyfold.llm.tables import small_batches, stored
 from tallyfold.operators.joins import lookup_join
 
 SIGNATURE = 64
@@ -102,7 +102,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), sig], ["doc_id", "n", "key_a", "key_b", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key_a long, key_b long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n long, key_a long, key_b long, sig binary")
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _shingles(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) ->
                     [node.take(pa.array(same)), pa.array(np.diff(at)[same].astype(np.int64)), pa.array([value[at[i]:at[i + 1]].tobytes() for i in same], pa.binary())], ["node", "n", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    found = texts.join(_sent(nodes.select("node", "rep", "key_a")), "rep").select("node", "key_a", "rep", "text").mapInArrow(run, "node long, n long, set binary")
+    found = texts.join(_sent(nodes.select("node", "rep", "key_a")), "rep").select("node", "key_a", "rep", "text").mapInArrow(lean(run), "node long, n long, set binary")
     return found.dropDuplicates(["node"]) if repeated else found
 
 
@@ -149,7 +149,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
             mask = pa.array((x == y).sum(1) >= matches)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _postings(nodes: DataFrame, matches: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _postings(nodes: DataFrame, matches: int) -> DataFrame:
             token = (np.arange(SIGNATURE, dtype=np.int64) << 32) | sig
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0), np.int64), SIGNATURE)), pa.array(token.ravel())], ["node", "token"])
 
-    tokens = nodes.select("node", "sig").mapInArrow(run, "node long, token long")
+    tokens = nodes.select("node", "sig").mapInArrow(lean(run), "node long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     held = lookup_join(tokens, shared, ["token"])
     own = Window.partitionBy("node")
@@ -267,7 +267,7 @@ def _rest(postings: DataFrame, nodes: DataFrame, matches: int, percent: int) ->
                     out[2].append(part[1].astype(bool))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["token", "node", "minor"])
 
-    return _met(full).mapInArrow(run, "token long, node long, minor boolean").distinct()
+    return _met(full).mapInArrow(lean(run), "token long, node long, minor boolean").distinct()
 
 
 def _rest_links(active: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -306,7 +306,7 @@ def _rest_links(active: DataFrame, nodes: DataFrame, sets: DataFrame, matches: i
                     mine[own] = False
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    return _met(full, "set").mapInArrow(run, "a long, b long").distinct()
+    return _met(full, "set").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches: int = 38) -> DataFrame:
@@ -334,8 +334,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     comps = stored(connected_components(links), "neardup-components")
     with_comp = known.join(comps, "node", "left").select("node", "n", "sig", "mask", F.coalesce("component", "node").alias("comp"))
     with_comp = stored(with_comp, "neardup-grouped")
-    active = stored(_rest(postings, with_comp, matches, percent), "neardup-rest")
-    more = stored(_rest_links(active, with_comp, sets, matches, percent), "neardup-more")
+    with small_batches(docs.sparkSession):
+        active = stored(_rest(postings, with_comp, matches, percent), "neardup-rest")
+        more = stored(_rest_links(active, with_comp, sets, matches, percent), "neardup-more")
     if not more.isEmpty():
         # further links join whole components, so only those are connected anew
         label = lambda side: with_comp.select(F.col("node").alias(side), F.col("comp").alias(f"of_{side}"))

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.tables import stored
+from tallyfold.llm.kernels import lean
+from tallyfold.llm.tables import small_batches, stored
 from tallyfold.llm.wordids import word_ids
 
 DIMENSIONS, BITS, BUCKETS = 4, 12, 512
@@ -91,7 +92,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, row_ids: int = 1024)
                     pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])], names)
                 low = high
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, "doc_id long, place long, mark long, start long, whole long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(lean(run), "doc_id long, place long, mark long, start long, whole long, ids binary")
 
 
 def tail_lengths(left: int, size: int) -> list[int]:
@@ -108,7 +109,8 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
     is padded: each has `size` ids or a power of two. Other columns of documents are not carried. An empty table
     gives no rows.
     """
-    coded = stored(tokenised(docs, tokenizer, end_id), "packing-ids")
+    with small_batches(docs.sparkSession, "2m"):
+        coded = stored(tokenised(docs, tokenizer, end_id), "packing-ids")
     total = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
     parts = max(1, -(-total // partition_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 22))
     order = ("place", "doc_id", "mark", "start")
@@ -136,9 +138,9 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
             else:
                 held.append([doc, start, data, whole])
 
-        for batch in batches:
+        for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             rows, carried = [], 0
-            for doc, begin, whole, data in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "whole", "ids")]):
+            for doc, begin, whole, data in zip(*[part.column(c).to_pylist() for c in ("doc_id", "start", "whole", "ids")]):
                 data, done = memoryview(data), 0
                 while 4 * done < len(data):
                     take = min(size - filled, len(data) // 4 - done)
@@ -150,7 +152,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
                             rows.append(row(piece, number, offset))
                             offset += len(piece[2]) // 4
                         held, filled, number, carried = [], 0, number + 1, carried + 4 * size
-                        if carried > 4 << 20:
+                        if carried > 1 << 20:
                             yield out(rows)
                             rows, carried = [], 0
             if rows:
@@ -170,4 +172,4 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
         if rows:
             yield out(rows)
 
-    return ordered.mapInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return ordered.mapInArrow(lean(pack), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
