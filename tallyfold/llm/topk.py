@@ -1,8 +1,8 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Vectors are ordered so that similar ones lie in one range, and each range of that order is cut into blocks. A block
-keeps the largest and smallest value of every component (term); per query the blocks are visited by the sum of the
-largest contributions they could make, and scored from their own rows until no block can reach the k-th score.
+Vectors are ordered so that similar ones lie in one range, and each range of that order is cut into chunks of blocks. A block
+keeps the largest and smallest value of every component (term), hence the largest score it could make with a query. The
+blocks of a chunk are visited from the greatest such bound on, each by the queries whose k-th score so far its bound reaches.
 Pruning never changes a result: a block is left out only if its bound is below a score that k rows are known to have.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.tables import stored
 
 BLOCK, CHUNK, QUERIES = 64, 4096, 2048
+#: Rows found that a task holds before it keeps the best; pairs of a chunk and a block of queries in a task; most tasks.
+HITS, PAIRS, TASKS = 1 << 18, 16, 4096
 _EXACT = float(1 << 53)
 _FAR = float(1 << 62)
 
@@ -59,41 +61,53 @@ def _sized(rows: np.ndarray, width: int) -> np.ndarray:
     return rows if rows.shape[1] == width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
 
 
-def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+def own_floors(data: np.ndarray, asks: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each of the rows `asks` among the others of its chunk; the least number where there are fewer."""
+    floors = np.full(len(asks), -(1 << 63))
+    if len(data) > k:
+        for at in range(0, len(asks), BLOCK):
+            some = asks[at:at + BLOCK]
+            scores = inner(data[some], data)
+            own = np.arange(len(data)) == some[:, None]
+            floors[at:at + BLOCK] = np.partition(scores[~own].reshape(len(some), -1), -k, axis=1)[:, -k]
+    return floors
 
 
-def search_chunk(ids, rows, bound_high, bound_low, q_ids, q_rows, q_rownum, rownum, floors, k: int):
-    """Best k of one chunk for each query that are no worse than its floor: yields (query row, ids, scores)."""
+def best_each(asks, ids, scores, floors, k: int):
+    """The k best of each query, ties to the smaller id; the k-th score of a query raises its floor in place."""
+    order = np.lexsort((ids, ~scores, asks))
+    asks, ids, scores = asks[order], ids[order], scores[order]
+    nth = np.arange(len(asks)) - np.searchsorted(asks, asks)
+    full = nth == k - 1
+    floors[asks[full]] = np.maximum(floors[asks[full]], scores[full])
+    kept = nth < k
+    return asks[kept], ids[kept], scores[kept]
+
+
+def search_chunk(ids, rows, rownum, q_rows, q_rownum, floors, held, k: int):
+    """Best k of `held` and of one chunk for each query that are no worse than its floor, as (queries, ids, scores).
+
+    `floors` rise in place with what is found. All queries that a block may serve meet it at once.
+    """
+    at = np.arange(0, len(ids), BLOCK)
+    bound_high, bound_low = np.maximum.reduceat(rows, at, axis=0), np.minimum.reduceat(rows, at, axis=0)
     up, down = np.maximum(q_rows, 0), np.minimum(q_rows, 0)
     reach = up @ bound_high.T + down @ bound_low.T
     slack = 1e-9 * (np.abs(up) @ np.abs(bound_high).T + np.abs(down) @ np.abs(bound_low).T)
-    reach = reach + slack
-    order = np.argsort(-reach, axis=1, kind="stable")
-    for i in range(len(q_rows)):
-        floor, found_ids, found = floors[i], [], []
-        for b in order[i]:
-            if reach[i, b] < floor:
-                break
-            a, z = b * BLOCK, min((b + 1) * BLOCK, len(ids))
-            scores = inner(q_rows[i:i + 1], rows[a:z])[0]
-            mine = (scores >= floor) & (rownum[a:z] != q_rownum[i])
-            if mine.any():
-                found_ids.append(ids[a:z][mine])
-                found.append(scores[mine])
-                if sum(map(len, found)) >= k:
-                    all_ids, all_scores = np.concatenate(found_ids), np.concatenate(found)
-                    top = best_of(all_ids, all_scores, k)
-                    found_ids, found = [all_ids[top]], [all_scores[top]]
-                    floor = max(floor, int(found[0][-1]))
-        if found:
-            yield i, np.concatenate(found_ids), np.concatenate(found)
+    reach = np.maximum(reach + slack, -2 * _FAR)  # scores are held at 63 bits
+    hits, size = [held], 0
+    for b in np.argsort(-reach.max(axis=0, initial=-np.inf), kind="stable"):
+        asks = np.flatnonzero(reach[:, b] >= floors)
+        if not len(asks):
+            continue
+        a, z = b * BLOCK, min((b + 1) * BLOCK, len(ids))
+        scores = inner(q_rows[asks], rows[a:z])
+        i, j = np.nonzero((scores >= floors[asks, None]) & (rownum[a:z] != q_rownum[asks, None]))
+        hits.append((asks[i], ids[a:z][j], scores[i, j]))
+        size += len(i)
+        if size > HITS:
+            hits, size = [best_each(*map(np.concatenate, zip(*hits)), floors, k)], 0
+    return best_each(*map(np.concatenate, zip(*hits)), floors, k)
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, pivots: int = 64) -> DataFrame:
@@ -103,7 +117,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
     take no part. A shorter vector counts as filled up with zeros; an empty one scores 0 with all. Repeated rows take
     part one by one, a query leaves out its own row only, and ties go to the smaller vec_id. Fewer than k candidates give
     fewer ranks. Other columns are not looked at. The order of rows is fitted on `pivots` rows of lowest id hash, which
-    decides only how much is pruned. Queries meet all chunks in blocks; what a chunk returns are its k best at most.
+    decides only how much is pruned. Queries meet all chunks in blocks; what a task returns are the k best of its chunks at most.
     """
     spark = vectors.sparkSession
     value = F.col("embedding").cast("array<double>")
@@ -145,26 +159,24 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
                 ids, data = np.asarray(part.column(0), np.int64), _floored(_padded(part.column(1)), scale)
                 rownum = (base << 20) + seen + np.arange(len(ids))
                 made = [row("rows", base + number, ids, rownum, data, np.zeros(0, np.int64))]
-                asks, floors = np.flatnonzero(ids % every == 0), []
-                for q in asks.tolist():  # the queries of a block get their first floor from it
-                    b = q // BLOCK * BLOCK
-                    s = np.delete(inner(data[q:q + 1], data[b:b + BLOCK])[0], q - b)
-                    floors.append(int(np.sort(s)[-k]) if len(s) >= k else -(1 << 63))
-                if len(asks):
-                    made.append(row("asks", base + number, ids[asks], rownum[asks], data[asks], np.array(floors, np.int64)))
+                asks = np.flatnonzero(ids % every == 0)
+                if len(asks):  # the queries of a chunk get their first floor from it
+                    made.append(row("asks", base + number, ids[asks], rownum[asks], data[asks], own_floors(data, asks, k)))
                 yield out(made)
                 number, seen = number + 1, seen + len(ids)
 
     store = stored(placed.mapInArrow(chunks, shape), "topk-chunks")
     sizes = {r.kind: (r.rows, r.whole) for r in store.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("n").alias("whole")).collect()}
-    slots = max(1, sizes.get("rows", (0, 0))[0])
+    slots, blocks = max(1, sizes.get("rows", (0, 0))[0]), max(1, (sizes.get("asks", (0, 0))[1] or 0) // QUERIES)
 
     def merged(batches):
-        held, size = [], 0
+        from pyspark import TaskContext
+
+        held, size, number = [], 0, TaskContext.get().partitionId() << 20
 
         def block():
             width = max(len(x["data"][0]) for x in held)
-            return out([row("asks", 0, *(np.concatenate([x[c] for x in held]) for c in ("ids", "rownum")),
+            return out([row("asks", number, *(np.concatenate([x[c] for x in held]) for c in ("ids", "rownum")),
                             np.concatenate([_sized(x["data"], width) for x in held]), np.concatenate([x["floors"] for x in held]))])
 
         for batch in batches:
@@ -173,33 +185,38 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
                 size += x["n"]
                 if size >= QUERIES:
                     yield block()
-                    held, size = [], 0
+                    held, size, number = [], 0, number + 1
         if held:
             yield block()
 
-    asked = store.where("kind = 'asks'").repartition(max(1, (sizes.get("asks", (0, 0))[1] or 0) // QUERIES)).mapInArrow(merged, shape)
-    packed = lambda part, tag: part.select("slot", *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "type", "ids", "rownum", "data", "floors")])
-    base = packed(store.where("kind = 'rows'").withColumn("slot", F.pmod(F.xxhash64("chunk"), F.lit(slots))), "r")
-    asks = packed(asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))), "q")
-    # every block of queries meets every chunk of rows: a stated query set against all rows, in blocks
-    pairs = base.join(asks, "slot").drop("slot")
+    asked = stored(store.where("kind = 'asks'").repartition(blocks).mapInArrow(merged, shape), "topk-asks")
+    packed = lambda part, tag: part.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("chunk", "n", "type", "ids", "rownum", "data", "floors")])
+    tasks = min(slots, TASKS, max(slots * blocks // PAIRS, spark.sparkContext.defaultParallelism))
+    base = packed(store.where("kind = 'rows'").repartition(tasks, "chunk"), "r")
+    # Every block of queries meets every chunk of rows: a stated query set against all rows, in blocks. Each task has some chunks
+    # and reads all blocks of queries: nothing is copied to disk for the pairs, and neither side passes the driver.
+    pairs = packed(asked.coalesce(1), "q").hint("shuffle_replicate_nl").crossJoin(base)
 
     def search(batches):
+        number, ids, rownums, best = None, None, None, None
+
+        def result():
+            asks, found, scores = best
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[asks], rownums[asks], found, scores)], ["query_id", "query_row", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-                data, asked = _wide(r["r_type"], r["r_data"], r["r_n"]), _wide(r["q_type"], r["q_data"], r["q_n"])
+                if r["q_chunk"] != number:  # all chunks of the task meet a block of queries before the next does
+                    if best is not None:
+                        yield result()
+                    ids, rownums, floors = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_rownum", "q_floors"))
+                    number, floors, best, asked = r["q_chunk"], floors.copy(), (np.zeros(0, np.int64),) * 3, _wide(r["q_type"], r["q_data"], r["q_n"])
+                data = _wide(r["r_type"], r["r_data"], r["r_n"])
                 wide = max(data.shape[1], asked.shape[1])
-                data, asked = _sized(data, wide), _sized(asked, wide)
-                ids, rownum, q_ids, q_rownum, floors = (np.frombuffer(r[c], np.int64) for c in ("r_ids", "r_rownum", "q_ids", "q_rownum", "q_floors"))
-                at = np.arange(0, len(ids), BLOCK)
-                high, low = np.maximum.reduceat(data, at, axis=0), np.minimum.reduceat(data, at, axis=0)
-                found = list(search_chunk(ids, data, high, low, q_ids, asked, q_rownum, rownum, floors, k))
-                if found:
-                    sizes = [len(x[1]) for x in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(np.array([q_ids[x[0]] for x in found]), sizes)), pa.array(np.repeat(np.array([q_rownum[x[0]] for x in found]), sizes)),
-                         pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], ["query_id", "query_row", "vec_id", "score"])
+                best = search_chunk(np.frombuffer(r["r_ids"], np.int64), _sized(data, wide), np.frombuffer(r["r_rownum"], np.int64), _sized(asked, wide), rownums, floors, best, k)
+        if best is not None:
+            yield result()
 
     found = pairs.mapInArrow(search, "query_id long, query_row long, vec_id long, score long")
     window = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")

@@ -163,6 +163,24 @@ def test_topk_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_topk_copies_no_queries_for_the_driver(spark):
+    """Many queries in several blocks: they meet the rows without a broadcast, and without a row for each block and chunk."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.2, (4900, 6)), np.repeat(rng.normal(0, 0.2, (1, 6)), 100, 0)])
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(5000), x)]
+    out = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1, k=3)
+    got = sorted(tuple(r) for r in out.collect())
+    ids, whole = np.array([i for i, _ in rows]), np.floor(256 * x).astype(np.int64)
+    want = []
+    for n, i in enumerate(ids):
+        scores = whole @ whole[n]
+        best = [j for j in np.lexsort((ids, -scores))[:4] if j != n][:3]
+        want += [(int(i), r + 1, int(ids[j]), int(scores[j])) for r, j in enumerate(best)]
+    assert got == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+
+
 def brute_spans(text):
     out = []
     for kind, pattern, ok in (
