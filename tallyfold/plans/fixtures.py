@@ -150,11 +150,15 @@ NEEDS = {"cells": ("sheet_rows",), "merges": ("sheet_rows",), "loops": ("edges",
 
 
 def _fill(name: str, spark: bool, sf_dir: str = "") -> str:
+    return _filled(TEMPLATES[name], spark, sf_dir)
+
+
+def _filled(text: str, spark: bool, sf_dir: str = "") -> str:
     marks = {t: f"parquet.`{sf_dir}/{t}.parquet`" if spark else t for t in TABLES}
     for key, (java, posix) in _FORMATS.items():
         marks[key] = f"date_format(o_orderdate, '{java}')" if spark else f"strftime(o_orderdate, '{posix}')"
     marks["q"] = "`" if spark else '"'
-    return TEMPLATES[name].format(**marks)
+    return text.format(**marks)
 
 
 def _needed(names) -> list:
@@ -182,6 +186,14 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"with {_ctes([name], True, sf_dir)}\nselect * from {name}")
 
 
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`raw_tx` without its index column, in source order and packed by ranges of it. What is shuffled are the columns that rows are made of."""
+    source = f"select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, n_name, {_FILE} as file\nfrom {_JOINED}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = spark.sql(_filled(source, True, sf_dir)).repartitionByRange(parts, "file", "o_orderkey").sortWithinPartitions("file", "o_orderkey")
+    return spark.sql(_filled(f"select file,\n {_raw_columns()}\nfrom {{{{rows}}}}", True, sf_dir), rows=ordered)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

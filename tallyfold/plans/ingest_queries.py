@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tallyfold.fixed_values import TARGET_LAYOUT
 from tallyfold.operators import ingest, numbering
 from tallyfold.plans import sql_text as q
-from tallyfold.plans.fixtures import duck, frame, table
+from tallyfold.plans.fixtures import duck, frame, raw_files, table
 from tallyfold.plans.registry import query
 from tallyfold.plans.settle_queries import doubles, typed
 from tallyfold.session import new_table_path
@@ -307,8 +307,7 @@ def stream_drop_folder(spark, sf):
     """Raw files dropped in a folder, loaded by the stream in two runs; the second finds nothing new."""
     drop, state = new_table_path(spark, "drop"), new_table_path(spark, "state")
     # Part files in source order, each written by a task of its own, packed: a month is never in one task.
-    raw = frame(spark, sf, "raw_tx").drop("#").repartitionByRange("file", "src_row").sortWithinPartitions("file", "src_row")
-    raw.drop("src_row").write.partitionBy("file").options(header=True, escape='"', compression="gzip").csv(drop)
+    raw_files(spark, sf).write.partitionBy("file").options(header=True, escape='"', compression="gzip").csv(drop)
     headers = [source for source, _, _ in TARGET_LAYOUT]
     for _ in range(2):
         load_folder(spark, f"{drop}/*", state, headers=headers)

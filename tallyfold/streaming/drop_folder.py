@@ -3,6 +3,7 @@
 Two streams follow each other. The first numbers the lines of new files and stages typed rows. The second
 keeps, per key, the place (batch, file, line) at which it was first seen in a RocksDB state store, so a
 batch costs what its own rows cost however many keys were loaded before; stored rows are never read again.
+Whole rows are only read and written: what is shuffled or kept of them are keys, places and a bit a line.
 """
 
 from pyspark.errors import AnalysisException
@@ -20,6 +21,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 _PLACE = ("staged", "file", "line")
+#: Bytes of bitmaps of lines that are sent to the tasks at a time.
+ROUND_BYTES = 32 << 20
 
 
 def _stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
@@ -34,27 +37,54 @@ def _stored_before(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
     return known.where(F.col("batch") < batch_id).select(*KEY)
 
 
+def _line_bits(places: DataFrame) -> DataFrame:
+    """Places as bitmaps: one row per 32,768 lines of a file, cut behind the last line that is set."""
+    bit = places.withColumn("bucket", F.bitmap_bucket_number("line")).withColumn("_bit", F.bitmap_bit_position("line"))
+    # The lines of a bitmap meet before it is made, since one made in every task would be larger than they are.
+    met = bit.repartition("staged", "file", "bucket").groupBy("staged", "file", "bucket")
+    whole = met.agg(F.bitmap_construct_agg("_bit").alias("bits"), F.max("_bit").alias("_last"))
+    return whole.withColumn("bits", F.substring("bits", F.lit(1), F.floor(F.col("_last") / 8).cast("int") + 1)).drop("_last")
+
+
+def _at_places(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows whose line is set in the bitmaps; these travel to the rows, which are not shuffled."""
+    found = rows.withColumn("bucket", F.bitmap_bucket_number("line")).join(F.broadcast(bits), ["staged", "file", "bucket"])
+    bit = F.bitmap_bit_position("line")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).select(*rows.columns)
+
+
+def _write_at_places(rows: DataFrame, places: DataFrame, path: str) -> None:
+    """Write the rows at the places. Bitmaps go to the tasks in rounds of bounded size; one round takes some 200 million lines."""
+    bits = _line_bits(places).persist()
+    try:
+        size = bits.agg(F.sum(F.length("bits") + F.length("file") + 100)).first()[0] or 0
+        rounds = 1 + size // ROUND_BYTES
+        for i in range(rounds):
+            some = bits.where(F.pmod(F.xxhash64("staged", "file", "bucket"), F.lit(rounds)) == i)
+            _at_places(rows, some).drop("staged").write.mode("append" if i else "overwrite").parquet(path)
+    finally:
+        bits.unpersist()
+
+
 def _write_outcome(judged: DataFrame, batch_id: int, store: str, errors: str, reports: str, rows: DataFrame | None = None) -> None:
     """Each outcome goes to its own `batch=<id>` folder in overwrite mode, so a batch that runs again after a failure
     replaces its own output.
 
     With `rows`, whole rows with `staged`, `judged` need only hold keys and places: what is accepted is then picked from the rows by
-    its place. Few places are kept first, so that Spark knows their size and need not shuffle the rows to find them.
+    its place.
     """
     judged = judged.persist()
-    accepted, places = judged.where(F.col("status") == ACCEPTED), None
+    accepted = judged.where(F.col("status") == ACCEPTED)
     try:
-        if rows is not None:
-            places = accepted.select(*_PLACE).persist()
-            places.count()
-            accepted = lookup_join(rows, places, _PLACE, "left_semi").select(*rows.columns).drop("staged")
-        accepted.drop("status").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        if rows is None:
+            accepted.drop("status").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        else:
+            _write_at_places(rows, accepted.select(*_PLACE), f"{store}/batch={batch_id}")
         import_errors(judged).write.mode("overwrite").parquet(f"{errors}/batch={batch_id}")
         import_report(judged).write.mode("overwrite").parquet(f"{reports}/batch={batch_id}")
     finally:
         judged.unpersist()
-        if places is not None:
-            places.unpersist()
 
 
 def load_batch(rows: DataFrame, batch_id: int, store: str, errors: str, reports: str, layout=TARGET_LAYOUT) -> None:
@@ -81,12 +111,8 @@ def _stage(spark: SparkSession, folder: str, state: str, layout, names, files_pe
         return project_target_layout(number_lines(batch), layout, keep=("file", "line"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # Numbering reads the rows several times; parse the files once.
-        batch.persist()
-        try:
-            typed(batch).write.mode("overwrite").parquet(f"{state}/staged/staged={batch_id}")
-        finally:
-            batch.unpersist()
+        # Numbering counts the rows of each split first: files are parsed twice, and no parsed row is kept between.
+        typed(batch).write.mode("overwrite").option("compression", "zstd").parquet(f"{state}/staged/staged={batch_id}")
 
     _run(located.writeStream.foreachBatch(each), f"{state}/staging")
     fields = ", ".join(f"`{n}` string" for n in [*names, "file"])
@@ -119,7 +145,8 @@ def stream_drop_folder(spark: SparkSession, folder: str, state: str, layout=TARG
     schema = _stage(spark, folder, state, layout, names, files_per_batch, multi_line).schema
     for key, value in _STATE.items():
         spark.conf.set(key, value)
-    staged = spark.readStream.schema(schema.add("staged", "long")).parquet(f"{state}/staged")
+    schema = schema.add("staged", "long")
+    staged = spark.readStream.schema(schema).parquet(f"{state}/staged").select(*KEY, *_PLACE)
     # The least place of a key never changes once an earlier batch has set it.
     firsts = staged.where(key_present(KEY)).groupBy(*KEY).agg(F.min(F.struct(*_PLACE)).alias("first"))
     both = staged.withColumn("kind", F.lit("row")).unionByName(firsts.withColumn("kind", F.lit("first")), allowMissingColumns=True)
@@ -127,7 +154,8 @@ def stream_drop_folder(spark: SparkSession, folder: str, state: str, layout=TARG
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            rows = batch.where("kind = 'row'").drop("kind", "first")
+            low, high = batch.agg(F.min("staged"), F.max("staged")).first()
+            rows = spark.read.schema(schema).parquet(f"{state}/staged").where(F.col("staged").between(low, high))
             _write_outcome(_judge(batch), batch_id, f"{state}/store", f"{state}/errors", f"{state}/reports", rows)
         finally:
             batch.unpersist()

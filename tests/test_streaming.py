@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyfold.operators import ingest
+from tallyfold.plans import fixtures
 from tallyfold.sources import tables
 from tallyfold.streaming import drop_folder
 
@@ -139,3 +140,67 @@ def test_whole_rows_are_not_joined_for_their_status(spark):
     judged = drop_folder._judge(batch.withColumn("first", F.when(F.col("kind") == "first", place)))
     assert set(judged.columns) == {"service", "reference", "staged", "file", "line", "status"}
     assert sorted((r.line, r.status) for r in judged.collect()) == [(2, ingest.ACCEPTED), (3, ingest.DUPLICATE)]
+
+
+def exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in text.splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
+
+
+def without_broadcasts_by_size(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    return lambda: spark.conf.set(key, before)
+
+
+def test_whole_rows_are_picked_by_bits(spark, tmp_path, monkeypatch):
+    """Rows are picked by bitmaps of lines, over bitmap ends and in several rounds, and are not shuffled for it."""
+    rows = spark.range(2, 70_003).selectExpr("concat('r', id) as reference", "if(id % 3 = 0, 'a', 'b') as file", "id as line", "id % 2 as staged")
+    wanted = (F.col("line") % 7 == 0) | F.col("line").isin(2, 32767, 32768, 32769, 65536, 65537, 70_002)
+    places = rows.where(wanted & (F.col("line") != 49)).select("staged", "file", "line")
+    monkeypatch.setattr(drop_folder, "ROUND_BYTES", 5_000)
+    drop_folder._write_at_places(rows, places, str(tmp_path / "some"))
+    got = sorted((r.reference, r.file, r.line) for r in spark.read.parquet(str(tmp_path / "some")).collect())
+    assert got == sorted((f"r{i}", "ba"[i % 3 == 0], i) for i in range(2, 70_003) if i != 49 and (i % 7 == 0 or i in (2, 32767, 32768, 32769, 65536, 65537, 70_002)))
+    drop_folder._write_at_places(rows, places.limit(0), str(tmp_path / "some"))
+    assert spark.read.parquet(str(tmp_path / "some")).columns == ["reference", "file", "line"] and spark.read.parquet(str(tmp_path / "some")).count() == 0
+    bits = spark.createDataFrame([], "staged long, file string, bucket long, bits binary")
+    restore = without_broadcasts_by_size(spark)
+    try:
+        assert exchanges(drop_folder._at_places(rows, bits)) == []
+    finally:
+        restore()
+
+
+def test_numbering_shuffles_no_whole_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + "S,1,1\nS,2,2\n")
+    restore = without_broadcasts_by_size(spark)
+    try:
+        numbered = tables.scan_csv_numbered(spark, str(tmp_path))
+        assert sorted((r["Reférence"], r.line) for r in numbered.collect()) == [("1", 2), ("2", 3)]
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        restore()
+
+
+def test_the_stream_keeps_no_whole_rows(spark, tmp_path, monkeypatch):
+    """What the load persists are keys, places and bits."""
+    frame = type(spark.range(0))
+    seen, persist = [], frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a: seen.append(set(self.columns)) or persist(self, *a))
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.csv").write_text(HEAD + "S,1,1\nS,2,2\nS,1,3\n")
+    run(spark, tmp_path)
+    assert store(spark, tmp_path) == [("1", 1.0, 2), ("2", 2.0, 3)]
+    assert seen and not [x for x in seen if "montant" in x]
+
+
+def test_raw_files_hold_the_raw_rows(spark, sf):
+    """The drop folder's input: the rows of `raw_tx`, made behind the shuffle that orders them."""
+    made, want = fixtures.raw_files(spark, sf), fixtures.frame(spark, sf, "raw_tx").drop("#", "src_row")
+    assert made.columns == want.columns and made.exceptAll(want).count() == 0 and want.exceptAll(made).count() == 0
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Guichet") < plan.index("rangepartitioning")
