@@ -54,20 +54,26 @@ def with_source_line(scanned: DataFrame, first_line: int = 2) -> DataFrame:
     return number_lines(located, first_line)
 
 
-def number_lines(located: DataFrame, first_line: int = 2) -> DataFrame:
+def number_lines(located: DataFrame, first_line: int = 2, starts: DataFrame | None = None) -> DataFrame:
     """Number the rows of each file in file order, without bringing a file to one task.
 
     Spark reads a split in order, so the running id of a task orders the rows of a split and the
     split's start (`_block`) orders the splits of a file. The rows before a split come from a table
-    of one row per split, which is sent to the tasks (the driver lists the splits anyway), so that whole rows are not shuffled.
+    of one row per split, `starts`; a caller may make it before and say how it is joined.
     """
     names = [c for c in located.columns if c not in (FILE_COLUMN, "_block")]
     tagged = located.withColumn("_id", F.monotonically_increasing_id())
+    starts = split_starts(located) if starts is None else starts
+    line = (F.col("_id") - F.col("_base") + F.col("_start") + first_line).alias(LINE_COLUMN)
+    return tagged.join(starts, [FILE_COLUMN, "_block"]).select(*[F.col(f"`{c}`") for c in names], FILE_COLUMN, line)
+
+
+def split_starts(located: DataFrame) -> DataFrame:
+    """Per split: the running id of its first row, and the rows of its file before it."""
+    tagged = located.withColumn("_id", F.monotonically_increasing_id())
     splits = tagged.groupBy(FILE_COLUMN, "_block").agg(F.min("_id").alias("_base"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(FILE_COLUMN).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    line = (F.col("_id") - F.col("_base") + F.col("_start") + first_line).alias(LINE_COLUMN)
-    return tagged.join(F.broadcast(starts), [FILE_COLUMN, "_block"]).select(*[F.col(f"`{c}`") for c in names], FILE_COLUMN, line)
+    return splits.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
 
 
 def scan_jdbc(spark: SparkSession, url: str, table_or_query: str, columns=None, split=None, fetch_rows: int = 1000, **options) -> DataFrame:

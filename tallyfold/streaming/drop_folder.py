@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyfold.fixed_values import TARGET_LAYOUT
 from tallyfold.operators.ingest import ACCEPTED, DUPLICATE, KEY, MISSING_KEY, classify_import, import_errors, import_report, key_present, project_target_layout
 from tallyfold.operators.joins import lookup_join
-from tallyfold.sources.tables import number_lines
+from tallyfold.sources.tables import number_lines, split_starts
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -107,12 +107,18 @@ def _stage(spark: SparkSession, folder: str, state: str, layout, names, files_pe
         F.col("_metadata.file_block_start").alias("_block"),
     )
 
-    def typed(batch: DataFrame) -> DataFrame:
-        return project_target_layout(number_lines(batch), layout, keep=("file", "line"))
+    def typed(batch: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+        return project_target_layout(number_lines(batch, starts=starts), layout, keep=("file", "line"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # Numbering counts the rows of each split first: files are parsed twice, and no parsed row is kept between.
-        typed(batch).write.mode("overwrite").option("compression", "zstd").parquet(f"{state}/staged/staged={batch_id}")
+        # Numbering counts the rows of each split first: files are parsed twice, and no parsed row is kept between. The counts are made before
+        # they are sent to the tasks, since Spark limits the time of a broadcast; the driver lists the splits anyway.
+        starts = split_starts(batch).persist()
+        try:
+            starts.count()
+            typed(batch, F.broadcast(starts)).write.mode("overwrite").option("compression", "zstd").parquet(f"{state}/staged/staged={batch_id}")
+        finally:
+            starts.unpersist()
 
     _run(located.writeStream.foreachBatch(each), f"{state}/staging")
     fields = ", ".join(f"`{n}` string" for n in [*names, "file"])

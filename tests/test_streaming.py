@@ -174,13 +174,15 @@ def test_whole_rows_are_picked_by_bits(spark, tmp_path, monkeypatch):
 
 
 def test_numbering_shuffles_no_whole_rows(spark, tmp_path):
+    """With the counts of splits made before, numbering needs no shuffle, whatever their size."""
     (tmp_path / "a.csv").write_text(HEAD + "S,1,1\nS,2,2\n")
+    located = spark.read.option("header", True).csv(str(tmp_path)).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    starts = spark.createDataFrame(tables.split_starts(located).collect(), tables.split_starts(located).schema)
     restore = without_broadcasts_by_size(spark)
     try:
-        numbered = tables.scan_csv_numbered(spark, str(tmp_path))
+        numbered = tables.number_lines(located, starts=F.broadcast(starts))
         assert sorted((r["Reférence"], r.line) for r in numbered.collect()) == [("1", 2), ("2", 3)]
-        plan = numbered._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert exchanges(numbered) == []
     finally:
         restore()
 
